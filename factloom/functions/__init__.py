@@ -1 +1,16 @@
 """Column functions; each takes and returns Spark columns."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, functions as F
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once.
+
+    A column used n times in an expression is n copies of its tree; nesting such functions grows plans
+    exponentially. A bound variable keeps them small. Plain table columns need no binding.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from factloom.functions import let
+
 ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 # Accepted spellings of a date, tried in order after ISO 8601.
@@ -26,25 +28,23 @@ def iso(ts: Column) -> Column:
 def parse_date(c: Column) -> Column:
     """Timestamp of an ISO, RSS or written date, else null."""
     text = F.regexp_replace(F.trim(c), r"\b(GMT|UT|UTC)$", "+0000")
-    iso_like = F.when(text.rlike(r"^\d{4}(-\d{2}){0,2}([T ]|$)"), text.try_cast("timestamp"))
-    return F.coalesce(iso_like, *[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS])
+    iso_like = lambda t: F.when(t.rlike(r"^\d{4}(-\d{2}){0,2}([T ]|$)"), t.try_cast("timestamp"))
+    return let(text, lambda t: F.coalesce(iso_like(t), *[F.try_to_timestamp(t, F.lit(f)) for f in DATE_FORMATS]))
 
 
 def from_epoch_seconds(c: Column) -> Column:
     """Timestamp of finite epoch seconds."""
-    seconds = c.try_cast("double")
-    return F.when(~F.isnan(seconds) & (F.abs(seconds) < 8.64e12), F.timestamp_micros((seconds * 1_000_000).cast("long")))
+    valid = lambda s: ~F.isnan(s) & (F.abs(s) < 8.64e12)
+    return let(c.try_cast("double"), lambda s: F.when(valid(s), F.timestamp_micros((s * 1_000_000).cast("long"))))
 
 
 def page_date(c: Column, url_path: Column, as_of: Column) -> Column:
     """A published date is dropped on a site root and when more than a day ahead."""
-    ts = parse_date(c)
-    return F.when((url_path != "/") & (ts <= as_of + F.expr("INTERVAL 1 DAY")), ts)
+    return F.when(url_path != "/", modified_date(c, as_of))
 
 
 def modified_date(c: Column, as_of: Column) -> Column:
-    ts = parse_date(c)
-    return F.when(ts <= as_of + F.expr("INTERVAL 1 DAY"), ts)
+    return let(parse_date(c), lambda ts: F.when(ts <= as_of + F.expr("INTERVAL 1 DAY"), ts))
 
 
 def displayed_age_ms(c: Column) -> Column:

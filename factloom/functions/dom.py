@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
+from factloom.functions import let
+
 NODE_TYPE = T.ArrayType(T.StructType([
     T.StructField("id", T.IntegerType()), T.StructField("parent", T.IntegerType()),
     T.StructField("stop", T.IntegerType()), T.StructField("tag", T.StringType()),
@@ -319,7 +321,7 @@ def shallow_json_objects(blocks: pd.Series) -> pd.Series:
 
 def subtree(nodes: Column, node: Column) -> Column:
     """Nodes below a node."""
-    return F.slice(nodes, node["id"] + 2, node["stop"] - node["id"] - 1)
+    return let(node, lambda n: F.slice(nodes, n["id"] + 2, n["stop"] - n["id"] - 1))
 
 
 def node_text(nodes: Column, node: Column) -> Column:

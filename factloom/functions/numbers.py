@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DecimalType
 
+from factloom.functions import let
+
 EPSILON = 2.220446049250313e-16
 MAX_SAFE_INTEGER = 2**53 - 1
 
@@ -33,24 +35,21 @@ def market_round(c: Column, digits: int = 8) -> Column:
 
 def market_value(c: Column, digits: int = 8) -> Column:
     """Rounded non-negative finite number, else null."""
-    return F.when(c.isNotNull() & ~F.isnan(c) & (c >= 0) & (c < float("inf")), market_round(c, digits))
+    return let(c, lambda v: F.when(~F.isnan(v) & (v >= 0) & (v < float("inf")), market_round(v, digits)))
 
 
 def as_number(c: Column) -> Column:
     """Finite double of a text or number, else null."""
-    value = c.try_cast("double")
-    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+    return let(c.try_cast("double"), lambda v: F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v))
 
 
 def as_count(c: Column) -> Column:
     """Safe non-negative integer, else null; fractions are rejected."""
-    value = as_number(c)
-    return F.when((value >= 0) & (value <= MAX_SAFE_INTEGER) & (value == F.floor(value)), value.cast("long"))
+    return let(as_number(c), lambda v: F.when(v.between(0, MAX_SAFE_INTEGER) & (v == F.floor(v)), v.cast("long")))
 
 
 def as_positive(c: Column) -> Column:
-    value = as_count(c)
-    return F.when(value > 0, value)
+    return let(as_count(c), lambda v: F.when(v > 0, v))
 
 
 def as_text(c: Column) -> Column:
@@ -64,14 +63,14 @@ def currency_digits(currency: Column) -> Column:
 
 
 def _scale(digits: Column) -> Column:
-    return F.when(digits == 0, F.lit(1)).otherwise(F.pow(F.lit(10), digits).cast("long")).cast("long")
+    return F.element_at(F.array(*[F.lit(10**i) for i in range(7)]), digits + 1).cast("long")
 
 
 def minor_units(major: Column, currency: Column) -> Column:
     """Integer minor units of a decimal amount, rounded half up; null when negative or no amount."""
-    amount = major.try_cast(DecimalType(30, 8))
-    units = F.floor(amount * _scale(currency_digits(currency)) + F.lit("0.5").cast(DecimalType(3, 1))).cast("long")
-    return F.when((amount >= 0) & (units <= MAX_SAFE_INTEGER), units)
+    scaled = major.try_cast(DecimalType(30, 8)) * _scale(currency_digits(currency))
+    units = F.floor(scaled + F.lit("0.5").cast(DecimalType(3, 1)))
+    return let(units, lambda u: F.when(u.between(0, MAX_SAFE_INTEGER), u.cast("long")))
 
 
 def minor_units_truncated(major: Column, digits: Column) -> Column:
@@ -94,46 +93,51 @@ def price_display(units: Column, digits: Column, currency: Column) -> Column:
 def decimal_amount(text: Column) -> Column:
     """First amount in a price text; the last separator is decimal when one or two digits follow."""
     raw = F.regexp_replace(F.regexp_extract(text, r"\d[\d\s.,'’]*", 0), r"[\s'’]", "")
-    decimal = raw.rlike(r"[.,]\d{1,2}$")
-    whole = F.regexp_replace(F.regexp_replace(raw, r"[.,]\d{1,2}$", ""), r"[.,]", "")
-    fraction = F.regexp_extract(raw, r"[.,](\d{1,2})$", 1)
-    plain = F.when(decimal, F.concat(whole, F.lit("."), fraction)).otherwise(F.regexp_replace(raw, r"[.,]", ""))
-    return F.when(raw != "", plain.try_cast(DecimalType(30, 8)))
+    # The last separator in front of one or two closing digits is marked, the others vanish.
+    marked = F.regexp_replace(raw, r"[.,](\d{1,2})$", "#$1")
+    plain = F.regexp_replace(F.regexp_replace(marked, r"[.,]", ""), "#", ".")
+    return plain.try_cast(DecimalType(30, 8))
 
 
 def currency_from_text(advertised: Column, text: Column) -> Column:
     """An advertised three-letter code, else the first mark found in the price text."""
-    code = F.upper(F.trim(advertised))
-    guess = F.when(code.rlike("^[A-Z]{3}$"), code)
-    for currency, pattern in CURRENCY_MARKS:
-        guess = guess.when(text.rlike(pattern), F.lit(currency))
-    return guess
+    def choose(v: Column) -> Column:
+        guess = F.when(v["code"].rlike("^[A-Z]{3}$"), v["code"])
+        for currency, pattern in CURRENCY_MARKS:
+            guess = guess.when(v["text"].rlike(pattern), F.lit(currency))
+        return guess
+
+    return let(F.struct(F.upper(F.trim(advertised)).alias("code"), text.alias("text")), choose)
 
 
 def duration_seconds(text: Column) -> Column:
     """Seconds of `m:ss` or `h:mm:ss`; null when a field is out of range."""
-    parts = F.transform(F.split(F.trim(text), ":"), lambda p: p.try_cast("long"))
-    later = F.slice(parts, 2, 2)
-    valid = (
-        F.size(parts).between(2, 3)
-        & F.forall(parts, lambda p: p.isNotNull() & (p >= 0))
-        & F.forall(later, lambda p: p <= 59)
-    )
-    total = F.aggregate(parts, F.lit(0).cast("long"), lambda acc, p: acc * 60 + F.coalesce(p, F.lit(0)))
-    return F.when(valid, total)
+    parsed = F.transform(F.split(F.trim(text), ":"), lambda p: p.try_cast("long"))
+
+    def total(parts: Column) -> Column:
+        valid = (
+            F.size(parts).between(2, 3)
+            & F.forall(parts, lambda p: p.isNotNull() & (p >= 0))
+            & F.forall(F.slice(parts, 2, 2), lambda p: p <= 59)
+        )
+        return F.when(valid, F.aggregate(parts, F.lit(0).cast("long"), lambda acc, p: acc * 60 + F.coalesce(p, F.lit(0))))
+
+    return let(parsed, total)
 
 
 def exact_view_count(text: Column) -> Column:
     """Exact count in a label; shortened counts (1.2K) are unknown and `no views` is zero."""
     from factloom.functions.text import collapse
 
-    label = collapse(text)
-    digits = F.regexp_extract(label, r"^(\d{1,3}(?:[,.\s]\d{3})+|\d+)(?:\D|$)", 1)
-    shortened = label.rlike(r"(?i)\d[.,]\d+\s*[KMB]\b")
-    return (
-        F.when(label.rlike(r"(?i)^no\s+views?\b"), F.lit(0).cast("long"))
-        .when(~shortened & (digits != ""), F.regexp_replace(digits, r"\D", "").try_cast("long"))
-    )
+    def count(label: Column) -> Column:
+        digits = F.regexp_extract(label, r"^(\d{1,3}(?:[,.\s]\d{3})+|\d+)(?:\D|$)", 1)
+        shortened = label.rlike(r"(?i)\d[.,]\d+\s*[KMB]\b")
+        return (
+            F.when(label.rlike(r"(?i)^no\s+views?\b"), F.lit(0).cast("long"))
+            .when(~shortened, F.regexp_replace(digits, r"\D", "").try_cast("long"))
+        )
+
+    return let(collapse(text), count)
 
 
 def orientation(width: Column, height: Column) -> Column:
@@ -153,8 +157,8 @@ def bounding_box(bbox: Column, extent: Column) -> Column:
         return F.when(fits, box)
 
     direct = F.when(F.size(bbox) == 4, bbox)
-    reordered = F.when(F.size(extent) == 4, F.array(extent[0], extent[3], extent[2], extent[1]))
-    return F.coalesce(checked(direct), checked(reordered))
+    reordered = let(extent, lambda e: F.when(F.size(e) == 4, F.array(e[0], e[3], e[2], e[1])))
+    return F.coalesce(let(direct, checked), let(reordered, checked))
 
 
 def planar_distance(lat: Column, lon: Column, at_lat: Column, at_lon: Column) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from factloom.functions import let
+
 # The characters that count as white space in collapsed text.
 SPACE_CLASS = r"[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
@@ -42,13 +44,13 @@ def collapse(c: Column) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.when(c != "", c)
+    return let(c, lambda v: F.when(v != "", v))
 
 
 def clean_text(c: Column, maximum: int = 4000) -> Column:
     """Collapsed text, null when empty or a printed null, at most `maximum` characters."""
-    text = collapse(c)
-    return F.when((text != "") & ~F.lower(text).isin("null", "undefined"), F.substring(text, 1, maximum))
+    usable = lambda text: (text != "") & ~F.lower(text).isin("null", "undefined")
+    return let(collapse(c), lambda text: F.when(usable(text), F.substring(text, 1, maximum)))
 
 
 def strip_tags(c: Column) -> Column:
@@ -81,9 +83,9 @@ def distinct_tokens(c: Column) -> Column:
 
 def query_terms(c: Column) -> Column:
     """Distinct meaningful words of a query; all its words when only stop words are left."""
-    words = tokens(c)
-    meaningful = F.array_except(words, F.array(*[F.lit(w) for w in STOP_WORDS]))
-    return F.when(F.size(meaningful) > 0, meaningful).otherwise(F.array_distinct(words))
+    stops = F.array(*[F.lit(w) for w in STOP_WORDS])
+    both = F.struct(tokens(c).alias("words"), F.array_except(tokens(c), stops).alias("kept"))
+    return let(both, lambda b: F.when(F.size(b["kept"]) > 0, b["kept"]).otherwise(F.array_distinct(b["words"])))
 
 
 def needed_matches(terms: Column) -> Column:
@@ -97,12 +99,11 @@ def is_relevant(terms: Column, document_tokens: Column) -> Column:
 
 def normalize_query(c: Column) -> Column:
     """struct(query, error_code): collapsed text of 1 to 200 characters."""
-    query = collapse(F.coalesce(c, F.lit("")))
-    valid = (query != "") & (F.char_length(query) <= MAX_QUERY_LENGTH)
-    return F.struct(
-        F.when(valid, query).alias("query"),
-        F.when(~valid, F.lit("invalid_request")).alias("error_code"),
-    )
+    valid = lambda query: F.char_length(query).between(1, MAX_QUERY_LENGTH)
+    return let(collapse(F.coalesce(c, F.lit(""))), lambda query: F.struct(
+        F.when(valid(query), query).alias("query"),
+        F.when(~valid(query), F.lit("invalid_request")).alias("error_code"),
+    ))
 
 
 def discovery_query(query: Column, country_name: Column) -> Column:
@@ -180,7 +181,9 @@ def keep_first_distinct(values: Column, maximum: int) -> Column:
 def distinct_ignore_case(values: Column) -> Column:
     """Non-empty values whose lower-cased form appears for the first time."""
     present = F.filter(values, lambda v: v.isNotNull() & (v != ""))
-    return F.filter(present, lambda v, i: F.array_position(F.transform(present, F.lower), F.lower(v)) == i + 1)
+    first = lambda all_values: F.filter(
+        all_values, lambda v, i: F.array_position(F.transform(all_values, F.lower), F.lower(v)) == i + 1)
+    return let(present, first)
 
 
 def present(values: list[Column]) -> Column:
@@ -194,4 +197,4 @@ def join_present(separator: str, *values: Column) -> Column:
 
 def as_value(c: Column) -> Column:
     """The text unless it is empty or blank."""
-    return F.when(F.trim(c) != "", c)
+    return let(c, lambda v: F.when(F.trim(v) != "", v))

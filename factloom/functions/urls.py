@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from factloom.functions import let
 from factloom.functions.text import blank_to_null, collapse
 
 MAX_URL_LENGTH = 2048
@@ -72,8 +73,8 @@ def port(url: Column) -> Column:
 
 
 def path(url: Column) -> Column:
-    found = F.regexp_extract(url, _PARTS, 3)
-    return F.when(found == "", F.lit("/")).otherwise(found)
+    # An empty path is the root; the address carries the slash it lacks.
+    return F.regexp_replace(F.regexp_extract(url, _PARTS, 3), "^$", "/")
 
 
 def query(url: Column) -> Column:
@@ -90,9 +91,8 @@ def last_segment(url: Column) -> Column:
 
 def parameter(url: Column, name: str) -> Column:
     """Decoded first value of a query parameter, null when absent or malformed."""
-    raw = F.regexp_extract(F.concat(F.lit("&"), query(url)), rf"&{name}=([^&]*)", 1)
-    present = F.concat(F.lit("&"), query(url)).rlike(rf"&{name}=")
-    return F.when(present, F.try_url_decode(raw))
+    value = lambda q: F.when(q.rlike(rf"&{name}="), F.try_url_decode(F.regexp_extract(q, rf"&{name}=([^&]*)", 1)))
+    return let(F.concat(F.lit("&"), query(url)), value)
 
 
 def origin(url: Column) -> Column:
@@ -105,26 +105,28 @@ def is_http(url: Column) -> Column:
 
 def public_url(url: Column) -> Column:
     """The trimmed absolute web address, else null."""
-    trimmed = F.trim(url)
-    return F.when(is_http(trimmed), trimmed)
+    return let(F.trim(url), lambda u: F.when(is_http(u), u))
 
 
 def absolute_url(href: Column, base: Column) -> Column:
     """A link resolved against its page; null for other schemes."""
-    link = F.trim(href)
-    folder = F.regexp_replace(path(base), r"[^/]*$", "")
-    joined = F.concat(origin(base), folder, F.regexp_replace(link, r"^\./", ""))
-    without_query = F.regexp_replace(base, r"[?#].*$", "")
-    resolved = (
-        F.when(link.rlike(r"^(?i)https?://"), link)
-        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
-        .when(link.startswith("//"), F.concat(scheme(base), F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(origin(base), link))
-        .when(link.startswith("?"), F.concat(without_query, link))
-        .when(link.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), link))
-        .when(link == "", base)
-        .otherwise(joined)
-    )
+    bound = F.struct(F.trim(href).alias("link"), base.alias("base"), origin(base).alias("origin"))
+
+    def resolve(v: Column) -> Column:
+        link, page = v["link"], v["base"]
+        folder = F.regexp_replace(path(page), r"[^/]*$", "")
+        return (
+            F.when(link.rlike(r"^(?i)https?://"), link)
+            .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+            .when(link.startswith("//"), F.concat(scheme(page), F.lit(":"), link))
+            .when(link.startswith("/"), F.concat(v["origin"], link))
+            .when(link.startswith("?"), F.concat(F.regexp_replace(page, r"[?#].*$", ""), link))
+            .when(link.startswith("#"), F.concat(F.regexp_replace(page, "#.*$", ""), link))
+            .when(link == "", page)
+            .otherwise(F.concat(v["origin"], folder, F.regexp_replace(link, r"^\./", "")))
+        )
+
+    resolved = let(bound, resolve)
     # One `segment/..` pair is folded per pass; deeper climbs than four stay as written.
     for _ in range(4):
         resolved = F.regexp_replace(resolved, r"(?<=[^/:])/(?!\.\.(?:/|$))[^/?#]+/\.\.(?=/|$)", "")
@@ -172,33 +174,38 @@ def _ipv4_part(part: Column) -> Column:
 def address_kind(name: Column) -> Column:
     """`ip` for any spelling of an address, `broken` for a numeric host that is none, else null."""
     labels = F.split(F.regexp_replace(name, r"\.$", ""), r"\.")
-    numeric = F.element_at(labels, -1).rlike(r"^(?:\d+|0x[0-9a-f]*)$")
-    values = F.transform(labels, _ipv4_part)
-    rest = F.lit(256).cast("decimal(20,0)")
-    limit = F.pow(rest, 5 - F.size(labels)).cast("decimal(20,0)")
-    fits = (
-        (F.size(labels) <= 4)
-        & F.forall(values, lambda v: v.isNotNull())
-        & F.forall(F.slice(values, 1, F.greatest(F.size(labels) - 1, F.lit(0))), lambda v: v <= 255)
-        & (F.element_at(values, -1) < limit)
-    )
-    return (
-        F.when(name.contains(":"), F.lit("ip"))
-        .when(numeric & F.coalesce(fits, F.lit(False)), F.lit("ip"))
-        .when(numeric, F.lit("broken"))
-    )
+    bound = F.struct(
+        name.contains(":").alias("v6"), F.element_at(labels, -1).rlike(r"^(?:\d+|0x[0-9a-f]*)$").alias("numeric"),
+        F.size(labels).alias("n"), F.transform(labels, _ipv4_part).alias("values"))
+
+    def kind(v: Column) -> Column:
+        # The last number fills all bytes that are left.
+        limit = F.element_at(F.array(*[F.lit(256**k).cast("decimal(20,0)") for k in (4, 3, 2, 1)]), F.least(v["n"], F.lit(4)))
+        fits = (
+            (v["n"] <= 4)
+            & F.forall(v["values"], lambda x: x.isNotNull())
+            & (F.size(F.filter(v["values"], lambda x, i: (x > 255) & (i < v["n"] - 1))) == 0)
+            & (F.element_at(v["values"], -1) < limit)
+        )
+        return (
+            F.when(v["v6"] | (v["numeric"] & F.coalesce(fits, F.lit(False))), F.lit("ip"))
+            .when(v["numeric"], F.lit("broken"))
+        )
+
+    return let(bound, kind)
 
 
 def registrable_domain(name: Column) -> Column:
     """Site domain of a host, null for bare suffixes. Uses the listed two-level suffixes only."""
-    labels = F.split(name, r"\.")
-    suffix = F.array_join(F.slice(labels, -2, 2), ".")
-    size = F.size(labels)
-    return (
-        F.when(size < 2, F.lit(None).cast("string"))
-        .when(suffix.isin(*TWO_LEVEL_SUFFIXES), F.when(size >= 3, F.array_join(F.slice(labels, -3, 3), ".")))
-        .otherwise(suffix)
-    )
+    def domain(labels: Column) -> Column:
+        two = F.array_join(F.slice(labels, -2, 2), ".")
+        return (
+            F.when(F.size(labels) < 2, F.lit(None).cast("string"))
+            .when(two.isin(*TWO_LEVEL_SUFFIXES), F.when(F.size(labels) >= 3, F.array_join(F.slice(labels, -3, 3), ".")))
+            .otherwise(two)
+        )
+
+    return let(F.split(name, r"\."), domain)
 
 
 def validate_url(url: Column, own_hosts: tuple[str, ...] = ()) -> Column:
@@ -206,38 +213,39 @@ def validate_url(url: Column, own_hosts: tuple[str, ...] = ()) -> Column:
 
     The first failing rule decides the code. `own_hosts` are the hosts of the service itself.
     """
-    name = F.regexp_replace(host(url), r"\.$", "")
-    labels = F.split(name, r"\.")
-    good_labels = F.forall(labels, lambda label: label.rlike(r"^(?!-)[a-z0-9-]{1,63}(?<!-)$"))
-    domain = registrable_domain(name)
-    special = F.exists(
-        F.array(*[F.lit(s) for s in SPECIAL_USE_SUFFIXES]),
-        lambda s: (name == s) | name.endswith(F.concat(F.lit("."), s)),
-    )
-    blocked = name.isin(*BLOCKED_HOSTS, *own_hosts)
-    for suffix in BLOCKED_SUFFIXES:
-        blocked = blocked | name.endswith(suffix)
-    kind = address_kind(name)
-    user = F.regexp_extract(_authority(url), r"^(.*)@", 1)
-    invalid, unsafe = F.lit("invalid_url"), F.lit("unsafe_url")
-    code = (
-        F.when(url.isNull() | (url == "") | (F.char_length(url) > MAX_URL_LENGTH), invalid)
-        .when(~url.rlike(_PARTS), invalid)
-        .when(~scheme(url).isin("http", "https"), unsafe)
-        .when((name == "") | name.rlike(r"[\s<>^|%]"), invalid)
-        .when(kind == "broken", invalid)
-        .when(F.regexp_replace(user, ":", "") != "", unsafe)
-        .when((port(url) != "") & ~port(url).isin("80", "443"), unsafe)
-        .when(kind == "ip", unsafe)
-        .when((F.char_length(name) > 253) | ~good_labels | domain.isNull(),
-              F.when((F.size(labels) == 1) & blocked, invalid).otherwise(invalid))
-        .when((special & ~F.coalesce(domain.isin(*ALLOWED_EXAMPLES), F.lit(False))) | blocked, unsafe)
-    )
-    default_port = ((scheme(url) == "http") & (port(url) == "80")) | ((scheme(url) == "https") & (port(url) == "443"))
-    shown_port = F.when((port(url) == "") | default_port, F.lit("")).otherwise(F.concat(F.lit(":"), port(url)))
-    question = F.when(query(url) == "", F.lit("")).otherwise(F.concat(F.lit("?"), query(url)))
-    normal = F.concat(scheme(url), F.lit("://"), name, shown_port, path(url), question)
-    return F.struct(F.when(code.isNull(), normal).alias("url"), code.alias("error_code"))
+    def parts(u: Column) -> Column:
+        name = F.regexp_replace(host(u), r"\.$", "")
+        return F.struct(
+            u.alias("url"), scheme(u).alias("scheme"), name.alias("name"), port(u).alias("port"), path(u).alias("path"),
+            query(u).alias("query"), F.regexp_replace(F.regexp_extract(_authority(u), r"^(.*)@", 1), ":", "").alias("user"))
+
+    def named(p: Column) -> Column:
+        return F.struct(p.alias("p"), address_kind(p["name"]).alias("kind"), registrable_domain(p["name"]).alias("domain"))
+
+    def decide(v: Column) -> Column:
+        p = v["p"]
+        name, web_port = p["name"], p["port"]
+        good_labels = F.forall(F.split(name, r"\."), lambda label: label.rlike(r"^(?!-)[a-z0-9-]{1,63}(?<!-)$"))
+        below = lambda suffixes: F.exists(F.array(*[F.lit(s) for s in suffixes]), lambda s: name.endswith(s))
+        special = name.isin(*SPECIAL_USE_SUFFIXES) | below(["." + s for s in SPECIAL_USE_SUFFIXES])
+        example = F.coalesce(v["domain"].isin(*ALLOWED_EXAMPLES), F.lit(False))
+        blocked = name.isin(*BLOCKED_HOSTS, *own_hosts) | below(BLOCKED_SUFFIXES)
+        invalid, unsafe = F.lit("invalid_url"), F.lit("unsafe_url")
+        code = (
+            F.when(p["url"].isNull() | ~F.char_length(p["url"]).between(1, MAX_URL_LENGTH) | (p["scheme"] == ""), invalid)
+            .when(~p["scheme"].isin("http", "https"), unsafe)
+            .when((name == "") | name.rlike(r"[\s<>^|%]") | F.coalesce(v["kind"] == "broken", F.lit(False)), invalid)
+            .when((p["user"] != "") | ((web_port != "") & ~web_port.isin("80", "443")) | F.coalesce(v["kind"] == "ip", F.lit(False)), unsafe)
+            .when((F.char_length(name) > 253) | ~good_labels | v["domain"].isNull(), invalid)
+            .when((special & ~example) | blocked, unsafe)
+        )
+        usual = F.when(p["scheme"] == "http", F.lit("80")).otherwise(F.lit("443"))
+        shown_port = F.when((web_port == "") | (web_port == usual), F.lit("")).otherwise(F.concat(F.lit(":"), web_port))
+        question = F.when(p["query"] == "", F.lit("")).otherwise(F.concat(F.lit("?"), p["query"]))
+        return F.struct(code.alias("code"), F.concat(p["scheme"], F.lit("://"), name, shown_port, p["path"], question).alias("url"))
+
+    decided = let(let(let(url, parts), named), decide)
+    return let(decided, lambda d: F.struct(F.when(d["code"].isNull(), d["url"]).alias("url"), d["code"].alias("error_code")))
 
 
 def canonical_url_key(url: Column) -> Column:
@@ -255,10 +263,11 @@ def canonical_url_key(url: Column) -> Column:
 
 def site_key(name: Column) -> Column:
     """Last two labels of a host, three below a two-level suffix."""
-    labels = F.split(F.regexp_replace(F.lower(name), r"\.$", ""), r"\.")
-    suffix = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")
-    longer = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 2, F.lit(1)), 3), ".")
-    return F.when((F.size(labels) > 2) & suffix.isin(*TWO_LEVEL_SUFFIXES), longer).otherwise(suffix)
+    def key(labels: Column) -> Column:
+        last = lambda n: F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".")
+        return F.when((F.size(labels) > 2) & last(2).isin(*TWO_LEVEL_SUFFIXES), last(3)).otherwise(last(2))
+
+    return let(F.split(F.regexp_replace(F.lower(name), r"\.$", ""), r"\."), key)
 
 
 def valid_domain(name: Column) -> Column:

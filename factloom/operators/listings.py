@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
+from factloom.functions import let
 from factloom.functions import numbers as N
 from factloom.functions import text as T
 from factloom.functions import urls as U
@@ -20,17 +21,14 @@ MAX_ITEMS = 50
 
 def json_items(value: Column) -> Column:
     """JSON texts of a list, or the single value as a list; empty when null."""
-    return F.coalesce(
-        F.when(value.startswith("["), F.from_json(value, "array<string>")).when(value.isNotNull(), F.array(value)),
-        F.array().cast("array<string>"),
-    )
+    items = let(value, lambda v: F.when(v.startswith("["), F.from_json(v, "array<string>")).when(v.isNotNull(), F.array(v)))
+    return F.coalesce(items, F.array().cast("array<string>"))
 
 
 def json_text(obj: Column, *paths: str) -> Column:
     """Plain text of the first path that holds a scalar."""
-    found = [F.get_json_object(obj, p) for p in paths]
-    usable = [T.blank_to_null(T.strip_tags(F.when(~v.rlike(r"^[\[{]"), v))) for v in found]
-    return F.coalesce(*usable)
+    scalar = lambda v: T.blank_to_null(T.strip_tags(F.when(~v.rlike(r"^[\[{]"), v)))
+    return F.coalesce(*[let(F.get_json_object(obj, p), scalar) for p in paths])
 
 
 def named(value: Column) -> Column:
@@ -40,13 +38,14 @@ def named(value: Column) -> Column:
     return T.blank_to_null(F.array_join(F.filter(names, lambda n: n.isNotNull()), ", "))
 
 
-def first_value(nodes: Column, scope: Column, tests: list[Callable[[Column], Column]]) -> Column:
+def first_node(inner: Column, test: Callable[[Column], Column]) -> Column:
+    return F.get(F.filter(inner, test), F.lit(0))
+
+
+def first_value(nodes: Column, inner: Column, tests: list[Callable[[Column], Column]]) -> Column:
     """Content attribute or text of the first match of the first test that gives any."""
-    values = []
-    for test in tests:
-        node = F.get(F.filter(subtree(nodes, scope), test), F.lit(0))
-        values.append(F.coalesce(T.as_value(attr(node, "content")), T.as_value(node_text(nodes, node))))
-    return F.coalesce(*values)
+    value = lambda node: F.coalesce(T.as_value(attr(node, "content")), T.as_value(node_text(nodes, node)))
+    return F.coalesce(*[let(first_node(inner, test), value) for test in tests])
 
 
 def itemprop(name: str) -> Callable[[Column], Column]:
@@ -70,21 +69,14 @@ def _ancestors(nodes: Column, node: Column, test: Callable[[Column], Column]) ->
 
 
 def _unique_by(items: Column, field: str, maximum: int) -> Column:
-    keys = F.transform(items, lambda x: x[field])
-    first = F.filter(items, lambda x, i: x[field].isNotNull() & (F.array_position(keys, x[field]) == i + 1))
-    return F.slice(first, 1, maximum)
-
-
-def _whole(nodes: Column) -> Column:
-    """A pretend node that spans the page."""
-    return F.struct(F.lit(-1).alias("id"), F.size(nodes).alias("stop"))
+    first = lambda rows: F.filter(
+        rows, lambda x, i: x[field].isNotNull() & (F.array_position(F.transform(rows, lambda r: r[field]), x[field]) == i + 1))
+    return F.slice(let(items, first), 1, maximum)
 
 
 def listing_title(nodes: Column, fallback: str) -> Column:
-    main = F.get(F.filter(nodes, tag_is("main")), F.lit(0))
-    in_main = first_value(nodes, main, [tag_is("h1")])
-    return F.coalesce(in_main, first_value(nodes, _whole(nodes), [tag_is("h1")]),
-                      first_value(nodes, _whole(nodes), [tag_is("title")]), F.lit(fallback))
+    in_main = first_value(nodes, subtree(nodes, first_node(nodes, tag_is("main"))), [tag_is("h1")])
+    return F.coalesce(in_main, first_value(nodes, nodes, [tag_is("h1"), tag_is("title")]), F.lit(fallback))
 
 
 def _is_card(nodes: Column) -> Callable[[Column], Column]:
@@ -110,45 +102,55 @@ def may_list_products(html: Column) -> Column:
 
 def product_cards(nodes: Column, page: Column) -> Column:
     """Product cards of a page: own-site link, title, price and picture; unique by address, at most 50."""
-    def item(card: Column) -> Column:
-        inner = subtree(nodes, card)
-        linked = lambda n: (n["tag"] == "a") & attr(n, "href").isNotNull()
-        named_link = F.get(F.filter(inner, lambda n: linked(n) & attr(n, "data-product-name").isNotNull()), F.lit(0))
-        marked = F.get(F.filter(inner, itemprop("url")), F.lit(0))
-        href = F.coalesce(T.as_value(attr(marked, "content")), T.as_value(attr(marked, "href")),
-                          T.as_value(attr(named_link, "href")), attr(F.get(F.filter(inner, linked), F.lit(0)), "href"))
-        target = U.absolute_url(F.when(~href.rlike(r"^\s*(?i:javascript:|#)"), href), page)
-        url = F.when(U.is_http(target) & (U.origin(target) == U.origin(page)), target)
-        source = lambda n: F.coalesce(T.as_value(attr(n, "src")), T.as_value(attr(n, "data-src")))
-        image = F.get(F.filter(inner, lambda n: (n["tag"] == "img") & F.coalesce(~source(n).rlike(r"(?i)\.svg(?:\?|$)"), F.lit(False))), F.lit(0))
-        title = F.coalesce(
-            T.as_value(T.collapse(attr(named_link, "data-product-name"))),
-            first_value(nodes, card, [itemprop("name"), class_is("product-title"), class_is("product-name"),
-                                      class_is("h3"), tag_is("h2"), tag_is("h3")]),
-            T.as_value(T.collapse(attr(image, "alt"))),
+    linked = lambda n: (n["tag"] == "a") & attr(n, "href").isNotNull()
+    source = lambda n: F.coalesce(T.as_value(attr(n, "src")), T.as_value(attr(n, "data-src")))
+    drawn = lambda n: (n["tag"] == "img") & F.coalesce(~source(n).rlike(r"(?i)\.svg(?:\?|$)"), F.lit(False))
+
+    def read(card: Column, inner: Column) -> Column:
+        """What the card shows, before it is interpreted."""
+        return F.struct(
+            card.alias("card"),
+            first_node(inner, lambda n: linked(n) & attr(n, "data-product-name").isNotNull()).alias("named"),
+            first_node(inner, itemprop("url")).alias("marked"), first_node(inner, linked).alias("link"),
+            first_node(inner, drawn).alias("image"),
+            first_value(nodes, inner, [itemprop("name"), class_is("product-title"), class_is("product-name"),
+                                       class_is("h3"), tag_is("h2"), tag_is("h3")]).alias("heading"),
+            first_value(nodes, inner, [itemprop("price"), class_is("currentprice"), class_is("price"), class_like("price")]).alias("display"),
+            first_value(nodes, inner, [itemprop("priceCurrency")]).alias("currency"),
+            first_value(nodes, inner, [itemprop("brand")]).alias("brand"),
         )
-        display = first_value(nodes, card, [itemprop("price"), class_is("currentprice"), class_is("price"), class_like("price")])
-        currency = N.currency_from_text(first_value(nodes, card, [itemprop("priceCurrency")]), display)
-        lowest = attr(card, "data-pricemin")
-        major = F.coalesce(F.when(lowest.rlike(r"^\d+(\.\d+)?$"), lowest.try_cast("decimal(30,8)")), N.decimal_amount(display))
-        scale = F.when(currency == "JPY", F.lit(1)).otherwise(F.lit(100))
-        price = F.floor(major * scale + F.lit("0.5").cast("decimal(3,1)")).cast("long")
-        picture = U.absolute_url(source(image), page)
+
+    def interpret(c: Column) -> Column:
+        href = F.coalesce(T.as_value(attr(c["marked"], "content")), T.as_value(attr(c["marked"], "href")),
+                          T.as_value(attr(c["named"], "href")), attr(c["link"], "href"))
+        target = let(href, lambda h: U.absolute_url(F.when(~h.rlike(r"^\s*(?i:javascript:|#)"), h), page))
+        own = let(target, lambda t: F.when(U.is_http(t) & (U.origin(t) == U.origin(page)), t))
+        lowest = attr(c["card"], "data-pricemin")
+        major = F.coalesce(let(lowest, lambda v: F.when(v.rlike(r"^\d+(\.\d+)?$"), v.try_cast("decimal(30,8)"))), N.decimal_amount(c["display"]))
+        alt = T.as_value(T.collapse(attr(c["image"], "alt")))
+        label = F.coalesce(T.as_value(attr(c["card"], "data-product-id")), T.as_value(attr(c["card"], "data-asin")), attr(c["card"], "id"))
+        return F.struct(
+            c.alias("c"), own.alias("url"), alt.alias("alt"), major.alias("major"),
+            F.coalesce(T.as_value(T.collapse(attr(c["named"], "data-product-name"))), c["heading"], alt).alias("title"),
+            N.currency_from_text(c["currency"], c["display"]).alias("currency"), T.as_value(T.collapse(label)).alias("label"),
+            let(U.absolute_url(source(c["image"]), page), lambda u: F.when(U.is_http(u), u)).alias("image_url"),
+        )
+
+    def finish(v: Column) -> Column:
+        scale = F.when(v["currency"] == "JPY", F.lit(1)).otherwise(F.lit(100))
+        price = F.floor(v["major"] * scale + F.lit("0.5").cast("decimal(3,1)")).cast("long")
         return F.struct(
-            F.coalesce(T.as_value(T.collapse(F.coalesce(T.as_value(attr(card, "data-product-id")), T.as_value(attr(card, "data-asin")), attr(card, "id")))),
-                       U.last_segment(url)).alias("id"),
-            url.alias("url"), title.alias("title"),
-            F.coalesce(T.as_value(T.collapse(attr(named_link, "data-product-brand"))),
-                       first_value(nodes, card, [itemprop("brand")])).alias("brand"),
-            T.as_value(F.regexp_replace(T.collapse(attr(named_link, "data-product-category")), "/+$", "")).alias("category"),
-            price.alias("price"), currency.alias("currency"),
-            F.when(price.isNotNull(), F.coalesce(display, major.cast("string"))).alias("price_display"),
-            F.when(U.is_http(picture), picture).alias("image_url"),
-            F.coalesce(T.as_value(T.collapse(attr(image, "alt"))), title).alias("image_alt"),
+            F.coalesce(v["label"], U.last_segment(v["url"])).alias("id"), v["url"].alias("url"), v["title"].alias("title"),
+            F.coalesce(T.as_value(T.collapse(attr(v["c"]["named"], "data-product-brand"))), v["c"]["brand"]).alias("brand"),
+            T.as_value(F.regexp_replace(T.collapse(attr(v["c"]["named"], "data-product-category")), "/+$", "")).alias("category"),
+            price.alias("price"), v["currency"].alias("currency"),
+            F.when(v["major"].isNotNull(), F.coalesce(v["c"]["display"], v["major"].cast("string"))).alias("price_display"),
+            v["image_url"].alias("image_url"), F.coalesce(v["alt"], v["title"]).alias("image_alt"),
         )
 
-    cards = F.transform(F.filter(nodes, _is_card(nodes)), item)
-    return _unique_by(F.filter(cards, lambda c: c["url"].isNotNull() & c["title"].isNotNull()), "url", MAX_ITEMS)
+    seen = F.transform(F.filter(nodes, _is_card(nodes)), lambda card: let(subtree(nodes, card), lambda inner: read(card, inner)))
+    usable = F.filter(F.transform(seen, interpret), lambda v: v["url"].isNotNull() & v["title"].isNotNull())
+    return _unique_by(F.transform(usable, finish), "url", MAX_ITEMS)
 
 
 def product_card_markdown(item: Column) -> Column:
@@ -164,46 +166,50 @@ def product_card_markdown(item: Column) -> Column:
 
 def blog_items(nodes: Column, page: Column) -> Column:
     """Posts that a list page links from its headings; unique by address, at most 50."""
-    main = F.get(F.filter(nodes, tag_is("main")), F.lit(0))
-    scope = F.coalesce(F.when(main.isNotNull(), subtree(nodes, main)), nodes)
+    main = first_node(nodes, tag_is("main"))
+    scope = let(main, lambda m: F.when(m.isNotNull(), subtree(nodes, m)).otherwise(nodes))
     headings = F.filter(scope, lambda n: n["tag"].isin("h2", "h3", "h4") | itemprop("headline")(n))
-
-    def item(heading: Column) -> Column:
-        link = lambda n: (n["tag"] == "a") & attr(n, "href").isNotNull()
-        anchor = F.when(link(heading), heading).otherwise(F.get(F.filter(subtree(nodes, heading), link), F.lit(0)))
-        href = attr(anchor, "href")
-        target = U.without_fragment(U.absolute_url(F.when(~href.rlike(r"^\s*(?i:javascript:|mailto:|tel:|#)"), href), page))
-        url = F.when(U.is_http(target) & (U.host(target) == U.host(page)) & (target != page), target)
-        title = F.coalesce(T.as_value(T.collapse(attr(anchor, "aria-label"))), T.as_value(T.collapse(attr(anchor, "title"))),
-                           T.as_value(node_text(nodes, anchor)))
-        holder = lambda a: a["tag"].isin("article", "li") | F.coalesce(attr(a, "itemtype").rlike("/(Article|BlogPosting)$"), F.lit(False))
-        above = _ancestors(nodes, heading, lambda a: F.lit(True))
-        box = F.coalesce(F.try_element_at(_ancestors(nodes, anchor, holder), F.lit(-1)), F.try_element_at(above, F.lit(-2)),
-                         F.try_element_at(above, F.lit(-1)), heading)
-        pick = lambda test: F.get(F.filter(subtree(nodes, box), test), F.lit(0))
-        text_of = lambda test: T.as_value(node_text(nodes, pick(test)))
+    link = lambda n: (n["tag"] == "a") & attr(n, "href").isNotNull()
+    holder = lambda a: a["tag"].isin("article", "li") | F.coalesce(attr(a, "itemtype").rlike("/(Article|BlogPosting)$"), F.lit(False))
+
+    def anchored(heading: Column) -> Column:
+        anchor = F.when(link(heading), heading).otherwise(first_node(subtree(nodes, heading), link))
+        return F.struct(heading.alias("heading"), anchor.alias("anchor"))
+
+    def boxed(v: Column) -> Column:
+        href = attr(v["anchor"], "href")
+        absolute = let(href, lambda h: U.without_fragment(U.absolute_url(F.when(~h.rlike(r"^\s*(?i:javascript:|mailto:|tel:|#)"), h), page)))
+        url = let(absolute, lambda t: F.when(U.is_http(t) & (U.host(t) == U.host(page)) & (t != page), t))
+        title = F.coalesce(T.as_value(T.collapse(attr(v["anchor"], "aria-label"))), T.as_value(T.collapse(attr(v["anchor"], "title"))),
+                           T.as_value(node_text(nodes, v["anchor"])))
+        above = _ancestors(nodes, v["heading"], lambda a: F.lit(True))
+        box = F.coalesce(F.try_element_at(_ancestors(nodes, v["anchor"], holder), F.lit(-1)),
+                         let(above, lambda a: F.coalesce(F.try_element_at(a, F.lit(-2)), F.try_element_at(a, F.lit(-1)))), v["heading"])
+        return F.struct(url.alias("url"), title.alias("title"), box.alias("box"))
+
+    def item(v: Column, inner: Column) -> Column:
+        text_of = lambda test: T.as_value(node_text(nodes, first_node(inner, test)))
+        image = first_node(inner, lambda n: (n["tag"] == "img") & (attr(n, "src").isNotNull() | attr(n, "data-src").isNotNull()))
         stamp = F.coalesce(
-            T.as_value(attr(pick(lambda n: (n["tag"] == "time") & attr(n, "datetime").isNotNull()), "datetime")),
-            attr(pick(itemprop("datePublished")), "content"),
-        )
-        image = pick(lambda n: (n["tag"] == "img") & (attr(n, "src").isNotNull() | attr(n, "data-src").isNotNull()))
-        picture = U.absolute_url(F.coalesce(T.as_value(attr(image, "src")), attr(image, "data-src")), page)
+            T.as_value(attr(first_node(inner, lambda n: (n["tag"] == "time") & attr(n, "datetime").isNotNull()), "datetime")),
+            attr(first_node(inner, itemprop("datePublished")), "content"))
+        picture = let(image, lambda im: U.absolute_url(F.coalesce(T.as_value(attr(im, "src")), attr(im, "data-src")), page))
         return F.struct(
-            U.last_segment(url).alias("id"), url.alias("url"), title.alias("title"),
+            U.last_segment(v["url"]).alias("id"), v["url"].alias("url"), v["title"].alias("title"),
             text_of(lambda n: itemprop("description")(n) | class_like("description")(n) | class_like("excerpt")(n)
                     | class_like("summary")(n)).alias("description"),
             text_of(lambda n: F.coalesce(attr(n, "rel") == "author", F.lit(False)) | itemprop("author")(n)
                     | class_like("author")(n)).alias("author"),
             parse_date(stamp).alias("published_at"),
-            F.when(U.is_http(picture), picture).alias("image_url"),
-            F.coalesce(T.as_value(T.collapse(attr(image, "alt"))), title).alias("image_alt"),
+            let(picture, lambda u: F.when(U.is_http(u), u)).alias("image_url"),
+            F.coalesce(T.as_value(T.collapse(attr(image, "alt"))), v["title"]).alias("image_alt"),
         )
 
-    found = F.filter(F.transform(headings, item), lambda x: (
-        x["url"].isNotNull() & (F.char_length(x["title"]) >= 8)
-        & ~x["title"].rlike(r"^(?i)(?:learn more|read more|view all|see all|more)$")
+    found = F.filter(F.transform(F.transform(headings, anchored), boxed), lambda v: (
+        v["url"].isNotNull() & (F.char_length(v["title"]) >= 8)
+        & ~v["title"].rlike(r"^(?i)(?:learn more|read more|view all|see all|more)$")
     ))
-    return _unique_by(found, "url", MAX_ITEMS)
+    return _unique_by(F.transform(found, lambda v: let(subtree(nodes, v["box"]), lambda inner: item(v, inner))), "url", MAX_ITEMS)
 
 
 def blog_item_markdown(item: Column) -> Column:
@@ -256,74 +262,91 @@ def product_object(objects: Column) -> Column:
 
 def availability(offer: Column) -> Column:
     state = F.element_at(F.split(json_text(offer, "$.availability"), "/"), -1)
-    return F.when(F.char_length(state).between(1, 80), state)
+    return let(state, lambda s: F.when(F.char_length(s).between(1, 80), s))
 
 
 def offer_price(offer: Column) -> Column:
     """struct(price, currency, display) in minor units, null without a valid amount and currency."""
     amount = F.coalesce(F.get_json_object(offer, "$.price"), F.get_json_object(offer, "$.priceSpecification.price"))
     currency = F.upper(json_text(offer, "$.priceCurrency", "$.priceSpecification.priceCurrency"))
-    units = F.when(currency.rlike("^[A-Z]{3}$"), N.minor_units(amount, currency))
-    shown = amount.try_cast("decimal(30,8)")
-    digits = N.currency_digits(currency)
-    display = F.concat_ws(" ", F.when(digits == 0, shown.cast("decimal(30,0)").cast("string")).otherwise(shown.cast("decimal(30,2)").cast("string")), currency)
-    return F.when(units.isNotNull(), F.struct(units.alias("price"), currency.alias("currency"), display.alias("display")))
+
+    def measured(v: Column) -> Column:
+        units = F.when(v["currency"].rlike("^[A-Z]{3}$"), N.minor_units(v["amount"], v["currency"]))
+        return F.struct(units.alias("price"), v["currency"].alias("currency"), v["amount"].try_cast("decimal(30,8)").alias("shown"))
+
+    def shown(v: Column) -> Column:
+        whole = N.currency_digits(v["currency"]) == 0
+        text = F.when(whole, v["shown"].cast("decimal(30,0)").cast("string")).otherwise(v["shown"].cast("decimal(30,2)").cast("string"))
+        return F.when(v["price"].isNotNull(), F.struct(
+            v["price"].alias("price"), v["currency"].alias("currency"), F.concat_ws(" ", text, v["currency"]).alias("display")))
+
+    return let(let(F.struct(amount.alias("amount"), currency.alias("currency")), measured), shown)
 
 
 def product_detail(product: Column, page: Column) -> Column:
     """struct of a product object: brand, seller, variants, cheapest price, availability, rating, pictures."""
-    offers = F.slice(F.filter(json_items(F.get_json_object(product, "$.offers")), lambda o: o.startswith("{")), 1, 100)
-    title = json_text(product, "$.name")
-
-    def variant(offer: Column) -> Column:
-        sku = json_text(offer, "$.itemOffered.sku", "$.sku")
-        look = T.join_present(" / ", json_text(offer, "$.itemOffered.color", "$.color"), json_text(offer, "$.itemOffered.size", "$.size"))
-        price = offer_price(offer)
-        state = availability(offer)
+    raw = F.slice(F.filter(json_items(F.get_json_object(product, "$.offers")), lambda o: o.startswith("{")), 1, 100)
+    # Each offer is read once: its price, state, seller and what it offers.
+    offers = F.transform(raw, lambda o: F.struct(
+        offer_price(o).alias("price"), availability(o).alias("state"), named(F.get_json_object(o, "$.seller")).alias("seller"),
+        json_text(o, "$.itemOffered.sku", "$.sku").alias("sku"),
+        T.join_present(" / ", json_text(o, "$.itemOffered.color", "$.color"), json_text(o, "$.itemOffered.size", "$.size")).alias("look"),
+        json_text(o, "$.itemOffered.name").alias("name"),
+        json_text(o, "$.itemOffered.gtin", "$.itemOffered.gtin8", "$.itemOffered.gtin12", "$.itemOffered.gtin13",
+                  "$.itemOffered.gtin14").alias("gtin"),
+    ))
+
+    def variants_of(rows: Column) -> Column:
+        variants = F.transform(rows, lambda o: F.struct(
+            F.coalesce(T.blank_to_null(o["look"]), o["name"], o["sku"]).alias("title"), o["sku"].alias("sku"), o["gtin"].alias("gtin"),
+            o["price"]["price"].alias("price"), o["price"]["currency"].alias("currency"), o["price"]["display"].alias("price_display"),
+            F.when(o["state"].isNotNull(), F.lower(o["state"]) == "instock").alias("available"),
+        ))
+        return F.filter(variants, lambda v: v["title"].isNotNull())
+
+    def cheapest(rows: Column) -> Column:
+        priced = F.filter(rows, lambda r: r["price"].isNotNull())
+        return F.array_min(F.transform(priced, lambda r, i: F.struct(
+            r["price"].alias("price"), i.alias("i"), r["currency"].alias("currency"), r["price_display"].alias("display"))))
+
+    def summed(rows: Column) -> Column:
+        prices = F.transform(F.filter(rows, lambda o: o["price"].isNotNull()), lambda o: F.struct(
+            o["price"]["price"].alias("price"), o["price"]["currency"].alias("currency"), o["price"]["display"].alias("price_display")))
+        states = F.filter(F.transform(rows, lambda o: o["state"]), lambda s: s.isNotNull())
+        sellers = F.filter(F.transform(rows, lambda o: o["seller"]), lambda s: s.isNotNull())
         return F.struct(
-            F.coalesce(T.blank_to_null(look), json_text(offer, "$.itemOffered.name"), sku).alias("title"), sku.alias("sku"),
-            json_text(offer, "$.itemOffered.gtin", "$.itemOffered.gtin8", "$.itemOffered.gtin12", "$.itemOffered.gtin13",
-                      "$.itemOffered.gtin14").alias("gtin"),
-            price["price"].alias("price"), price["currency"].alias("currency"), price["display"].alias("price_display"),
-            F.when(state.isNotNull(), F.lower(state) == "instock").alias("available"),
+            variants_of(rows).alias("variants"), F.coalesce(cheapest(variants_of(rows)), cheapest(prices)).alias("best"),
+            F.get(sellers, F.lit(0)).alias("seller"),
+            F.when(F.exists(states, lambda s: F.lower(s) == "instock"), F.lit("InStock")).otherwise(F.get(states, F.lit(0))).alias("state"),
         )
 
-    variants = F.filter(F.transform(offers, variant), lambda v: v["title"].isNotNull())
-    priced = F.filter(variants, lambda v: v["price"].isNotNull())
-    ranked = F.transform(priced, lambda v, i: F.struct(v["price"].alias("price"), i.alias("i"), v["currency"].alias("currency"), v["price_display"].alias("display")))
-    offered = F.filter(F.transform(offers, offer_price), lambda p: p.isNotNull())
-    ranked_offers = F.transform(offered, lambda p, i: F.struct(p["price"].alias("price"), i.alias("i"), p["currency"].alias("currency"), p["display"].alias("display")))
-    best = F.coalesce(F.array_min(ranked), F.array_min(ranked_offers))
-    states = F.filter(F.transform(offers, availability), lambda s: s.isNotNull())
-    in_stock = F.exists(states, lambda s: F.lower(s) == "instock")
-    sellers = F.filter(F.transform(offers, lambda o: named(F.get_json_object(o, "$.seller"))), lambda s: s.isNotNull())
-    rating = N.as_number(F.get_json_object(product, "$.aggregateRating.ratingValue"))
-    reviews = N.as_count(F.coalesce(F.get_json_object(product, "$.aggregateRating.reviewCount"),
-                                    F.get_json_object(product, "$.aggregateRating.ratingCount")))
-
     def picture(image: Column) -> Column:
         nested = image.startswith("{")
         source = F.when(nested, F.coalesce(F.get_json_object(image, "$.contentUrl"), F.get_json_object(image, "$.url"))).otherwise(image)
-        url = U.absolute_url(source, page)
         pick = lambda path: F.when(nested, N.as_positive(F.get_json_object(image, path)))
         return F.struct(
-            F.lit("image").alias("type"), F.when(U.is_http(url), url).alias("url"),
-            F.coalesce(F.when(nested, json_text(image, "$.caption")), title).alias("alt"),
+            F.lit("image").alias("type"), let(U.absolute_url(source, page), lambda u: F.when(U.is_http(u), u)).alias("url"),
+            F.coalesce(F.when(nested, json_text(image, "$.caption")), json_text(product, "$.name")).alias("alt"),
             pick("$.width").alias("width"), pick("$.height").alias("height"),
         )
 
-    images = _unique_by(F.transform(json_items(F.get_json_object(product, "$.image")), picture), "url", 12)
-    sku = json_text(product, "$.sku")
-    brand = named(F.get_json_object(product, "$.brand"))
-    return F.when(title.isNotNull(), F.struct(
-        F.coalesce(sku, U.last_segment(page)).alias("id"), title.alias("title"), brand.alias("brand"),
-        F.get(sellers, F.lit(0)).alias("seller"), json_text(product, "$.category").alias("category"), sku.alias("sku"),
+    bound = F.struct(
+        json_text(product, "$.name").alias("title"), json_text(product, "$.sku").alias("sku"), let(offers, summed).alias("offers"),
+        N.as_number(F.get_json_object(product, "$.aggregateRating.ratingValue")).alias("rating"),
+    )
+    return let(bound, lambda b: F.when(b["title"].isNotNull(), F.struct(
+        F.coalesce(b["sku"], U.last_segment(page)).alias("id"), b["title"].alias("title"),
+        named(F.get_json_object(product, "$.brand")).alias("brand"), b["offers"]["seller"].alias("seller"),
+        json_text(product, "$.category").alias("category"), b["sku"].alias("sku"),
         json_text(product, "$.gtin", "$.gtin8", "$.gtin12", "$.gtin13", "$.gtin14").alias("gtin"),
-        best["price"].alias("price"), best["currency"].alias("currency"), best["display"].alias("price_display"),
-        F.when(in_stock, F.lit("InStock")).otherwise(F.get(states, F.lit(0))).alias("availability"),
-        F.when(rating >= 0, rating).alias("rating"), reviews.alias("review_count"),
-        json_text(product, "$.description").alias("description"), variants.alias("variants"), images.alias("images"),
-    ))
+        b["offers"]["best"]["price"].alias("price"), b["offers"]["best"]["currency"].alias("currency"),
+        b["offers"]["best"]["display"].alias("price_display"), b["offers"]["state"].alias("availability"),
+        F.when(b["rating"] >= 0, b["rating"]).alias("rating"),
+        N.as_count(F.coalesce(F.get_json_object(product, "$.aggregateRating.reviewCount"),
+                              F.get_json_object(product, "$.aggregateRating.ratingCount"))).alias("review_count"),
+        json_text(product, "$.description").alias("description"), b["offers"]["variants"].alias("variants"),
+        _unique_by(F.transform(json_items(F.get_json_object(product, "$.image")), picture), "url", 12).alias("images"),
+    )))
 
 
 def variant_lines(variants: Column) -> Column:
@@ -343,22 +366,30 @@ CARD_RULES = {
 }
 
 
-def split_price(nodes: Column, scope: Column, currency: Column) -> Column:
-    """struct(price, display) of a card whose price has a whole and a fraction part, or is one text."""
-    box = F.get(F.filter(subtree(nodes, scope), class_is("a-price")), F.lit(0))
-    shown = F.coalesce(first_value(nodes, box, [class_is("a-offscreen")]), T.as_value(node_text(nodes, box)))
-    digits = N.currency_digits(currency)
-    scale = F.when(digits == 0, F.lit(1)).otherwise(F.lit(100)).cast("long")
-    whole = F.regexp_replace(first_value(nodes, box, [class_is("a-price-whole")]), r"\D", "").try_cast("long")
-    part = F.regexp_replace(F.coalesce(first_value(nodes, box, [class_is("a-price-fraction")]), F.lit("")), r"\D", "")
-    cents = F.when(digits == 0, F.lit(0)).otherwise(F.substring(F.rpad(part, 2, "0"), 1, 2).try_cast("long"))
-    number = F.trim(F.regexp_extract(shown, r"\d[\d\s.,'’]*", 0))
-    tail = F.when(digits == 0, F.lit("")).otherwise(F.regexp_extract(number, r"[.,](\d{2})\D*$", 1))
-    head = F.regexp_replace(F.when(tail != "", F.regexp_replace(number, r"[.,]\d{2}\D*$", "")).otherwise(number), r"\D", "")
-    from_text = head.try_cast("long") * scale + F.coalesce(tail.try_cast("long"), F.lit(0))
-    price = F.coalesce(whole * scale + cents, from_text)
-    return F.when(price.isNotNull() & shown.isNotNull() & currency.isNotNull(),
-                  F.struct(price.alias("price"), currency.alias("currency"), shown.alias("display")))
+def split_price(nodes: Column, inner: Column, currency: Column) -> Column:
+    """struct(price, currency, display) of a card whose price has a whole and a fraction part, or is one text."""
+    box = first_node(inner, class_is("a-price"))
+
+    def read(b: Column) -> Column:
+        parts = subtree(nodes, b)
+        return F.struct(
+            F.coalesce(first_value(nodes, parts, [class_is("a-offscreen")]), T.as_value(node_text(nodes, b))).alias("shown"),
+            F.regexp_replace(first_value(nodes, parts, [class_is("a-price-whole")]), r"\D", "").alias("whole"),
+            F.regexp_replace(F.coalesce(first_value(nodes, parts, [class_is("a-price-fraction")]), F.lit("")), r"\D", "").alias("part"),
+            (N.currency_digits(currency) == 0).alias("plain"), currency.alias("currency"))
+
+    def amount(v: Column) -> Column:
+        number = F.trim(F.regexp_extract(v["shown"], r"\d[\d\s.,'’]*", 0))
+        # A closing group of two digits is the fraction, other separators only group.
+        cents = F.regexp_replace(F.regexp_replace(number, r"[.,](\d{2})\D*$", "#$1"), r"[^\d#]", "")
+        text = F.when(v["plain"], F.regexp_replace(number, r"\D", "")).when(cents.contains("#"), F.regexp_replace(cents, "#", "")).otherwise(
+            F.concat(cents, F.lit("00")))
+        split = F.when(v["plain"], v["whole"]).otherwise(F.concat(v["whole"], F.substring(F.rpad(v["part"], 2, "0"), 1, 2)))
+        price = F.coalesce(F.when(v["whole"] != "", split), text).try_cast("long")
+        return F.when(price.isNotNull() & v["shown"].isNotNull() & v["currency"].isNotNull(),
+                      F.struct(price.alias("price"), v["currency"].alias("currency"), v["shown"].alias("display")))
+
+    return let(let(box, read), amount)
 
 
 def marketplace_cards(nodes: Column, page: Column, kind: str) -> Column:
@@ -370,25 +401,25 @@ def marketplace_cards(nodes: Column, page: Column, kind: str) -> Column:
         test = lambda n: (attr(n, "data-itemid").isNotNull() | attr(n, "data-asin").isNotNull()
                           | has_class(n, "a-carousel-card") | has_class(n, "product-card"))
 
-    def item(card: Column) -> Column:
-        inner = subtree(nodes, card)
-        link = F.get(F.filter(inner, lambda n: (n["tag"] == "a") & F.coalesce(attr(n, "href").contains("/dp/"), F.lit(False))), F.lit(0))
+    def item(card: Column, inner: Column) -> Column:
+        link = first_node(inner, lambda n: (n["tag"] == "a") & F.coalesce(attr(n, "href").contains("/dp/"), F.lit(False)))
         code = F.coalesce(T.as_value(F.upper(T.collapse(attr(card, "data-asin")))),
-                          T.as_value(F.upper(F.regexp_extract(attr(link, "href"), r"(?i)/dp/([a-z0-9]{10})(?:/|$)", 1))))
-        image = F.get(F.filter(inner, tag_is("img")), F.lit(0))
-        titles = first_value(nodes, card, rule["titles"])
-        title = titles if kind == "search" else F.coalesce(titles, T.as_value(T.collapse(attr(image, "alt"))))
-        price = split_price(nodes, card, U.marketplace_currency(page))
-        rating = first_value(nodes, card, [class_is("a-icon-alt")])
-        reviews = first_value(nodes, card, [lambda n: has_class(n, "s-underline-text")])
-        stars = F.regexp_replace(F.regexp_extract(rating, r"\d+(?:[.,]\d+)?", 0), ",", ".").try_cast("double")
+                          F.upper(F.regexp_extract(attr(link, "href"), r"(?i)/dp/([a-z0-9]{10})(?:/|$)", 1)))
+        image = first_node(inner, tag_is("img"))
+        shown = [first_value(nodes, inner, rule["titles"])] + ([] if kind == "search" else [T.as_value(T.collapse(attr(image, "alt")))])
+        stars = F.regexp_extract(first_value(nodes, inner, [class_is("a-icon-alt")]), r"\d+(?:[.,]\d+)?", 0)
+        reviews = first_value(nodes, inner, [class_is("s-underline-text")])
         return F.struct(
-            F.when(code.rlike("^[A-Z0-9]{10}$"), code).alias("id"),
-            F.concat(U.origin(page), F.lit("/dp/"), code).alias("url"), title.alias("title"),
-            price["price"].alias("price"), price["currency"].alias("currency"), price["display"].alias("price_display"),
-            stars.alias("rating"), F.regexp_replace(reviews, r"\D", "").try_cast("long").alias("review_count"),
+            let(code, lambda c: F.when(c.rlike("^[A-Z0-9]{10}$"), c)).alias("id"), F.coalesce(*shown).alias("title"),
+            split_price(nodes, inner, U.marketplace_currency(page)).alias("price"),
+            F.regexp_replace(stars, ",", ".").try_cast("double").alias("rating"),
+            F.regexp_replace(reviews, r"\D", "").try_cast("long").alias("review_count"),
             F.coalesce(U.public_url(attr(image, "data-old-hires")), U.public_url(attr(image, "src"))).alias("image_url"),
         )
 
-    cards = F.filter(F.transform(F.filter(nodes, test), item), lambda c: c["title"].isNotNull())
-    return _unique_by(cards, "id", rule["limit"])
+    cards = F.transform(F.filter(nodes, test), lambda card: let(subtree(nodes, card), lambda inner: item(card, inner)))
+    kept = _unique_by(F.filter(cards, lambda c: c["title"].isNotNull()), "id", rule["limit"])
+    return F.transform(kept, lambda c: F.struct(
+        c["id"].alias("id"), F.concat(U.origin(page), F.lit("/dp/"), c["id"]).alias("url"), c["title"].alias("title"),
+        c["price"]["price"].alias("price"), c["price"]["currency"].alias("currency"), c["price"]["display"].alias("price_display"),
+        c["rating"].alias("rating"), c["review_count"].alias("review_count"), c["image_url"].alias("image_url")))

@@ -53,7 +53,7 @@ def market_events(dividends: DataFrame, splits: DataFrame, limit: int = EVENT_LI
     """Dividends and splits in one table, the latest `limit` per symbol; `pos` counts them from the oldest."""
     both = dividends.withColumn("type", F.lit("dividend")).unionByName(
         splits.withColumn("type", F.lit("split")), allowMissingColumns=True)
-    kept = last_n(both, ["symbol"], "ts", limit)
+    kept = top_k(both, ["symbol"], [F.col("ts").desc(), F.col("type").desc()], limit, "_recent").drop("_recent")
     oldest_first = Window.partitionBy("symbol").orderBy("ts", "type")
     return kept.withColumn("pos", F.row_number().over(oldest_first).cast("long"))  # at most `limit` rows per symbol
 

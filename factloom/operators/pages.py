@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom.functions import html as H
+from factloom.functions import let
+from factloom.functions import numbers as N
 from factloom.functions import text as T
 from factloom.functions import urls as U
 from factloom.functions.dates import iso, modified_date, page_date
@@ -120,28 +122,29 @@ def preview_media(df: DataFrame, images: str = "_page.images") -> DataFrame:
         candidate(F.coalesce(F.get_json_object(v, "$.contentUrl"), F.get_json_object(v, "$.url")), F.lit(440), none,
                   F.get_json_object(v, "$.width"), F.get_json_object(v, "$.height")),
     ).otherwise(candidate(v, F.lit(440)))))
-    title = T.comparison_key(F.coalesce(F.col("meta.title"), F.lit("")))
+    df = df.withColumn("_title_key", T.comparison_key(F.coalesce(F.col("meta.title"), F.lit(""))))
+    title = F.col("_title_key")
 
     def image_score(image: Column, i: Column) -> Column:
-        alt = T.comparison_key(F.coalesce(image["alt"], F.lit("")))
-        named = (
+        named = let(T.comparison_key(F.coalesce(image["alt"], F.lit(""))), lambda alt: (
             F.when((title == "") | (alt == ""), 0).when(alt == title, 350)
             .when(title.contains(alt) | alt.contains(title), 180).otherwise(0)
-        )
+        ))
         large = (F.coalesce(image["width"].try_cast("int"), F.lit(0)) >= 300) & (F.coalesce(image["height"].try_cast("int"), F.lit(0)) >= 180)
         return F.greatest(F.lit(0), 100 - i) + F.when(image["in_main"], 180).otherwise(0) + named + F.when(large, 140).otherwise(0)
 
     groups.append(F.transform(F.col(images), lambda im, i: candidate(im["src"], image_score(im, i), im["alt"], im["width"], im["height"])))
 
+    def number(value: Column) -> Column:
+        return N.as_positive(F.regexp_extract(value, r"^\s*(\d+)", 1))
+
     def finished(c: Column, i: Column) -> Column:
-        url = U.validate_url(U.absolute_url(c["href"], page))["url"]
-        number = lambda v: F.when(F.regexp_extract(v, r"^\s*(\d+)", 1).try_cast("long") > 0, F.regexp_extract(v, r"^\s*(\d+)", 1).try_cast("long"))
-        return F.struct(
+        return let(U.validate_url(U.absolute_url(c["href"], page))["url"], lambda url: F.struct(
             c["score"].alias("score"), (-i).alias("order"), F.lit("image").alias("type"), url.alias("url"),
             T.as_value(F.trim(c["alt"])).alias("alt"),
             F.coalesce(number(c["width"]), number(U.parameter(url, "width")), number(U.parameter(url, "w"))).alias("width"),
             F.coalesce(number(c["height"]), number(U.parameter(url, "height")), number(U.parameter(url, "h"))).alias("height"),
-        )
+        ))
 
     def is_artwork(c: Column) -> Column:
         p = F.lower(U.path(c["url"]))
@@ -150,19 +153,26 @@ def preview_media(df: DataFrame, images: str = "_page.images") -> DataFrame:
         return c["url"].isNotNull() & ~icon & ~tiny
 
     df = df.withColumn("_candidates", F.transform(F.concat(*groups), finished))
-    best = F.array_max(F.transform(F.filter("_candidates", is_artwork), lambda c: c))
+    df = df.withColumn("_best", F.array_max(F.filter("_candidates", is_artwork)))
+    best = F.col("_best")
     return df.withColumn("media", F.when(best.isNotNull(), F.array(F.struct(
         best["type"].alias("type"), best["url"].alias("url"), best["alt"].alias("alt"), best["width"].alias("width"), best["height"].alias("height")
-    ))).otherwise(F.array().cast("array<struct<type:string,url:string,alt:string,width:bigint,height:bigint>>"))).drop("_candidates")
+    ))).otherwise(F.array().cast("array<struct<type:string,url:string,alt:string,width:bigint,height:bigint>>"))).drop("_candidates", "_best", "_title_key")
 
 
 def choose_content(page: Column, meta: Column) -> Column:
     """struct(content, metadata_only): the focused section, readable block, whole body or description that is long enough."""
     long = lambda c: F.when(F.char_length(c) >= MIN_CONTENT, c)
-    text = F.coalesce(long(page["focused"]), long(page["readable"]), long(page["fallback"]), long(meta["description"]))
-    body = F.coalesce(long(page["focused"]), long(page["readable"]), long(page["fallback"]))
-    title = F.when(meta["title"].isNotNull() & ~text.startswith("# "), F.concat(F.lit("# "), meta["title"], F.lit("\n\n"))).otherwise(F.lit(""))
-    return F.struct(F.concat(title, text).alias("content"), (body.isNull() & text.isNotNull()).alias("metadata_only"))
+    bound = F.struct(
+        F.coalesce(long(page["focused"]), long(page["readable"]), long(page["fallback"])).alias("body"),
+        long(meta["description"]).alias("described"), meta["title"].alias("title"))
+
+    def titled(v: Column) -> Column:
+        text = F.coalesce(v["body"], v["described"])
+        head = F.when(v["title"].isNotNull() & ~text.startswith("# "), F.concat(F.lit("# "), v["title"], F.lit("\n\n"))).otherwise(F.lit(""))
+        return F.struct(F.concat(head, text).alias("content"), (v["body"].isNull() & v["described"].isNotNull()).alias("metadata_only"))
+
+    return let(bound, titled)
 
 
 def extract_content(pages: DataFrame, as_of: Column, focus: Column | None = None) -> DataFrame:
@@ -254,7 +264,8 @@ def extract_pages(
         F.array(F.concat(F.lit("# "), T.escape_markdown(title))), F.transform(items, lambda i: i["content"])), "\n\n---\n\n")
     detail = F.col("_detail")
     details = F.regexp_replace(F.coalesce(F.col("_article.content"), F.lit("")), r"^#\s+.*?\r?\n\r?\n", "")
-    features = L.spec_features(F.col("_nodes"))
+    df = df.withColumn("_features", L.spec_features(F.col("_nodes")))
+    features = F.col("_features")
     line = lambda label, v: F.concat(F.lit(label), T.escape_markdown(v))
     detail_text = T.join_present(
         "\n\n", line("# ", detail["title"]), line("Brand: ", detail["brand"]), line("Price: ", detail["price_display"]),
@@ -265,8 +276,9 @@ def extract_pages(
         F.when(F.size(detail["variants"]) > 0, F.concat(F.lit("## Variants\n\n"), F.array_join(L.variant_lines(detail["variants"]), "\n"))),
         F.concat(F.lit("[View product]("), F.col("url"), F.lit(")")),
     )
-    cards_title = L.listing_title(F.col("_nodes"), "Products")
-    posts_title = L.listing_title(F.col("_nodes"), "Blog posts")
+    df = df.withColumn("_cards_title", L.listing_title(F.col("_nodes"), "Products")).withColumn(
+        "_posts_title", L.listing_title(F.col("_nodes"), "Blog posts"))
+    cards_title, posts_title = F.col("_cards_title"), F.col("_posts_title")
     first_date = F.get(F.filter(F.transform("_posts", lambda p: p["published_at"]), lambda d: d.isNotNull()), F.lit(0))
     steps = [
         F.when(F.col("_plain").isNotNull(), outcome("document", "native-markdown", T.title_from_markdown(F.col("_plain")), none, none, F.col("_plain"))),

@@ -10,20 +10,11 @@ from factloom.functions import urls as U
 from factloom.operators import discovery, feeds, pages as P, reports, search
 from factloom.operators.ordered import keep_first, nearest_rank
 from factloom.operators.joins import with_fallback
-from factloom.plans.tables import table
+from factloom.plans.tables import register_into, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(fn):
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return register
+query = register_into(QUERIES, ORACLES)
 
 
 SITE_SQL = """case when len(string_split(host, '.')) > 2 and array_to_string(string_split(host, '.')[-2:], '.') in
@@ -179,13 +170,6 @@ def page_extract_cascade(spark, folder):
                       F.char_length("content").cast("long").alias("content_chars"), F.size("media").cast("long").alias("n_media"))
 
 
-@query("""select 'article' as type, 'linkedom' as method, count(*) as pages from pages""")
-def page_methods(spark, folder):
-    """H7: pages per method; all given pages are readable articles."""
-    out = P.extract_pages(table(spark, folder, "pages"), F.lit(AS_OF).cast("timestamp"))
-    return out.groupBy("type", "method").agg(F.count(F.lit(1)).alias("pages"))
-
-
 @query()
 def page_markdown(spark, folder):
     """H1, H3-H5: Markdown, metadata and preview of every page."""

@@ -7,6 +7,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 TICK_ORDER = ["ts", "l_orderkey", "l_linenumber", "l_suppkey", "price", "volume"]
 
 
+def register_into(queries: dict, oracles: dict):
+    """Decorator that names a job after its function and keeps the SQL that checks it."""
+    def query(sql: str | None = None):
+        def register(fn):
+            queries[fn.__name__] = fn
+            if sql is not None:
+                oracles[fn.__name__] = sql
+            return fn
+
+        return register
+
+    return query
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A parquet table; timestamps without a zone are read as UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -46,13 +60,13 @@ def meter_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def payment_events(spark: SparkSession, folder: str) -> DataFrame:
-    """events as payment notices on one reference per user and tenth of events."""
+    """events as payment notices on 500 references."""
     kind = (
         F.when(F.col("event_type") == "purchase", "grant").when(F.col("event_type") == "error", "refund")
         .when(F.col("event_type") == "signup", "dispute_opened").when(F.col("event_type") == "view", "dispute_won")
     )
     return table(spark, folder, "events").withColumn("kind", kind).filter(F.col("kind").isNotNull()).select(
-        F.col("event_id").alias("event_id"), F.concat(F.lit("pay_"), F.pmod(F.col("event_id") * 7919, F.col("user_id") * 50 + 500)).alias("payment_ref"),
+        F.col("event_id").alias("event_id"), F.concat(F.lit("pay_"), F.pmod("event_id", F.lit(500))).alias("payment_ref"),
         F.col("user_id").alias("account"), "kind", "ts",
         F.when(F.col("kind") == "grant", F.greatest(F.floor("value"), F.lit(1))).cast("long").alias("credits"),
     )
