@@ -6,13 +6,13 @@ ordered decisions are made on one row per reservation or attempt.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom.functions import ids
-from factloom.operators.ordered import keep_first, running, time_chunk, top_k, trailing_count
+from factloom.operators.ordered import fold_in_order, keep_first, running, time_chunk, top_k, trailing_count
 
 # Prices, grants, limits and periods.
 CENTS_PER_THOUSAND = 49
@@ -143,36 +143,25 @@ def reservation_intervals(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     return grouped.select(*keys, "reservation_id", "start", free_at.alias("free_at"))
 
 
-def admit(starts, frees, limit: int, live: list) -> list[bool]:
-    """Admission in order of start: a slot is free again at its time; `live` holds the taken slots between calls."""
-    answers = []
-    for start, free in zip(starts, frees):
-        live[:] = [f for f in live if f is None or f > start]
-        answers.append(len(live) < limit)
-        if answers[-1]:
-            live.append(None if pd.isna(free) else free)
-    return answers
+def admit(live: list, start, free_at, limit: int) -> bool:
+    """Whether a slot is free at `start`; `live` holds the times at which taken slots become free (None: never)."""
+    live[:] = [f for f in live if f is None or f > start]
+    admitted = len(live) < limit
+    if admitted:
+        live.append(None if pd.isna(free_at) else free_at)
+    return admitted
 
 
 def daily_admission(events: DataFrame, limit: int = DAILY_LIMIT) -> DataFrame:
     """Which reservations of a client and UTC day are admitted when refunds and expiries free slots.
 
-    The fold streams a client's day through batches and keeps at most `limit` slots in memory.
+    The fold keeps at most `limit` slots of the current client in memory.
     """
     rows = reservation_intervals(events.withColumn("day", F.date_format("ts", "yyyy-MM-dd")), ["day", "client"])
-    ordered = rows.repartition("day", "client").sortWithinPartitions("day", "client", "start", "reservation_id")
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        live: list = []
-        for batch in batches:
-            yield pd.DataFrame({
-                "day": batch["day"], "client": batch["client"], "reservation_id": batch["reservation_id"],
-                "admitted": admit(batch["start"], batch["free_at"], limit, live),
-            })
-
-    fields = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = f"day string, client {fields['client']}, reservation_id {fields['reservation_id']}, admitted boolean"
-    return ordered.groupBy("day", "client").applyInPandas(fold, schema)
+    decided = fold_in_order(
+        rows, ["day", "client"], ["start", "reservation_id"], list,
+        lambda live, row: admit(live, row[3], row[4], limit), "admitted", "boolean")
+    return decided.drop("start", "free_at")
 
 
 def simple_admission(requests: DataFrame, limit: int = DAILY_LIMIT) -> DataFrame:
@@ -193,46 +182,36 @@ def rate_limit_trailing(requests: DataFrame, limit: int, seconds: int = 60, clie
     return trailing_count(requests, [client], "ts", seconds, "in_window").withColumn("limited", F.col("in_window") > limit)
 
 
-def charge(attempts, cap: int, state: dict) -> list[str]:
-    """Outcome per funding attempt of one account and month: one pending charge at a time, spend within the cap."""
-    answers = []
-    for kind, ref, amount in attempts:
-        if kind == "reserve":
-            if state["pending"] is not None:
-                answers.append("idempotent" if state["pending"][0] == ref else "charge_pending")
-            elif state["spent"] + amount > cap:
-                answers.append("monthly_limit")
-            else:
-                state["pending"] = (ref, amount)
-                answers.append("reserved")
-        elif state["pending"] is None:
-            answers.append("idempotent")
-        elif state["pending"][0] != ref:
-            answers.append("different_charge_pending")
-        else:
-            state["spent"] += state["pending"][1] if kind == "commit" else 0
-            state["pending"] = None
-            answers.append("committed" if kind == "commit" else "released")
-    return answers
+def charge(state: dict, kind: str, ref: str, amount: int, cap: int) -> str:
+    """Outcome of one funding step: one pending charge at a time, spend of the month within the cap."""
+    pending = state.get("pending")
+    if kind == "reserve":
+        if pending:
+            return "idempotent" if pending[0] == ref else "charge_pending"
+        if state.get("spent", 0) + amount > cap:
+            return "monthly_limit"
+        state["pending"] = (ref, amount)
+        return "reserved"
+    if not pending:
+        return "idempotent"
+    if pending[0] != ref:
+        return "different_charge_pending"
+    state["pending"] = None
+    if kind == "commit":
+        state["spent"] = state.get("spent", 0) + pending[1]
+    return "committed" if kind == "commit" else "released"
 
 
 def funding_attempts(events: DataFrame, cap_cents: int) -> DataFrame:
-    """Outcomes of auto-funding events (reserve, commit, release) per account and month.
+    """Outcomes of auto-funding steps (reserve, commit, release) per account and month.
 
-    Columns: account, period, seq, ts, kind, attempt_id, amount_cents. The fold streams batches and keeps one
-    pending charge and the month's spend.
+    Columns: account, period, seq, ts, kind, attempt_id, amount_cents.
     """
-    ordered = events.repartition("account", "period").sortWithinPartitions("account", "period", "ts", "seq")
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = {"pending": None, "spent": 0}
-        for b in batches:
-            outcome = charge(zip(b["kind"], b["attempt_id"], b["amount_cents"]), cap_cents, state)
-            yield pd.DataFrame({"account": b["account"], "period": b["period"], "seq": b["seq"], "kind": b["kind"], "outcome": outcome})
-
-    kind = events.schema["account"].dataType.simpleString()
-    return ordered.groupBy("account", "period").applyInPandas(
-        fold, f"account {kind}, period string, seq long, kind string, outcome string")
+    rows = events.select("account", "period", "seq", "ts", "kind", "attempt_id", "amount_cents")
+    return fold_in_order(
+        rows, ["account", "period"], ["ts", "seq"], dict,
+        lambda state, row: charge(state, row[4], row[5], row[6], cap_cents), "outcome", "string",
+    ).select("account", "period", "seq", "kind", "outcome")
 
 
 def monthly_spend(charges: DataFrame, cap_cents: int, chunk_seconds: int = DAY) -> DataFrame:

@@ -7,8 +7,9 @@ summary row per chunk. The big table is shuffled once, by key and chunk.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -196,3 +197,31 @@ def nearest_rank(df: DataFrame, group: Sequence[str], value: str, fractions: dic
     return found.groupBy(*groups, "n").agg(
         *[F.max(F.when(F.col("_x")["name"] == name, F.col(value))).alias(name) for name in fractions]
     )
+
+
+def fold_in_order(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Callable[[], object],
+    step: Callable[[object, tuple], object], out: str, out_type: str,
+) -> DataFrame:
+    """Adds `out`, the answer of `step(state, row)` over the rows of each key in order.
+
+    For decisions that depend on earlier decisions. Keys are spread over the partitions, each partition is
+    sorted once and streamed through Python in batches; only the state of the current key is in memory.
+    """
+    names = df.columns
+    at = [names.index(k) for k in keys]
+    rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, None
+        for batch in batches:
+            answers = []
+            for row in batch.itertuples(index=False, name=None):
+                key = tuple(row[i] for i in at)
+                if key != current:
+                    current, state = key, start()
+                answers.append(step(state, row))
+            yield batch.assign(**{out: answers})
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return rows.mapInPandas(run, f"{fields}, `{out}` {out_type}")
