@@ -8,9 +8,9 @@ from factloom.functions import let
 
 ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
-# Accepted spellings of a date, tried in order after ISO 8601.
+# Accepted spellings of a date behind its weekday, tried in order after ISO 8601.
 DATE_FORMATS = (
-    "EEE, d MMM yyyy HH:mm:ss Z", "EEE, d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z",
+    "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss",
     "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "yyyy/MM/dd",
 )
 
@@ -27,7 +27,7 @@ def iso(ts: Column) -> Column:
 
 def parse_date(c: Column) -> Column:
     """Timestamp of an ISO, RSS or written date, else null."""
-    text = F.regexp_replace(F.trim(c), r"\b(GMT|UT|UTC)$", "+0000")
+    text = F.regexp_replace(F.regexp_replace(F.trim(c), r"\b(GMT|UT|UTC)$", "+0000"), r"^[A-Za-z]{3,9},\s*", "")
     iso_like = lambda t: F.when(t.rlike(r"^\d{4}(-\d{2}){0,2}([T ]|$)"), t.try_cast("timestamp"))
     return let(text, lambda t: F.coalesce(iso_like(t), *[F.try_to_timestamp(t, F.lit(f)) for f in DATE_FORMATS]))
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from factloom.plans import market_queries, metering_queries, page_queries
+from factloom.plans import market_queries, metering_queries, page_queries, payload_queries
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-for module in (page_queries, market_queries, metering_queries):
+for module in (page_queries, market_queries, metering_queries, payload_queries):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
