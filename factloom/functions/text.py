@@ -44,7 +44,7 @@ def collapse(c: Column) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
-    return let(c, lambda v: F.when(v != "", v))
+    return F.nullif(c, F.lit(""))
 
 
 def clean_text(c: Column, maximum: int = 4000) -> Column:
@@ -196,5 +196,5 @@ def join_present(separator: str, *values: Column) -> Column:
 
 
 def as_value(c: Column) -> Column:
-    """The text unless it is empty or blank."""
-    return let(c, lambda v: F.when(F.trim(v) != "", v))
+    """The trimmed text, null when it is blank."""
+    return F.nullif(F.trim(c), F.lit(""))

@@ -50,7 +50,8 @@ def _rules(columns: set[str], attributes: set[str]) -> list[tuple[str, str, Colu
     for name in sorted(attributes):
         value, path = c(f"attributes.{name}"), f"attributes.{name}"
         allowed = [t for t, fields in S.ATTRIBUTES.items() if name in dict(fields)]
-        rules.append((path, "unrecognized_key", value.isNotNull() & ~c("type").isin(*allowed) if allowed else value.isNotNull()))
+        kinds = ", ".join(f"'{t}'" for t in allowed)
+        rules.append((path, "unrecognized_key", F.expr(f"{path} IS NOT NULL AND type NOT IN ({kinds})")))
         if name in CHOICES:
             rules.append((path, "invalid_value", ~value.isin(*CHOICES[name])))
         if name in COUNTS:

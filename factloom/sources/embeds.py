@@ -36,8 +36,8 @@ def normalize_oembed(payloads: DataFrame) -> DataFrame:
     """Embed descriptions of known media sites and of any page that advertises one."""
     body, page = F.col("body"), F.col("url")
     field = lambda name: T.as_value(F.trim(J(body, f"$.{name}")))
-    df = payloads.filter(F.try_parse_json("body").isNotNull()).withColumn("kind", U.classify_source(page)).withColumn(
-        "kind", F.when(F.col("kind").isin(*[p[0] for p in PROVIDERS]), F.col("kind")).otherwise(F.lit("web")))
+    df = payloads.filter(F.try_parse_json("body").isNotNull()).withColumn(
+        "kind", F.when(U.is_vimeo(page), "vimeo").when(U.is_soundcloud(page), "soundcloud").when(U.is_spotify(page), "spotify").otherwise("web"))
     df = df.withColumn("markup", fragment_markdown(F.coalesce(field("html"), F.lit("")), page)).withColumn(
         "described", fragment_markdown(F.coalesce(field("description"), F.lit("")), page))
     kind, parts = F.col("kind"), U.segments(page)

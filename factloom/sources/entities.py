@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from factloom import schema as S
 from factloom.functions.dates import iso
 
+NO_ATTRIBUTES = "named_struct(%s)" % ", ".join(
+    f"'{f.name}', CAST(NULL AS {f.dataType.simpleString()})" for f in S.ATTRIBUTES_TYPE.fields)
 EMPTY_MEDIA = "array<struct<type:string,url:string,alt:string,width:bigint,height:bigint>>"
 
 
@@ -38,10 +40,9 @@ def entity_rows(
     unknown = set(given) - set(S.ATTRIBUTES_TYPE.names)
     if unknown:
         raise ValueError(f"no such attributes: {sorted(unknown)}")
-    packed = F.struct(*[
-        (given[f.name].cast(f.dataType) if f.name in given else F.lit(None).cast(f.dataType)).alias(f.name)
-        for f in S.ATTRIBUTES_TYPE.fields
-    ])
+    packed = F.expr(NO_ATTRIBUTES)
+    for name, value in given.items():
+        packed = packed.withField(name, value.cast(S.ATTRIBUTES_TYPE[name].dataType))
     stamp = iso(published_at) if published_at is not None else F.lit(None).cast("string")
     return df.select(
         *keep, lit(type).alias("type"), lit(source).alias("source"), text(id).alias("id"), url.alias("url"), text(title).alias("title"),
