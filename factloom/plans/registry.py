@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from factloom.plans import market_queries, metering_queries, page_queries, payload_queries, stream_queries
+from factloom.plans import api_queries, market_queries, metering_queries, page_queries, payload_queries, stream_queries
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-for module in (page_queries, market_queries, metering_queries, payload_queries, stream_queries):
+for module in (page_queries, market_queries, metering_queries, payload_queries, stream_queries, api_queries):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
