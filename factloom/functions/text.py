@@ -16,6 +16,11 @@ from factloom.functions import let
 # The characters that count as white space in collapsed text.
 SPACE_CLASS = r"[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
+# A run of blanks. Printable ASCII is ruled out first, which is much quicker than trying the whole class on it.
+SPACE_RUN = "(?![!-~])" + SPACE_CLASS + "+"
+# A run of anything else, with printable ASCII taken as whole runs.
+WORD_RUN = "(?:[!-~]++|" + SPACE_CLASS.replace("[", "[^", 1) + ")++"
+
 # Words that carry no ranking weight in a query (English and German).
 STOP_WORDS = (
     "a", "an", "and", "are", "for", "from", "how", "in", "is", "of", "on", "or",
@@ -40,7 +45,7 @@ MAX_QUERY_LENGTH = 200
 
 def collapse(c: Column) -> Column:
     """White space runs become one blank; ends are trimmed."""
-    return F.trim(F.regexp_replace(c, SPACE_CLASS + "+", " "))
+    return F.trim(F.regexp_replace(c, SPACE_RUN, " "))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -55,11 +60,18 @@ def clean_text(c: Column, maximum: int = 4000) -> Column:
 
 def strip_tags(c: Column) -> Column:
     """Inert text of a markup fragment: tags dropped, the common entities decoded, blanks collapsed."""
-    text = F.regexp_replace(c, r"<[^>]*>", "")
-    for entity, char in (("&nbsp;|&#160;", " "), ("&lt;|&#60;", "<"), ("&gt;|&#62;", ">"),
-                         ("&quot;|&#34;", '"'), ("&apos;|&#39;", "'"), ("&amp;|&#38;", "&")):
-        text = F.regexp_replace(text, "(?i)" + entity, char)
-    return collapse(text)
+    return collapse(decode_common(F.regexp_replace(c, r"<[^>]*>", "")))
+
+
+# The common entities, the ampersand last.
+COMMON_ENTITIES = (("nbsp|#160", " "), ("lt|#60", "<"), ("gt|#62", ">"), ("quot|#34", '"'), ("apos|#0?39", "'"), ("amp|#38", "&"))
+
+
+def decode_common(c: Column) -> Column:
+    """The five markup entities and the fixed blank, decoded."""
+    for names, char in COMMON_ENTITIES:
+        c = F.regexp_replace(c, f"&(?i:{names});", char)
+    return c
 
 
 @pandas_udf(StringType())
@@ -146,7 +158,7 @@ def word_count(c: Column) -> Column:
 
 
 def blank_separated_words(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(SPACE_CLASS.replace("[", "[^", 1) + "+")).cast("long")
+    return F.regexp_count(c, F.lit(WORD_RUN)).cast("long")
 
 
 def noise_per_thousand(c: Column) -> Column:

@@ -126,14 +126,14 @@ def stratified_sample(domains: DataFrame, count: int, bands=RANK_BANDS) -> DataF
         if wanted > 0:
             plan.append((start, end, wanted, max(1, (end - start + 1) // wanted)))
     rank = F.col("rank")
-    slot = F.lit(None).cast("long")
-    offset = 0
-    for start, end, wanted, stride in plan:
-        step = F.floor((rank - F.lit(start + stride // 2)) / stride)
-        inside = (step >= 0) & (step < wanted) & (rank >= start + stride // 2)
-        slot = F.when(inside & slot.isNull() & (rank <= end + stride), step + offset).otherwise(slot)
+    slots, offset = [], 0
+    for start, _, wanted, stride in plan:
+        first = start + stride // 2
+        step = F.floor((rank - first) / stride)
+        slots.append(F.when((rank >= first) & (step < wanted), (step + offset).cast("long")))
         offset += wanted
-    valid = domains.filter(U.valid_domain(F.col("domain"))).withColumn("slot", slot.cast("long")).filter(F.col("slot").isNotNull())
+    # The last stride of a band may reach into the next band, so a domain can stand in two strides.
+    valid = domains.filter(U.valid_domain(F.col("domain"))).withColumn("slot", F.explode(F.array_compact(F.array(*slots))))
     sites = valid.withColumn("site", U.site_key(F.col("domain"))).groupBy("slot", "site").agg(
         F.min(F.struct("rank", "domain")).alias("_first"))
     w = Window.partitionBy("slot").orderBy("_first")

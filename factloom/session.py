@@ -43,6 +43,16 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of an input with fewer splits than cores dealt out to all of them, for work that is heavy per row.
+
+    A large table has more splits than cores and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if splits >= cores else df.repartition(cores)
+
+
 def size_estimate(df: DataFrame) -> int:
     """The optimizer's size estimate of a plan, in bytes."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
