@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom.functions import html as H
+from factloom.functions import rows_of
 from factloom.functions import urls as U
 from factloom.operators.ordered import keep_first
 
@@ -25,9 +26,9 @@ def alternate_links(pages: DataFrame) -> DataFrame:
     kinds = F.transform(links, lambda l: F.struct(H.alternate_kind(l).alias("kind"), l["href"].alias("href")))
     first = lambda kind: F.get(F.filter(kinds, lambda l: F.coalesce(l["kind"] == kind, F.lit(False))), F.lit(0))
     chosen = F.filter(F.array(first("wordpress"), first("oembed"), first("feed")), lambda l: l.isNotNull())
-    rows = pages.select("page_id", "url", F.posexplode(chosen).alias("position", "link"))
+    rows = rows_of(pages, ["page_id", "url"], chosen, "link")
     target = U.validate_url(U.absolute_url(F.col("link.href"), F.col("url")))["url"]
-    return rows.select("page_id", F.col("position").cast("long").alias("position"), F.col("link.kind").alias("kind"), target.alias("href")).filter(
+    return rows.select("page_id", "position", F.col("link.kind").alias("kind"), target.alias("href")).filter(
         F.col("href").isNotNull()
     )
 

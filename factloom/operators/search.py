@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from factloom.functions import rows_of
 from factloom.functions import text as T
 from factloom.functions import urls as U
 from factloom.operators.ordered import top_k
@@ -28,7 +29,7 @@ def relevance_join(queries: DataFrame, corpus: DataFrame, text: Column) -> DataF
     )
     terms = asked.select("query_id", "needed", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
     vocabulary = broadcast_if_small(terms.select("term").distinct())
-    postings = corpus.select("doc_id", F.explode(T.distinct_tokens(text)).alias("term"))
+    postings = rows_of(corpus, ["doc_id"], T.distinct_tokens(text), "term").drop("position")
     frequency = postings.join(vocabulary, "term").groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
     rarest = Window.partitionBy("query_id").orderBy("docs", "term")
     probes = (

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factloom.functions import let, rows_of
 from factloom.functions import text as T
 from factloom.operators import quality
 from factloom.operators.joins import rescue_by_id, with_fallback
@@ -230,9 +231,8 @@ def product_list_pages(spark, folder):
 
     html = F.concat(F.lit("<html><body><main><h1>Parts</h1>"), card(0), card(1), card(0), card(2), F.lit("</main></body></html>"))
     pages = parts(spark, folder).select(F.col("p_partkey").alias("page_id"), F.lit("https://shop.example.com/list").alias("url"), dom_nodes(html).alias("nodes"))
-    cards = pages.select("page_id", L.product_cards(F.col("nodes"), F.col("url")).alias("cards")).filter(F.size("cards") >= 2)
-    rows = cards.select("page_id", F.posexplode("cards").alias("position", "c"))
-    return rows.select("page_id", "c.url", "c.title", "c.price", "c.currency", F.col("position").cast("long").alias("position"))
+    cards = let(L.product_cards(F.col("nodes"), F.col("url")), lambda c: F.when(F.size(c) >= 2, c))
+    return rows_of(pages, ["page_id"], cards, "c").select("page_id", "c.url", "c.title", "c.price", "c.currency", "position")
 
 
 @query(f"""with {DOCS_SQL}, c as (select doc_id as page_id, unnest([0, 1]) as k, source from d)
@@ -244,8 +244,8 @@ def blog_list_pages(spark, folder):
         F.lit('</span><time datetime="2024-02-03T04:05:06Z">Feb</time><p class="excerpt">Short text</p></article>'))
     html = F.concat(F.lit("<html><body><main><h1>Blog</h1>"), post(0), F.lit('<h2><a href="/more">More</a></h2><h3><a href="https://other.example.com/x">Some other headline</a></h3>'), post(1), F.lit("</main></body></html>"))
     pages = documents(spark, folder).select(F.col("doc_id").alias("page_id"), F.lit("https://blog.example.com/blog").alias("url"), dom_nodes(html).alias("nodes"))
-    rows = pages.select("page_id", F.posexplode(L.blog_items(F.col("nodes"), F.col("url"))).alias("position", "p"))
-    return rows.select("page_id", "p.url", "p.title", "p.author", F.date_format("p.published_at", "yyyy-MM-dd HH:mm:ss").alias("published"), F.col("position").cast("long").alias("position"))
+    rows = rows_of(pages, ["page_id"], L.blog_items(F.col("nodes"), F.col("url")), "p")
+    return rows.select("page_id", "p.url", "p.title", "p.author", F.date_format("p.published_at", "yyyy-MM-dd HH:mm:ss").alias("published"), "position")
 
 
 @query(f"""select p_partkey as page_id, 'B' || lpad(cast(p_partkey as varchar), 9, '0') as id, p_name as title, {CENTS_SQL} as price, 'EUR' as currency, 4.5::double as rating, 1234::bigint as review_count from part""")
@@ -259,7 +259,7 @@ def marketplace_pages(spark, folder):
         F.lpad((c % 100).cast("string"), 2, "0"), F.lit('</span></span><span class="a-icon-alt">4,5 von 5</span><span class="s-underline-text">1.234</span></div>'),
         F.lit('<div data-component-type="s-search-result" data-asin="short"><h2>No code</h2></div></body></html>'))
     pages = parts(spark, folder).select(F.col("p_partkey").alias("page_id"), F.lit("https://www.amazon.de/s?k=x").alias("url"), dom_nodes(html).alias("nodes"))
-    rows = pages.select("page_id", F.explode(L.marketplace_cards(F.col("nodes"), F.col("url"), "search")).alias("c"))
+    rows = rows_of(pages, ["page_id"], L.marketplace_cards(F.col("nodes"), F.col("url"), "search"), "c")
     return rows.select("page_id", "c.id", "c.title", "c.price", "c.currency", "c.rating", "c.review_count")
 
 

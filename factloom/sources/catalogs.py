@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T_
 from pyspark.sql.functions import pandas_udf
 
-from factloom.functions import let
+from factloom.functions import let, rows_of
 from factloom.functions import numbers as N
 from factloom.functions import text as T
 from factloom.functions import urls as U
@@ -30,8 +30,7 @@ J = F.get_json_object
 def exploded(payloads: DataFrame, items: Column, limit: int | None = None) -> DataFrame:
     """One row per JSON item: payload_id, url, position, item."""
     shown = F.slice(items, 1, limit) if limit else items
-    return payloads.select("payload_id", "url", *[c for c in payloads.columns if c == "currency"], F.posexplode(shown).alias("position", "item")).withColumn(
-        "position", F.col("position").cast("long"))
+    return rows_of(payloads, ["payload_id", "url", *[c for c in payloads.columns if c == "currency"]], shown, "item")
 
 
 def storefront_currency(html: Column) -> Column:
@@ -358,7 +357,8 @@ def chart_points(payloads: DataFrame, limit: int = 512) -> DataFrame:
         N.as_count(at("volume", i)).alias("volume")))
     filled = F.filter(points, lambda p: p["ts"].isNotNull() & F.coalesce(p["open"], p["high"], p["low"], p["close"], p["adj_close"], p["volume"].cast("double")).isNotNull())
     kept = let(filled, lambda f: F.slice(f, F.greatest(F.size(f) - limit + 1, F.lit(1)), limit))
-    return rows.select("payload_id", r["meta"]["symbol"].alias("symbol"), r["meta"]["currency"].alias("currency"), F.explode(kept).alias("p")).select(
+    points = rows_of(rows, ["payload_id", r["meta"]["symbol"].alias("symbol"), r["meta"]["currency"].alias("currency")], kept, "p")
+    return points.select(
         "payload_id", "symbol", "currency", "p.ts", F.col("p.position").cast("long").alias("position"), "p.open", "p.high", "p.low", "p.close", "p.adj_close", "p.volume")
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from factloom.functions import let
+from factloom.functions import let, rows_of
 from factloom.functions import text as T
 from factloom.functions import urls as U
 from factloom.functions.dates import parse_date
@@ -72,10 +72,8 @@ def xml_items(payloads: DataFrame, limit: int = MAX_ENTRIES) -> DataFrame:
     atom = F.transform(F.slice("xml.entry", 1, limit), lambda e: shared(e, "atom", F.coalesce(atom_link(e), _trimmed(e["guid"]["_VALUE"]))))
     title = F.coalesce(_trimmed(F.col("xml.channel.title")), _trimmed(F.col("xml.title")))
     described = F.coalesce(_trimmed(F.col("xml.channel.description")), _trimmed(F.col("xml.subtitle")))
-    return df.select(
-        "payload_id", F.col("url").alias("page_url"), title.alias("feed_title"), described.alias("feed_description"),
-        F.posexplode(F.coalesce(rss, atom)).alias("position", "entry")
-    ).select("payload_id", "page_url", "feed_title", "feed_description", F.col("position").cast("long").alias("position"), "entry.*")
+    head = ["payload_id", F.col("url").alias("page_url"), title.alias("feed_title"), described.alias("feed_description")]
+    return rows_of(df, head, F.coalesce(rss, atom), "entry").select("payload_id", "page_url", "feed_title", "feed_description", "position", "entry.*")
 
 
 def _with_markdown(df: DataFrame, raw: str, base: str) -> DataFrame:
@@ -99,9 +97,8 @@ def parse_json_feeds(payloads: DataFrame) -> DataFrame:
     """JSON feeds as article rows; other JSON has none."""
     df = payloads.withColumn("feed", F.from_json("body", JSON_SCHEMA))
     known = df.filter(F.col("feed.version").startswith("https://jsonfeed.org/version/"))
-    rows = known.select(
-        "payload_id", F.col("url").alias("page_url"), _trimmed(F.col("feed.title")).alias("feed_title"),
-        F.posexplode(F.slice("feed.items", 1, MAX_ENTRIES)).alias("position", "e")).withColumn("position", F.col("position").cast("long"))
+    head = ["payload_id", F.col("url").alias("page_url"), _trimmed(F.col("feed.title")).alias("feed_title")]
+    rows = rows_of(known, head, F.slice("feed.items", 1, MAX_ENTRIES), "e")
     rows = rows.withColumn("item_url", F.coalesce("e.url", "e.external_url", "page_url"))
     plain = T.escape_markdown(F.coalesce("e.content_text", "e.summary", F.lit("")))
     markup = fragment_markdown(F.col("e.content_html"), F.col("item_url"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from factloom.functions import let
+from factloom.functions import let, rows_of
 from factloom.functions import numbers as N
 from factloom.functions import text as T
 from factloom.functions import urls as U
@@ -226,13 +226,13 @@ def instagram_profile_posts(payloads: DataFrame) -> DataFrame:
     context = J(context_json(F.col("body")), "$.context")
     df = payloads.withColumn("context", context).filter(F.col("context").isNotNull()).withColumn("handle", F.coalesce(T.as_value(J("context", "$.username")), U.last_segment(F.col("url"))))
     df = df.withColumn("author", _signed(T.as_value(F.trim(J("context", "$.full_name"))), F.col("handle")))
-    rows = df.select("payload_id", "handle", "author", F.posexplode(F.transform(json_items(J("context", "$.graphql_media")), lambda m: J(m, "$.shortcode_media"))).alias("position", "node"))
+    rows = rows_of(df, ["payload_id", "handle", "author"], F.transform(json_items(J("context", "$.graphql_media")), lambda m: J(m, "$.shortcode_media")), "node")
     rows = rows.withColumn("code", T.as_value(J("node", "$.shortcode"))).filter(F.col("code").isNotNull()).withColumn("caption", T.as_value(F.trim(J("node", CAPTION))))
     n = F.col("node")
     video = F.coalesce(J(n, "$.is_video") == "true", F.lit(False)) | F.coalesce(J(n, "$.__typename") == "GraphVideo", F.lit(False))
     target = F.concat(F.lit("https://www.instagram.com/"), F.when(video, "reel").otherwise("p"), F.lit("/"), "code", F.lit("/"))
     return entity_rows(
-        rows.withColumn("position", F.col("position").cast("long")), ["payload_id", "position"], type="post", source="instagram", method="instagram-profile", id=F.col("code"), url=target,
+        rows, ["payload_id", "position"], type="post", source="instagram", method="instagram-profile", id=F.col("code"), url=target,
         title=T.as_value(T.first_line(F.col("caption"))), author=F.col("author"), published_at=from_epoch_seconds(J(n, "$.taken_at_timestamp")),
         content=F.coalesce(e(F.col("caption")), _link("View on Instagram", target)), media=_instagram_media(n, F.coalesce("caption", F.lit("Instagram post"))),
         attributes={"handle": F.concat(F.lit("@"), "handle"), "mediaType": F.when(video, "video").otherwise("image"), **_instagram_attributes(n, T.hashtags(F.coalesce("caption", F.lit(""))))})
