@@ -29,8 +29,9 @@ def relevance_join(queries: DataFrame, corpus: DataFrame, text: Column) -> DataF
     )
     terms = asked.select("query_id", "needed", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
     vocabulary = broadcast_if_small(terms.select("term").distinct())
-    postings = rows_of(corpus, ["doc_id"], T.distinct_tokens(text), "term").drop("position")
-    frequency = postings.join(vocabulary, "term").groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
+    # Only tokens that some query asks for, as narrow (document, term) rows.
+    postings = rows_of(corpus, ["doc_id"], T.distinct_tokens(text), "term").drop("position").join(vocabulary, "term")
+    frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
     rarest = Window.partitionBy("query_id").orderBy("docs", "term")
     probes = (
         terms.join(frequency, "term", "left")
@@ -40,13 +41,10 @@ def relevance_join(queries: DataFrame, corpus: DataFrame, text: Column) -> DataF
         .select("term", "query_id")
     )
     candidates = postings.join(broadcast_if_small(probes), "term").select("doc_id", "query_id").distinct()
-    asked_small = broadcast_if_small(asked)
-    checked = (
-        candidates.join(corpus.withColumn("_tokens", T.distinct_tokens(text)), "doc_id")
-        .join(asked_small, "query_id")
-        .withColumn("matched", F.size(F.array_intersect("terms", "_tokens")).cast("long"))
-    )
-    return checked.filter(F.col("matched") >= F.col("needed")).drop("terms", "needed", "_tokens")
+    # A candidate asks for each of its query's terms; document and term together make an even join key.
+    wanted = candidates.join(broadcast_if_small(terms.drop("n_terms")), "query_id")
+    found = wanted.join(postings, ["doc_id", "term"]).groupBy("query_id", "doc_id", "needed").agg(F.count(F.lit(1)).alias("matched"))
+    return found.filter(F.col("matched") >= F.col("needed")).drop("needed").join(corpus, "doc_id")
 
 
 def rank_results(matches: DataFrame, limit: int = 10, order: list[Column] | None = None) -> DataFrame:
