@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, mixing, warc
+from factloom.llm import decontaminate, mixing, toxicity, warc
 from factloom.llm.store import documents
 
 QUERIES: dict = {}
@@ -38,6 +38,15 @@ def op4_warc(spark, folder):
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query()
+def op9_toxicity(spark, folder):
+    docs = documents(spark, folder)
+    held = toxicity.held_out()
+    model = toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet"), held_out=held)
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+                                              "bits", "passages")
+
+
 @query()
 def op10_decontaminate(spark, folder):
     return decontaminate.find(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))

@@ -44,6 +44,9 @@ class Piece:
     hashes: np.ndarray
     # Word index at which each row begins, with the total at the end.
     rows: np.ndarray
+    # Prefix sums of the polynomial and the inverse powers that turn their differences into hashes.
+    sums: np.ndarray | None = None
+    down: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.bounds) - 1
@@ -51,6 +54,11 @@ class Piece:
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self)), np.diff(self.rows))
 
+    def stems(self, n: int) -> np.ndarray:
+        """Hash of each word's first n bytes."""
+        ends = np.minimum(self.ends, self.starts + n)
+        return mix((self.sums[ends] - self.sums[self.starts]) * self.down[self.starts] + np.uint64(n * SEED % 2**64))
+
     def ngrams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the n-gram that begins at each word, and whether it lies inside one text."""
         total = len(self.hashes)
@@ -129,4 +137,4 @@ class Scanner:
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
         hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(SEED))
-        return Piece(first, raw, bounds, starts, ends, hashes, np.searchsorted(starts, bounds))
+        return Piece(first, raw, bounds, starts, ends, hashes, np.searchsorted(starts, bounds), sums, down)
