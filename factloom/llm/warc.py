@@ -29,6 +29,8 @@ MIN_BYTES = 1000
 # Ranges with at most so many bytes between them are read together, up to so many bytes at once.
 GAP_BYTES = 64 << 10
 READ_BYTES = 8 << 20
+# Archive bytes for one reading task.
+TASK_BYTES = 64 << 20
 RECORD_ID = "<urn:factloom:page:%d>"
 INDEX = "page_id long, archive string, offset long, length long, url string, digest string, record_type string, refers_to long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -159,7 +161,11 @@ RECORD_TYPES = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary(
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """The records of the given index rows, each byte range read once and in order."""
     uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-    wanted = index.select("archive", "offset", "length").dropDuplicates().repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    spark, wanted = index.sparkSession, index.select("archive", "offset", "length").dropDuplicates()
+    total = wanted.agg(F.sum("length")).first()[0] or 0
+    # The index is narrow: by its own size, Spark would leave all reads to one task.
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    wanted = wanted.repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
     return wanted.mapInArrow(_reader(uri), RECORDS)
 
 
