@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, mixing, toxicity, warc
+from factloom.llm import decontaminate, mixing, quality, toxicity, warc
 from factloom.llm.store import documents
 
 QUERIES: dict = {}
@@ -21,6 +21,14 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op2_quality(spark, folder):
+    docs = documents(spark, folder)
+    held = quality.held_out()
+    model = quality.train(docs, spark.read.parquet(f"{folder}/labels.parquet"), held_out=held)
+    return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"), "difference")
+
+
 @query()
 def op3_mixing(spark, folder):
     return mixing.mix(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken", "copies")
