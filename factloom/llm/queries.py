@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, mixing, quality, toxicity, warc
+from factloom.llm import decontaminate, mixing, pii, quality, toxicity, warc
 from factloom.llm.store import documents
 
 QUERIES: dict = {}
@@ -21,6 +21,11 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op1_pii(spark, folder):
+    return pii.digest(pii.find(documents(spark, folder)))
+
+
 @query()
 def op2_quality(spark, folder):
     docs = documents(spark, folder)
