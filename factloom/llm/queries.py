@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, mixing, pii, quality, secrets, toxicity, warc
+from factloom.llm import decontaminate, mixing, ngram_join, pii, quality, secrets, toxicity, warc
 from factloom.llm.store import documents
 
 QUERIES: dict = {}
@@ -51,6 +51,11 @@ def op4_warc(spark, folder):
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query()
+def op6_ngram_join(spark, folder):
+    return ngram_join.join(documents(spark, folder))
+
+
 @query()
 def op7_secrets(spark, folder):
     return secrets.digest(secrets.find(documents(spark, folder)))
