@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, mixing, ngram_join, pii, quality, secrets, toxicity, warc
+from factloom.llm import decontaminate, mixing, ngram_join, passages, pii, quality, secrets, toxicity, warc
 from factloom.llm.store import documents
 
 QUERIES: dict = {}
@@ -61,6 +61,11 @@ def op7_secrets(spark, folder):
     return secrets.digest(secrets.find(documents(spark, folder)))
 
 
+@query()
+def op8_passages(spark, folder):
+    return passages.find(documents(spark, folder))
+
+
 @query()
 def op9_toxicity(spark, folder):
     docs = documents(spark, folder)
