@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, mixing, ngram_join, passages, pii, quality, secrets, toxicity, warc
+from factloom.llm import decontaminate, mixing, ngram_join, passages, pii, quality, secrets, toxicity, vectors, warc
 from factloom.llm.store import documents
 
 QUERIES: dict = {}
@@ -51,6 +51,19 @@ def op4_warc(spark, folder):
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("""
+with recursive u as (select vec_id, cast(embedding as double[]) as v from embeddings where embedding is not null),
+n as (select vec_id, v from u where list_dot_product(v, v) > 0),
+l as (select a.vec_id as a, b.vec_id as b from n a join n b on a.vec_id <> b.vec_id
+  where list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.9),
+reach(a, b) as (select vec_id, vec_id from u union select r.a, l.b from reach r join l on r.b = l.a)
+select e.vec_id, (select count(*) from l where l.a = e.vec_id) as n_links, coalesce((select min(b) from reach r where r.a = e.vec_id), e.vec_id) as component_id,
+  coalesce((select min(b) from reach r where r.a = e.vec_id), e.vec_id) = e.vec_id as kept
+from embeddings e""")
+def op5_vectors(spark, folder):
+    return vectors.join(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
 @query()
 def op6_ngram_join(spark, folder):
     return ngram_join.join(documents(spark, folder))
