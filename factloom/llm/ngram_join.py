@@ -192,16 +192,27 @@ def link_classes(prefix: DataFrame, sets: DataFrame, similar: Fraction, leaders:
         turn += 1
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str | None, bool]:
+    """docs with a column that names each row, that column, and whether ids repeat or are null; else the id itself names it."""
+    repeated = docs.groupBy(F.col(f"`{id_col}`").alias("d")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1 or d is null").limit(1).count() > 0
+    key = fresh(docs, "row_key")
+    own = F.col(f"`{id_col}`").cast("long")
+    return docs.withColumn(key, F.xxhash64(own, F.col(f"`{text_col}`")) if repeated else own), key, repeated
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: Fraction = SIMILAR) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links), representative (smallest id with the same set)."""
-    plain = narrow(docs, d=id_col, t=text_col).select(F.col("d").cast("long").alias("d"), "t")
-    odd = plain.groupBy("d").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 or d is null").limit(1).count()
-    # Ids that repeat can't name a row; a hash of id and text does.
-    texts = plain.withColumn("k", F.xxhash64("d", "t") if odd else F.col("d"))
+    keyed, key, repeated = _keyed(docs, id_col, text_col)
+    return _join(keyed, key, repeated, id_col, text_col, words, similar).select("doc_id", "n_shingles", "component_id", "representative")
+
+
+def _join(keyed: DataFrame, key: str, repeated: bool, id_col: str, text_col: str, words: int, similar: Fraction) -> DataFrame:
+    """The rows of join with their key k, and kept: whether the row stands for its component."""
+    texts = narrow(keyed, d=id_col, k=key, t=text_col).withColumn("d", F.col("d").cast("long"))
     described = stored(texts.mapInArrow(_describe(words, similar), "doc_id long, k long, n long, low long, dealt long, s1 long, s2 long"), "ngram-documents")
     classes = stored(described.filter("n > 0").groupBy("n", "s1", "s2").agg(
         F.min("k").alias("k"), F.min("doc_id").alias("first_id"), F.min("low").alias("low"), F.min("dealt").alias("dealt")), "ngram-classes")
-    own = texts.select("k", "t").dropDuplicates(["k"]) if odd else texts.select("k", "t")
+    own = texts.select("k", "t").dropDuplicates(["k"]) if repeated else texts.select("k", "t")
     prefix = stored(prefixes(own, classes.select("k", "n", "low", "dealt"), words, similar), "ngram-prefixes")
     # A prefix whose n-grams stand alone after all is compared with none.
     grouped = prefix.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
@@ -212,15 +223,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         labelled = classes.withColumn("label", F.col("k"))
     else:
         labelled = classes.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("label", F.coalesce("root", "k")).drop("root")
-    smallest = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = labelled.join(smallest, "label").select("n", "s1", "s2", "first_id", "component_id")
+    smallest = labelled.groupBy("label").agg(F.min(F.struct("first_id", "k")).alias("least"))
+    named = labelled.join(smallest, "label").select("n", "s1", "s2", "first_id", F.col("least.first_id").alias("component_id"), F.col("least.k").alias("stays"))
     full = described.filter("n > 0").join(named, ["n", "s1", "s2"])
-    return full.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("first_id").alias("representative")).unionByName(
-        described.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("representative")))
+    return full.select("doc_id", "k", F.col("n").alias("n_shingles"), "component_id", F.col("first_id").alias("representative"), (F.col("k") == F.col("stays")).alias("kept")).unionByName(
+        described.filter("n = 0").select("doc_id", "k", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("representative"),
+                                         F.lit(True).alias("kept")))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows whose id is the smallest of their component, with all their columns."""
-    found = join(docs, id_col, **options)
-    kept, column = stored(found.filter("doc_id <=> component_id").select("doc_id").distinct(), "ngram-kept"), fresh(docs, "kept_id")
-    return docs.join(kept.withColumnRenamed("doc_id", column), F.col(f"`{id_col}`").eqNullSafe(F.col(column)), "left_semi")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: Fraction = SIMILAR) -> DataFrame:
+    """One row of each component, of the smallest id, with all its columns; of rows with equal id and text one stays."""
+    keyed, key, repeated = _keyed(docs, id_col, text_col)
+    dropped = stored(_join(keyed, key, repeated, id_col, text_col, words, similar).filter("not kept").select(F.col("k").alias(key)).distinct(), "ngram-dropped")
+    kept = keyed.join(dropped, key, "left_anti")
+    return (kept.dropDuplicates([key]) if repeated else kept).select(*[F.col(f"`{c}`") for c in docs.columns])

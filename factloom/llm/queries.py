@@ -64,7 +64,21 @@ def op5_vectors(spark, folder):
     return vectors.join(spark.read.parquet(f"{folder}/embeddings.parquet"))
 
 
-@query()
+# A-Z and a-z, as only these are lowered.
+@query("""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g from d),
+n as (select doc_id, len(g) as n from s),
+p as (select doc_id, unnest(g) as g from s),
+c as (select x.doc_id as a, y.doc_id as b, count(*) as k from p x join p y on x.g = y.g and x.doc_id <> y.doc_id group by x.doc_id, y.doc_id),
+l as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 75 * (x.n + y.n - k)),
+reach(a, b) as (select doc_id, doc_id from n union select r.a, l.b from reach r join l on r.b = l.a),
+least as (select a, min(b) as m from reach group by a),
+rep as (select doc_id, case when len(g) = 0 then doc_id else min(doc_id) over (partition by list_sort(g)) end as representative from s)
+select n.doc_id, cast(n.n as bigint) as n_shingles, least.m as component_id, rep.representative
+from n join least on least.a = n.doc_id join rep on rep.doc_id = n.doc_id""")
 def op6_ngram_join(spark, folder):
     return ngram_join.join(documents(spark, folder))
 
