@@ -115,8 +115,8 @@ def digest(found: DataFrame) -> DataFrame:
     of_kind = lambda k: count(lambda s: s["kind"] == k)
     return found.select(
         "doc_id", *[of_kind(k).alias(f"n_{KINDS[k]}") for k in range(BASE)],
-        F.sha2(joined(base, KINDS).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans"), KINDS).alias("spans"),
-        count(lambda s: s["shared"]).alias("n_shared"), count(lambda s: s["live"]).alias("n_live"))
+        count(lambda s: s["shared"]).alias("n_shared"), count(lambda s: s["live"]).alias("n_live"),
+        F.sha2(joined(base, KINDS).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans"), KINDS).alias("spans"))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", size_col: str | None = "n_chars",
@@ -132,13 +132,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     keyed = docs.withColumn(row, F.md5(F.concat_ws(":", F.col(f"`{id_col}`").cast("string"), F.col(f"`{owner_col}`").cast("string"), text)))
     held = stored(judged.select(F.col("row").alias(row), F.col("live").alias(spans)), "secrets-live")
     found = keyed.join(held, row, "left")
-    new = F.when(F.col(spans).isNotNull(), redacted(F.col(f"`{text_col}`"), F.col(spans), mark)).otherwise(F.col(f"`{text_col}`"))
-    columns = []
-    for c in docs.columns:
-        if c == text_col:
-            columns.append(new.alias(c))
-        elif c == size_col:
-            columns.append(F.when(F.col(spans).isNotNull(), F.length(new).cast(docs.schema[c].dataType)).otherwise(F.col(f"`{c}`")).alias(c))
-        else:
-            columns.append(F.col(f"`{c}`"))
-    return found.select(*columns)
+    # A column of its own first: inside a lambda, Spark would read a new column "text" of the same select.
+    new = fresh(docs, "secret_text")
+    found = found.withColumn(new, F.when(F.col(spans).isNotNull(), redacted(F.col(f"`{text_col}`"), F.col(spans), mark)).otherwise(F.col(f"`{text_col}`")))
+    size = F.when(F.col(spans).isNotNull(), F.length(new))
+    return found.select(*[
+        F.col(new).alias(c) if c == text_col else F.coalesce(size.cast(docs.schema[c].dataType), F.col(f"`{c}`")).alias(c) if c == size_col else F.col(f"`{c}`")
+        for c in docs.columns])
