@@ -1,10 +1,11 @@
 """Jaccard join of word n-gram sets: rare-first prefix filter with length, positional and suffix filters.
 
 Texts with equal sets form a class and one of them stands for all. Two sets that are alike share an n-gram among the first
-n - ceil(t * n) + 1 of each, in any order that holds for all sets. Here n-grams of the lower LOW part of the hash range come first and,
-within each part, rare ones first. So the frequency of most n-grams is never needed: a set whose prefix lies in the lower part, nearly
-every one, deals out that part only. N-grams that occur once are in no join. Prefixes are joined on the n-gram, pairs must pass
-the length and positional filters, each pair is verified once, on whole sets, after a suffix filter over hash ranges.
+n - ceil(t * n) + 1 of each, in any order that holds for all sets. This order has three parts: n-grams in the lower LOW part of the hash
+range that occur in at most FREQUENT documents; those in the upper part; the frequent ones of the lower part. In each part rare ones come
+first. The prefix of nearly every set lies in the first part, so the lower part only is counted over all documents, and the upper one over the
+few sets that need it. N-grams that occur once are in no join. Prefixes are joined on the n-gram, pairs must pass the length and positional
+filters, each pair is verified once, on whole sets, after a suffix filter over hash ranges.
 
 Components need not all links: in every group of prefixes with one n-gram, all are compared with some leaders first, and pairs that are
 already connected are not compared at all. In the end all pairs left between different components are compared, so none is lost.
@@ -30,9 +31,11 @@ WORDS = 5
 SIMILAR = Fraction(3, 4)
 # Part of the hash range whose n-grams come first in the order.
 LOW = Fraction(3, 8)
+# N-grams of the lower part in more documents than this come last in the order.
+FREQUENT = 64
 LEADERS = 8
-# Star rounds go on while they take away at least this part of the pairs left to compare.
-WORTH = 0.2
+# Rounds of leaders go on while they take away at least this part of the pairs left to compare.
+WORTH = 0.5
 RANGES = 64
 
 
@@ -51,22 +54,21 @@ def _sets(scanner: Scanner, texts: pa.Array, words: int) -> Iterator[tuple[int,
             yield piece.first + row, grams
 
 
-def _describe(words: int, similar: Fraction):
+def _describe(words: int):
     def run(batches):
         scanner = Scanner()
         for batch in batches:
-            out = np.zeros((5, batch.num_rows), np.int64)
+            out = np.zeros((4, batch.num_rows), np.int64)
             for row, grams in _sets(scanner, batch["t"], words):
-                low = _low(grams)
-                dealt = low if low >= _prefix(len(grams), similar) else len(grams)
                 second = mix(grams ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)
-                out[:, row] = len(grams), low, dealt, *np.array([grams.sum(dtype=np.uint64), second]).view(np.int64)
-            yield pa.record_batch([batch["d"], batch["k"], *(pa.array(c) for c in out)], ["doc_id", "k", "n", "low", "dealt", "s1", "s2"])
+                out[:, row] = len(grams), _low(grams), *np.array([grams.sum(dtype=np.uint64), second]).view(np.int64)
+            yield pa.record_batch([batch["d"], batch["k"], *(pa.array(c) for c in out)], ["doc_id", "k", "n", "low", "s1", "s2"])
 
     return run
 
 
-def _deal(words: int, similar: Fraction):
+def _deal(words: int):
+    """The lower part of every set, one row per n-gram."""
     def run(batches):
         scanner = Scanner()
         for batch in batches:
@@ -74,8 +76,7 @@ def _deal(words: int, similar: Fraction):
             for piece in scanner.pieces(batch["t"]):
                 held, grams_of = [], []
                 for row, grams in piece.sequences(words):
-                    low = _low(grams)
-                    own = grams[:low] if low >= _prefix(len(grams), similar) else grams
+                    own = grams[: _low(grams)]
                     held.append(np.full(len(own), keys[piece.first + row]))
                     grams_of.append(own)
                 if held:
@@ -109,21 +110,40 @@ def _least_common(n, m, similar: Fraction):
     return F.expr(f"({n} + {m}) * {p} div {q} + if(({n} + {m}) * {p} % {q} = 0, 0, 1)")
 
 
-def prefixes(texts: DataFrame, classes: DataFrame, words: int, similar: Fraction) -> DataFrame:
-    """h, k, n, place: the n-grams in the prefix of each class that occur more than once. texts: k, t; classes: k, n, low, dealt."""
-    postings = texts.mapInArrow(_deal(words, similar), "k long, h long")
+def _ranked(rows: DataFrame, stop: str) -> DataFrame:
+    """h, k, n, place of rows (h, k, n, df) of one part of the order that are in the prefix. stop: n-grams of the set up to this part's end.
+
+    N-grams that occur once have no row; they stand before the others of their part.
+    """
+    own = Window.partitionBy("k")
+    placed = rows.withColumn("rank", F.row_number().over(own.orderBy("df", "h"))).withColumn("held", F.count(F.lit(1)).over(own))
+    return placed.withColumn("place", (F.expr(stop) - F.col("held") + F.col("rank") - 1).cast("int")).filter("place < size").select("h", "k", "n", "place")
+
+
+def prefixes(texts: DataFrame, classes: DataFrame, words: int, similar: Fraction, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
+    """The n-grams (h, k, n, place) in the prefix of each class that occur more than once, and the sets of all classes with one.
+
+    texts: k, t of all documents; classes: k, n, low.
+    """
+    postings = texts.mapInArrow(_deal(words), "k long, h long")
     shared = postings.join(postings.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "h")
-    edge = int(LOW * 2**64)
-    # h is unsigned in the order; the lower part ends below 2^63, where both readings agree.
-    upper = (F.col("h") < 0) | (F.col("h") >= edge)
-    owned = shared.join(classes, "k").withColumn("upper", upper)
-    ranked = owned.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy("upper", "df", "h"))).withColumn(
-        "n_low", F.count(F.when(~F.col("upper"), 1)).over(Window.partitionBy("k"))).withColumn("n_all", F.count(F.lit(1)).over(Window.partitionBy("k")))
-    # N-grams that occur once stand before these in either part.
-    place = F.col("rank") - 1 + F.col("low") - F.col("n_low") + F.when(
-        F.col("upper"), F.col("dealt") - F.col("low") - (F.col("n_all") - F.col("n_low"))).otherwise(0)
     size = F.expr(f"n - (n * {similar.numerator} + {similar.denominator - 1}) div {similar.denominator} + 1")
-    return ranked.withColumn("place", place).filter(F.col("place") < size).select("h", "k", "n", F.col("place").cast("int").alias("place"))
+    owned = stored(shared.join(classes.withColumn("size", size), "k").select("k", "h", "n", "low", "size", "df"), "ngram-shared")
+    often = owned.filter(F.col("df") > frequent).groupBy("k").agg(F.count(F.lit(1)).alias("often"))
+    counted = stored(classes.withColumn("size", size).join(often, "k", "left").select(
+        "k", "n", "low", "size", (F.col("low") - F.coalesce("often", F.lit(0))).alias("rare")), "ngram-counted")
+    first = stored(_ranked(owned.filter(F.col("df") <= frequent).join(often, "k", "left"), "low - coalesce(often, 0)"), "ngram-first")
+    # Sets whose prefix goes beyond the first part need their upper part, too.
+    beyond = counted.filter("rare < size")
+    wanted = first.select("k").union(beyond.select("k")).distinct()
+    sets = stored(texts.join(wanted, "k", "left_semi").mapInArrow(_whole(words), "k long, grams array<long>, ranges array<int>"), "ngram-sets")
+    edge = int(LOW * 2**64)
+    # Hashes are unsigned; those above 2^63 read as negative. The lower part ends below.
+    upper = sets.join(beyond, "k").select("k", "n", "low", "size", "rare", F.explode(F.filter("grams", lambda h: (h < 0) | (h >= edge))).alias("h"))
+    held = upper.join(upper.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "h")
+    second = _ranked(held, "rare + n - low")
+    third = _ranked(owned.filter(F.col("df") > frequent).join(beyond.filter("rare + n - low < size").select("k"), "k"), "n")
+    return stored(first.unionByName(second).unionByName(third), "ngram-prefixes"), sets
 
 
 def _passing(pairs: DataFrame, similar: Fraction) -> DataFrame:
@@ -149,35 +169,31 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: Fraction) -> DataFrame:
     return both.select("a", "b", "na", "nb", common.alias("common")).filter(f"{q} * common >= {p} * (na + nb - common)").select("a", "b")
 
 
-def _labelled(prefix: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return prefix.withColumn("label", F.col("k"))
-    return prefix.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("label", F.coalesce("root", "k")).drop("root")
-
-
 def link_classes(prefix: DataFrame, sets: DataFrame, similar: Fraction, leaders: int = LEADERS) -> DataFrame | None:
-    """node, root of all classes with a link."""
-    roots, done, open_pairs, turn = None, None, None, 0
+    """node, root of all classes with a link; None if no group of prefixes holds two classes.
+
+    A group all of whose members are connected stays so; the others, with their labels, are the next round's rows.
+    """
+    rows, roots, done, open_pairs, turn = prefix.withColumn("label", F.col("k")), None, None, None, 0
     while True:
-        labelled = stored(_labelled(prefix, roots), "ngram-labelled")
-        per_group = labelled.groupBy("h", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(
+        per_group = rows.groupBy("h", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(
             F.sum("c").alias("g"), F.sum(F.col("c") * F.col("c")).alias("same")).filter("g * g > same")
-        left = per_group.agg(F.sum(F.expr("(g * g - same) / 2")), F.sum("g")).first()
+        per_group = stored(per_group, "ngram-groups")
+        left = per_group.agg(F.sum(F.expr("(g * g - same) div 2")), F.sum("g")).first()
         if not left[0]:
             return roots
-        groups = labelled.join(per_group.select("h"), "h")
+        rows = stored(rows.join(per_group.select("h"), "h"), "ngram-open")
         # Leaders pay off where groups have many more pairs than members.
         last = left[0] <= leaders * left[1] or open_pairs is not None and left[0] > (1 - WORTH) * open_pairs
         open_pairs = left[0]
         if last:
-            x, y = _side(groups, "x", "label"), _side(groups, "y", "label")
-            pairs = x.join(y, "h").filter("x_label < y_label")
+            pairs = _side(rows, "x", "label").join(_side(rows, "y", "label"), "h").filter("x_label < y_label")
         else:
             lead = F.struct("k", "n", "place", "label")
-            chosen = groups.groupBy("h").agg(*[F.min_by(lead, F.xxhash64("k", F.lit(turn * leaders + j))).alias(f"l{j}") for j in range(leaders)])
+            chosen = rows.groupBy("h").agg(*[F.min_by(lead, F.xxhash64("k", F.lit(turn * leaders + j))).alias(f"l{j}") for j in range(leaders)])
             y = chosen.select("h", F.explode(F.array_distinct(F.array(*[f"l{j}" for j in range(leaders)]))).alias("l")).select(
                 "h", *[F.col(f"l.{c}").alias(f"y_{c}") for c in ("k", "n", "place", "label")])
-            pairs = _side(groups, "x", "label").join(y, "h").filter("x_label <> y_label")
+            pairs = _side(rows, "x", "label").join(y, "h").filter("x_label <> y_label")
         pairs = _passing(pairs, similar)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
@@ -188,6 +204,7 @@ def link_classes(prefix: DataFrame, sets: DataFrame, similar: Fraction, leaders:
         roots = connected(links)
         if last:
             return roots
+        rows = rows.drop("label").join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("label", F.coalesce("root", "k")).drop("root")
         done = pairs if done is None else done.unionByName(pairs)
         turn += 1
 
@@ -209,15 +226,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
 def _join(keyed: DataFrame, key: str, repeated: bool, id_col: str, text_col: str, words: int, similar: Fraction) -> DataFrame:
     """The rows of join with their key k, and kept: whether the row stands for its component."""
     texts = narrow(keyed, d=id_col, k=key, t=text_col).withColumn("d", F.col("d").cast("long"))
-    described = stored(texts.mapInArrow(_describe(words, similar), "doc_id long, k long, n long, low long, dealt long, s1 long, s2 long"), "ngram-documents")
+    described = stored(texts.mapInArrow(_describe(words), "doc_id long, k long, n long, low long, s1 long, s2 long"), "ngram-documents")
     classes = stored(described.filter("n > 0").groupBy("n", "s1", "s2").agg(
-        F.min("k").alias("k"), F.min("doc_id").alias("first_id"), F.min("low").alias("low"), F.min("dealt").alias("dealt")), "ngram-classes")
+        F.min("k").alias("k"), F.min("doc_id").alias("first_id"), F.min("low").alias("low")), "ngram-classes")
     own = texts.select("k", "t").dropDuplicates(["k"]) if repeated else texts.select("k", "t")
-    prefix = stored(prefixes(own, classes.select("k", "n", "low", "dealt"), words, similar), "ngram-prefixes")
-    # A prefix whose n-grams stand alone after all is compared with none.
-    grouped = prefix.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
-    prefix = stored(prefix.join(grouped, "h"), "ngram-prefixes")
-    sets = stored(own.join(prefix.select("k").distinct(), "k", "left_semi").mapInArrow(_whole(words), "k long, grams array<long>, ranges array<int>"), "ngram-sets")
+    prefix, sets = prefixes(own, classes.select("k", "n", "low"), words, similar)
     roots = link_classes(prefix, sets, similar)
     if roots is None:
         labelled = classes.withColumn("label", F.col("k"))
