@@ -126,11 +126,18 @@ def absolute_url(href: Column, base: Column) -> Column:
             .otherwise(F.concat(v["origin"], folder, F.regexp_replace(link, r"^\./", "")))
         )
 
-    resolved = let(bound, resolve)
-    # One `segment/..` pair is folded per pass; deeper climbs than four stay as written.
-    for _ in range(4):
-        resolved = F.regexp_replace(resolved, r"(?<=[^/:])/(?!\.\.(?:/|$))[^/?#]+/\.\.(?=/|$)", "")
-    return resolved
+    return let(let(bound, resolve), lambda u: F.when(u.rlike(r"^[^?#]*/\.\.?(?:[/?#]|$)"), _folded(u)).otherwise(u))
+
+
+def _folded(url: Column) -> Column:
+    """The address with `.` and `..` segments of its path resolved, whatever their number."""
+    parts = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)/?([^?#]*)(.*)$"
+    segments = F.split(F.regexp_extract(url, parts, 2), "/")
+    climb = lambda out, s: F.when(s == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).when(s == ".", out).otherwise(F.concat(out, F.array(s)))
+    kept = F.aggregate(segments, F.array().cast("array<string>"), climb)
+    # A path that ends in such a segment ends in a slash.
+    ends = F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.concat(F.regexp_extract(url, parts, 1), F.lit("/"), F.array_join(ends, "/"), F.regexp_extract(url, parts, 3))
 
 
 def without_fragment(url: Column) -> Column:

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from factloom.functions import text as T
 from factloom.functions.numbers import market_round
 from factloom.operators.ordered import as_of, keep_first, last_n, top_k
-from factloom.session import broadcast_if_small
 
 # Interval of every timeframe, and how far a timeframe reaches back.
 TIMEFRAME_INTERVALS = {
@@ -192,7 +191,7 @@ def normalize_symbol(c: Column) -> Column:
 
 def with_localized_names(df: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     """Left join of a lookup table, broadcast only when its size is within the limit."""
-    return df.join(broadcast_if_small(dimension), key, "left")
+    return df.join(dimension, key, "left")
 
 
 def mover_markdown(title: Column, items: Column) -> Column:

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from factloom.functions import text as T
 from factloom.functions.numbers import planar_distance
 from factloom.operators.ordered import top_k
-from factloom.session import broadcast_if_small
 
 # German names of searched categories.
 GERMAN_CATEGORIES = (
@@ -29,7 +28,7 @@ def nearest(items: DataFrame, queries: DataFrame, key: str, limit: int = 10) ->
 
     `queries` has key, at_lat, at_lon; `items` has key, lat, lon, position.
     """
-    pairs = items.join(broadcast_if_small(queries.select(key, "at_lat", "at_lon")), key)
+    pairs = items.join(queries.select(key, "at_lat", "at_lon"), key)
     measured = pairs.withColumn("distance", planar_distance(F.col("lat"), F.col("lon"), F.col("at_lat"), F.col("at_lon")))
     return top_k(measured, [key], [F.col("distance"), F.col("position")], limit, "pos").drop("at_lat", "at_lon")
 

@@ -13,7 +13,6 @@ from factloom.functions import rows_of
 from factloom.functions import text as T
 from factloom.functions import urls as U
 from factloom.operators.ordered import top_k
-from factloom.session import broadcast_if_small
 
 # Recency choices in seconds.
 TIMEFRAME_SECONDS = {"1h": 3600, "1d": 86_400, "7d": 604_800, "30d": 2_592_000}
@@ -28,7 +27,7 @@ def relevance_join(queries: DataFrame, corpus: DataFrame, text: Column) -> DataF
         "needed", T.needed_matches(F.col("terms"))
     )
     terms = asked.select("query_id", "needed", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    vocabulary = broadcast_if_small(terms.select("term").distinct())
+    vocabulary = terms.select("term").distinct()
     # Only tokens that some query asks for, as narrow (document, term) rows.
     postings = rows_of(corpus, ["doc_id"], T.distinct_tokens(text), "term").drop("position").join(vocabulary, "term")
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
@@ -40,9 +39,9 @@ def relevance_join(queries: DataFrame, corpus: DataFrame, text: Column) -> DataF
         .filter((F.col("_rank") <= F.col("n_terms") - F.col("needed") + 1) & (F.col("docs") > 0))
         .select("term", "query_id")
     )
-    candidates = postings.join(broadcast_if_small(probes), "term").select("doc_id", "query_id").distinct()
+    candidates = postings.join(probes, "term").select("doc_id", "query_id").distinct()
     # A candidate asks for each of its query's terms; document and term together make an even join key.
-    wanted = candidates.join(broadcast_if_small(terms.drop("n_terms")), "query_id")
+    wanted = candidates.join(terms.drop("n_terms"), "query_id")
     found = wanted.join(postings, ["doc_id", "term"]).groupBy("query_id", "doc_id", "needed").agg(F.count(F.lit(1)).alias("matched"))
     return found.filter(F.col("matched") >= F.col("needed")).drop("needed").join(corpus, "doc_id")
 

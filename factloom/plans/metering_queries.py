@@ -343,21 +343,21 @@ def intent_match_check(spark, folder):
     return B.match_intents(payments, intents, "ref", ["user_id", "amount_cents"]).select("ref", "matched")
 
 
-@query("""with e as (select event_id, case when event_id % 3 = 0 then user_id end as given, 'c' || (user_id % 40) as customer_ref, 's' || (user_id % 60) as subscription_ref, 'k' || (event_id % 90) as checkout_ref from events),
-a as (select 'c' || c_custkey as customer_ref, 's' || (c_custkey + 30) as subscription_ref, c_custkey as user_id from customer where c_custkey < 25),
-i as (select 'k' || s_suppkey as checkout_ref, s_suppkey * 1000 as user_id from supplier where s_suppkey < 50), z as (select 'k' || s_suppkey as checkout_ref, s_suppkey * 2000 as user_id from supplier where s_suppkey >= 40)
+@query("""with e as (select event_id, case when event_id % 3 = 0 then user_id end as given, 'c' || (user_id * 2) as customer_ref, 's' || (user_id % 600) as subscription_ref, 'k' || (event_id % 900) as checkout_ref from events),
+a as (select 'c' || c_custkey as customer_ref, 's' || (c_custkey + 30) as subscription_ref, c_custkey as user_id from customer),
+i as (select 'k' || (s_suppkey * 2) as checkout_ref, s_suppkey * 1000 as user_id from supplier), z as (select 'k' || s_suppkey as checkout_ref, s_suppkey * 2000 as user_id from supplier)
 select event_id, coalesce(given, a.user_id, b.user_id, i.user_id, z.user_id) as user_id from e left join a on a.customer_ref = e.customer_ref left join a b on b.subscription_ref = e.subscription_ref
 left join i on i.checkout_ref = e.checkout_ref left join z on z.checkout_ref = e.checkout_ref""")
 def account_resolution(spark, folder):
     """The account of a payment event by its most direct reference."""
     e = table(spark, folder, "events").select(
-        "event_id", F.when(F.col("event_id") % 3 == 0, F.col("user_id")).alias("user_id"), F.concat(F.lit("c"), F.col("user_id") % 40).alias("customer_ref"),
-        F.concat(F.lit("s"), F.col("user_id") % 60).alias("subscription_ref"), F.concat(F.lit("k"), F.col("event_id") % 90).alias("checkout_ref"))
-    accounts = table(spark, folder, "customer").filter(F.col("c_custkey") < 25).select(
+        "event_id", F.when(F.col("event_id") % 3 == 0, F.col("user_id")).alias("user_id"), F.concat(F.lit("c"), F.col("user_id") * 2).alias("customer_ref"),
+        F.concat(F.lit("s"), F.col("user_id") % 600).alias("subscription_ref"), F.concat(F.lit("k"), F.col("event_id") % 900).alias("checkout_ref"))
+    accounts = table(spark, folder, "customer").select(
         F.concat(F.lit("c"), "c_custkey").alias("customer_ref"), F.concat(F.lit("s"), F.col("c_custkey") + 30).alias("subscription_ref"), F.col("c_custkey").alias("user_id"))
-    checkout = lambda rows, k: rows.select(F.concat(F.lit("k"), "s_suppkey").alias("checkout_ref"), (F.col("s_suppkey") * k).alias("user_id"))
     s = table(spark, folder, "supplier")
-    return B.resolve_account(e, accounts, checkout(s.filter(F.col("s_suppkey") < 50), 1000), checkout(s.filter(F.col("s_suppkey") >= 40), 2000)).select("event_id", "user_id")
+    checkout = lambda step, k: s.select(F.concat(F.lit("k"), F.col("s_suppkey") * step).alias("checkout_ref"), (F.col("s_suppkey") * k).alias("user_id"))
+    return B.resolve_account(e, accounts, checkout(2, 1000), checkout(1, 2000)).select("event_id", "user_id")
 
 
 STATUS_SQL = """['active','on_hold','plan_changed','cancelled','failed'][(event_id % 5) + 1]"""
@@ -396,12 +396,12 @@ def ttl_assignment(spark, folder):
     return table(spark, folder, "events").select("event_id", ttl.alias("ttl"), (F.unix_micros("ts") + ttl * 1_000_000).alias("expires_us"))
 
 
-@query("""with q as (select item_id, lower(trim(regexp_replace(left(text, 60), '[\\s\\x{A0}]+', ' ', 'g'))) as t from benchmark),
+@query("""with q as (select item_id, lower(trim(regexp_replace(text, '[\\s\\x{A0}]+', ' ', 'g'))) as t from benchmark),
 v as (select item_id, v, t from q, (values ('plain'), ('spaced'), ('extra')) x(v))
 select item_id, v as spelling, sha256('/api/places?q=' || replace(url_encode(t), '%20', '+') || '&format=json&limit=5&language=en&country=DE&type=any#places-1') as key from v""")
 def cache_keys(spark, folder):
     """P25: differently written requests share one key."""
-    text = F.lower(F.trim(F.regexp_replace(F.substring("text", 1, 60), r"\s+", " ")))
+    text = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
     plain = F.create_map(F.lit("q"), text, F.lit("country"), F.lit("DE"))
     spaced = F.create_map(F.lit("q"), F.concat(F.lit("  "), F.regexp_replace(text, " ", "  ")), F.lit("country"), F.lit(" de"), F.lit("limit"), F.lit("5"))
     extra = F.create_map(F.lit("q"), text, F.lit("country"), F.lit("DE"), F.lit("utm"), F.lit("x"), F.lit("type"), F.lit("any"), F.lit("language"), F.lit("EN"))
@@ -552,33 +552,29 @@ def composite_score(spark, folder):
     return reports.composite_score(reports.implementation_summary(rows, "source"))
 
 
-SAMPLE_BANDS = ((1, 15, 0.4), (16, 45, 0.3), (46, 90, 0.2), (91, 150, 0.1))
-
-
-def sample_slots() -> str:
-    plan, taken, offset = [], 0, 0
-    for i, (start, end, weight) in enumerate(SAMPLE_BANDS):
-        wanted = 20 - taken if i == len(SAMPLE_BANDS) - 1 else int(20 * weight + 0.5)
-        taken += wanted
-        stride = max(1, (end - start + 1) // wanted)
-        plan += [f"({offset + k}, {start + stride // 2 + k * stride}, {start + stride // 2 + k * stride + stride - 1})" for k in range(wanted)]
-        offset += wanted
-    return ", ".join(plan)
+# Band ends in tenths of the list, and how many of twenty domains each gives.
+SAMPLE_TENTHS, SAMPLE_WEIGHTS = (1, 3, 6, 10), (0.4, 0.3, 0.2, 0.1)
+SLOTS_SQL = """b as (select o, w, n * a // 10 + 1 as lo, greatest(1, (n * e // 10 - n * a // 10) // w) as st from (select count(*) as n from customer),
+  (values (0, 8, 0, 1), (8, 6, 1, 3), (14, 4, 3, 6), (18, 2, 6, 10)) x(o, w, a, e)),
+slots as (select o + k as slot, lo + st // 2 + k * st as lo, lo + st // 2 + k * st + st - 1 as hi from b, range(20) r(k) where k < w)"""
 
 
 @query(f"""with recursive d as (select c_custkey + 1 as rank, case when c_custkey % 13 = 0 then '-bad' else 'shop' || (c_custkey % 97) end || '.com' as domain from customer),
-slots(slot, lo, hi) as (values {sample_slots()}), ok as (select * from d where domain not like '-%'),
+{SLOTS_SQL}, ok as (select * from d where domain not like '-%'),
 fold as (select -1 as slot, cast([] as varchar[]) as seen, cast(null as bigint) as rank, cast(null as varchar) as domain
   union all
   select s.slot, case when c.domain is null then f.seen else list_append(f.seen, c.domain) end, c.rank, c.domain from fold f join slots s on s.slot = f.slot + 1
   left join lateral (select min(rank) as rank, arg_min(domain, rank) as domain from ok where ok.rank between s.lo and s.hi and not list_contains(f.seen, ok.domain)) c on true)
 select cast(slot as bigint) as slot, rank, domain, domain as site from fold where domain is not null""")
 def stratified_sample(spark, folder):
-    """Twenty domains of distinct sites over four rank bands (scaled down to the customers)."""
+    """Twenty domains of distinct sites over four rank bands of 10, 20, 30 and 40 % of the list."""
     key = F.col("c_custkey")
     name = F.when(key % 13 == 0, F.lit("-bad")).otherwise(F.concat(F.lit("shop"), key % 97))
     domains = table(spark, folder, "customer").select((key + 1).alias("rank"), F.concat(name, F.lit(".com")).alias("domain"))
-    return reports.stratified_sample(domains, 20, SAMPLE_BANDS)
+    n = domains.count()
+    ends = [n * t // 10 for t in SAMPLE_TENTHS]
+    bands = [(a + 1, b, w) for a, b, w in zip([0, *ends], ends, SAMPLE_WEIGHTS)]
+    return reports.stratified_sample(domains, 20, bands)
 
 
 @query("""select 'stride' as sample, cast(c_custkey as varchar) as target from customer where c_custkey % 50 = 25 union all

@@ -223,16 +223,15 @@ def terms_sql(query_text: str) -> str:
 
 def search_sql(docs: str = "documents", columns: str = "") -> str:
     return f"""
-asked as (select item_id as query_id, {terms_sql("array_to_string(string_split_regex(trim(text), '\\s+')[1:6], ' ')")} as terms from benchmark),
+asked as (select item_id as query_id, {terms_sql("text")} as terms from benchmark),
 words as (select doc_id {columns}, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) as tokens from {docs}),
 pairs as (select query_id, doc_id {columns}, len(list_intersect(terms, tokens)) as matched, len(terms) as n from asked, words),
 hits as (select * from pairs where n > 0 and matched >= n // 2 + 1)"""
 
 
 def search_queries(spark, folder):
-    """The first six words of every benchmark item as a search."""
-    words = F.slice(F.split(F.trim("text"), r"\s+"), 1, 6)
-    return table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"))
+    """Every benchmark item, its whole text, as a search."""
+    return table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 @query(f"""with {search_sql()}

@@ -14,7 +14,6 @@ from factloom.operators import quality
 from factloom.operators.joins import rescue_by_id, with_fallback
 from factloom.operators.search import filter_creator, filter_images, filter_platform
 from factloom.plans.tables import register_into, table
-from factloom.session import spread
 from factloom.sources import catalogs, embeds, feeds, social
 from factloom.operators import listings as L
 from factloom.functions.dom import dom_nodes, fragment_markdown
@@ -33,48 +32,45 @@ def xml_text(c):
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
 
 
-def plain(c, n=120):
-    """First characters of a text without marks that Markdown or XML would change."""
-    return F.trim(F.regexp_replace(F.substring(c, 1, n), r"[^\p{L}\p{N} .,]+", " "))
-
-
-PLAIN_SQL = r"trim(regexp_replace(left(text, 120), '[^\p{L}\p{N} .,]+', ' ', 'g'))"
-
-
 def documents(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", "lang", "source", plain(F.col("text")).alias("plain"))
+    """Every document with its whole text."""
+    return table(spark, folder, "documents").select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("plain"))
 
 
-DOCS_SQL = f"d as (select doc_id, lang, source, {PLAIN_SQL} as plain from documents)"
-COLLAPSE = r"trim(regexp_replace(plain, ' +', ' ', 'g'))"
+DOCS_SQL = "d as (select doc_id, lang, source, coalesce(text, '') as plain from documents)"
+FILLED = r"plain rlike '[^ \\t\\n\\r\\f]'"
+FILLED_SQL = r"trim(regexp_replace(plain, '\s+', ' ', 'g')) <> ''"
+BLANKS = r"trim(regexp_replace(plain, '[\s\x{A0}]+', ' ', 'g'))"
+# The text as Markdown shows it: white space as one blank, marks escaped.
+COLLAPSE = r"trim(regexp_replace(regexp_replace(plain, '[\s\x{A0}]+', ' ', 'g'), '([\\`*_\[\]<>])', '\\\1', 'g'))"
 
 
 @query(f"""with {DOCS_SQL}, i as (select doc_id, unnest([0, 1]) as position, plain, source, lang from d)
 select doc_id as payload_id, position::bigint as position, 'https://' || source || '.example.org/' || doc_id || case when position = 0 then '' else '/more' end as url, case when position = 0 then 'Item ' || doc_id else 'More & more' end as title,
-  source as author, '2024-02-03T04:05:06.000Z' as "publishedAt", case when position = 0 then '**' || lang || '** ' || {COLLAPSE} else {COLLAPSE} end as content from i where plain <> ''""")
+  source as author, '2024-02-03T04:05:06.000Z' as "publishedAt", case when position = 0 then '**' || lang || '** ' || {COLLAPSE} else {COLLAPSE} end as content from i where {FILLED_SQL}""")
 def payload_rss(spark, folder):
     """Every document as an RSS feed of two items."""
-    d = documents(spark, folder).filter(F.col("plain") != "")
+    d = documents(spark, folder).filter(FILLED)
     base = F.concat(F.lit("https://"), "source", F.lit(".example.org/"), "doc_id")
     item = lambda title, url, body: F.concat(
         F.lit("<item><title>"), title, F.lit("</title><link>"), url, F.lit("</link><author>"), F.col("source"),
         F.lit("</author><pubDate>Sat, 03 Feb 2024 04:05:06 GMT</pubDate><description>"), xml_text(body), F.lit("</description></item>"))
     body = F.concat(
         F.lit('<?xml version="1.0"?><rss version="2.0"><channel><title>Feed</title>'),
-        item(F.concat(F.lit("Item "), "doc_id"), base, F.concat(F.lit("<b>"), "lang", F.lit("</b> "), "plain")),
-        item(F.lit("More &amp; more"), F.concat(base, F.lit("/more")), F.col("plain")), F.lit("</channel></rss>"))
+        item(F.concat(F.lit("Item "), "doc_id"), base, F.concat(F.lit("<b>"), "lang", F.lit("</b> "), xml_text(F.col("plain")))),
+        item(F.lit("More &amp; more"), F.concat(base, F.lit("/more")), xml_text(F.col("plain"))), F.lit("</channel></rss>"))
     out = feeds.parse_feeds(d.select(F.col("doc_id").alias("payload_id"), base.alias("url"), body.alias("body")))
     return out.select("payload_id", "position", "url", "title", "author", "publishedAt", "content")
 
 
-@query(f"""with {DOCS_SQL} select doc_id as payload_id, 0::bigint as position, 'https://a.example.org/' || doc_id as url, 'Entry ' || doc_id as title, source as author, '2024-02-03T04:05:06.000Z' as "publishedAt", {COLLAPSE} as content from d where plain <> ''""")
+@query(f"""with {DOCS_SQL} select doc_id as payload_id, 0::bigint as position, 'https://a.example.org/' || doc_id as url, 'Entry ' || doc_id as title, source as author, '2024-02-03T04:05:06.000Z' as "publishedAt", {COLLAPSE} as content from d where {FILLED_SQL}""")
 def payload_atom(spark, folder):
     """S3: every document as an Atom feed with an alternate link."""
-    d = documents(spark, folder).filter(F.col("plain") != "")
+    d = documents(spark, folder).filter(FILLED)
     body = F.concat(
         F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>Feed</title><entry><title>Entry '), F.col("doc_id").cast("string"),
         F.lit('</title><link rel="self" href="https://a.example.org/self"/><link rel="alternate" href="https://a.example.org/'), F.col("doc_id").cast("string"),
-        F.lit('"/><author><name>'), F.col("source"), F.lit("</name></author><updated>2024-02-03T04:05:06Z</updated><content type=\"html\">"), xml_text(F.col("plain")),
+        F.lit('"/><author><name>'), F.col("source"), F.lit("</name></author><updated>2024-02-03T04:05:06Z</updated><content type=\"html\">"), xml_text(xml_text(F.col("plain"))),
         F.lit("</content></entry></feed>"))
     out = feeds.parse_xml_feeds(d.select(F.col("doc_id").alias("payload_id"), F.lit("https://a.example.org/").alias("url"), body.alias("body")))
     return out.select("payload_id", "position", "url", "title", "author", "publishedAt", "content")
@@ -92,12 +88,12 @@ def payload_json_feed(spark, folder):
 
 
 @query(f"""with {DOCS_SQL}, r as (select doc_id as payload_id, unnest([1, 2]) as position, 'https://' || source || '.example.org/' || doc_id as url, plain from d)
-select payload_id, position::bigint as position, url || case when position = 1 then '' else '?p=2' end as url, case when position = 1 then 'Result ' || payload_id else regexp_extract(url, '^https://([^/]*)', 1) end as title, {COLLAPSE} as content from r""")
+select payload_id, position::bigint as position, url || case when position = 1 then '' else '?p=2' end as url, case when position = 1 then 'Result ' || payload_id else regexp_extract(url, '^https://([^/]*)', 1) end as title, {BLANKS} as content from r""")
 def payload_search_rss(spark, folder):
     """Search results, where unsafe and repeated links are skipped."""
     d = documents(spark, folder)
     base = F.concat(F.lit("https://"), "source", F.lit(".example.org/"), "doc_id")
-    item = lambda title, url: F.concat(F.lit("<item><title>"), title, F.lit("</title><link>"), url, F.lit("</link><description>"), xml_text(F.concat(F.lit("<b></b>"), "plain")), F.lit("</description></item>"))
+    item = lambda title, url: F.concat(F.lit("<item><title>"), title, F.lit("</title><link>"), url, F.lit("</link><description>"), xml_text(F.concat(F.lit("<b></b>"), xml_text(F.col("plain")))), F.lit("</description></item>"))
     body = F.concat(F.lit("<rss><channel>"), item(F.lit("bad"), F.lit("javascript:alert(1)")), item(F.concat(F.lit("Result "), "doc_id"), base), item(F.lit(""), F.concat(base, F.lit("?p=2"))),
                     item(F.lit("again"), base), F.lit("</channel></rss>"))
     out = feeds.parse_search_results(d.select(F.col("doc_id").alias("payload_id"), F.lit("").alias("url"), body.alias("body")))
@@ -111,25 +107,25 @@ def payload_oembed(spark, folder):
     d = documents(spark, folder)
     odd = F.col("doc_id") % 2 == 1
     url = F.when(odd, F.concat(F.lit("https://vimeo.com/"), "doc_id")).otherwise(F.concat(F.lit("https://"), "source", F.lit(".example.org/"), "doc_id"))
-    body = js(title=F.concat(F.lit("Doc "), "doc_id"), author_name=F.col("source"), html=F.concat(F.lit("<p>"), "plain", F.lit("</p><iframe src='x'></iframe>")), duration=F.when(odd, F.lit(61.5)))
+    body = js(title=F.concat(F.lit("Doc "), "doc_id"), author_name=F.col("source"), html=F.concat(F.lit("<p>"), xml_text(F.col("plain")), F.lit("</p><iframe src='x'></iframe>")), duration=F.when(odd, F.lit(61.5)))
     out = embeds.normalize_oembed(d.select(F.col("doc_id").alias("payload_id"), url.alias("url"), body.alias("body")))
     return out.select("payload_id", "source", "title", "author", "content", F.col("attributes.durationSeconds").alias("seconds"))
 
 
-@query(f"""with {DOCS_SQL} select doc_id as payload_id, cast(doc_id as varchar) as id, 'https://' || source || '.example.org/p/' || doc_id as url, 'Post ' || doc_id as title, '2024-02-03T04:05:06.000Z' as "publishedAt", '# Post ' || doc_id || chr(10) || chr(10) || {COLLAPSE} as content from d where plain <> ''""")
+@query(f"""with {DOCS_SQL} select doc_id as payload_id, cast(doc_id as varchar) as id, 'https://' || source || '.example.org/p/' || doc_id as url, 'Post ' || doc_id as title, '2024-02-03T04:05:06.000Z' as "publishedAt", '# Post ' || doc_id || chr(10) || chr(10) || {COLLAPSE} as content from d where {FILLED_SQL}""")
 def payload_wordpress(spark, folder):
     """Every document as a WordPress post."""
     d = documents(spark, folder)
     rendered = lambda c: F.struct(c.alias("rendered"))
     link = F.concat(F.lit("https://"), "source", F.lit(".example.org/p/"), "doc_id")
-    body = js(id=F.col("doc_id"), link=link, title=rendered(F.concat(F.lit("Post "), "doc_id")), content=rendered(F.when(F.col("plain") != "", F.concat(F.lit("<p>"), "plain", F.lit("</p>"))).otherwise(F.lit(""))),
+    body = js(id=F.col("doc_id"), link=link, title=rendered(F.concat(F.lit("Post "), "doc_id")), content=rendered(F.when(F.expr(FILLED), F.concat(F.lit("<p>"), xml_text(F.col("plain")), F.lit("</p>"))).otherwise(F.lit(""))),
               date_gmt=F.lit("2024-02-03T04:05:06"), date=F.lit("2020-01-01T00:00:00"))
     out = embeds.normalize_wordpress(d.select(F.col("doc_id").alias("payload_id"), F.lit("https://x.example.org/").alias("url"), body.alias("body")))
     return out.select("payload_id", "id", "url", "title", "publishedAt", "content")
 
 
 def parts(spark, folder):
-    return spread(table(spark, folder, "part"))
+    return table(spark, folder, "part")
 
 
 CENTS_SQL = "cast(floor(cast(p_retailprice as decimal(18,2)) * 100) as bigint)"
@@ -288,7 +284,7 @@ def payload_images(spark, folder):
 def payload_places(spark, folder):
     """Every customer as a map feature; those outside the map are dropped."""
     names = table(spark, folder, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("city"))
-    c = spread(table(spark, folder, "customer")).join(names, "c_nationkey")
+    c = table(spark, folder, "customer").join(names, "c_nationkey")
     key = F.col("c_custkey")
     lat = F.when(key % 5 == 0, F.lit(100.0)).otherwise((key % 170) * 0.5 - 42)
     props = F.struct(F.col("c_name").alias("name"), F.lit("Main Street").alias("street"), key.cast("string").alias("housenumber"), F.lit("1000").alias("postcode"), F.col("city"), F.lower("city").alias("state"),
@@ -319,7 +315,7 @@ def payload_movers(spark, folder):
 select k as payload_id, epoch(l_shipdate)::bigint as second, close, volume, 'S' || l_suppkey as symbol from l""")
 def payload_charts(spark, folder):
     """Every order line as a chart of parallel arrays with an empty and an undated point."""
-    l = spread(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"))
+    l = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
     at = F.unix_seconds("l_shipdate")
     quote = F.struct(F.array(F.lit(None).cast("double"), F.col("l_extendedprice"), F.col("l_extendedprice")).alias("close"), F.array(F.lit(None).cast("double"), F.col("l_quantity"), F.lit(1.0)).alias("volume"))
     # JSON nulls inside the arrays keep their places.
@@ -352,7 +348,7 @@ def creator_filter(spark, folder):
     return filter_creator(d, "studio fr").select("doc_id", "lang")
 
 
-POSTS_SQL = f"""{DOCS_SQL}, p as (select doc_id as payload_id, source, lang, plain from d where plain <> '')"""
+POSTS_SQL = f"""{DOCS_SQL}, p as (select doc_id as payload_id, source, lang, plain from d where {FILLED_SQL})"""
 
 
 @query(f"""with {POSTS_SQL} select payload_id, 'bluesky' as source, cast(payload_id as varchar) as id, 'Ann (@' || source || '.social)' as author, '2024-02-03T04:05:06.000Z' as "publishedAt", payload_id as likes, lang || '|tag' as hashtags, null as media_type from p
@@ -362,7 +358,7 @@ union all select payload_id, 'tiktok', cast(payload_id as varchar), 'Ann (@' ||
 union all select payload_id, 'instagram', 'C' || payload_id, '@' || source, '2024-02-03T04:05:06.000Z', payload_id, lang || '|tag', 'carousel' from p""")
 def payload_social(spark, folder):
     """Every document as a post of five social sites."""
-    d = documents(spark, folder).filter(F.col("plain") != "")
+    d = documents(spark, folder).filter(FILLED)
     key = F.col("doc_id").cast("string")
     user, when = F.col("source"), F.lit("2024-02-03T04:05:06Z")
     named = lambda name: [F.struct(F.col("lang").alias(name)), F.struct(F.lit("tag").alias(name)), F.struct(F.col("lang").alias(name))]
@@ -372,7 +368,7 @@ def payload_social(spark, folder):
         F.struct(F.col("plain").alias("text"), when.alias("createdAt"), F.array(F.col("lang"), F.lit("#tag")).alias("tags")).alias("record"),
         F.struct(handle.alias("handle"), F.lit("Ann").alias("displayName")).alias("author"), F.col("doc_id").alias("likeCount")).alias("post")))
     attachment = lambda kind: F.struct(F.lit(kind).alias("type"), F.lit("https://m.example.org/1").alias("url"))
-    mastodon = js(id=key, content=F.concat(F.lit("<p>"), "plain", F.lit("</p>")), created_at=when, account=F.struct(user.alias("acct"), F.lit("Ann").alias("display_name")),
+    mastodon = js(id=key, content=F.concat(F.lit("<p>"), xml_text(F.col("plain")), F.lit("</p>")), created_at=when, account=F.struct(user.alias("acct"), F.lit("Ann").alias("display_name")),
                   media_attachments=F.array(attachment("image"), attachment("gifv")), tags=F.array(*named("name")), favourites_count=F.col("doc_id"))
     x = js(text=F.col("plain"), created_at=when, user=F.struct(user.alias("screen_name"), F.lit("Ann").alias("name")), favorite_count=F.col("doc_id"), entities=F.struct(F.array(*named("text")).alias("hashtags")),
            mediaDetails=F.array(F.struct(F.lit("photo").alias("type"), F.lit("https://i.example.org/1.jpg").alias("media_url_https"))))

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factloom.session import spread
-
 TICK_ORDER = ["ts", "l_orderkey", "l_linenumber", "l_suppkey", "price", "volume"]
 
 
@@ -23,16 +21,10 @@ def register_into(queries: dict, oracles: dict):
     return query
 
 
-# Tables whose rows are long texts; working on a row costs more than dealing it out.
-TEXT_TABLES = ("pages", "documents", "conversations")
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A parquet table; timestamps without a zone are read as UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     df = spark.read.parquet(f"{folder}/{name}.parquet")
-    if name in TEXT_TABLES:
-        df = spread(df)
     zoneless = [c for c, t in df.dtypes if t == "timestamp_ntz"]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
 

@@ -1,14 +1,11 @@
-"""Session defaults, shared work folders and size-checked broadcasts."""
+"""Session defaults and shared work folders."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-# Largest optimizer size estimate a table may have to be sent to every executor.
-BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
+from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "factloom", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -19,6 +16,8 @@ def build_session(app: str = "factloom", master: str | None = None, shuffle_part
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # Splits small enough that tables of a few files keep all cores busy.
+        .config("spark.sql.files.maxPartitionBytes", "32m")
         # Recording the source line of every column costs more than building a plan.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
@@ -41,26 +40,3 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         root = tempfile.mkdtemp(prefix="factloom-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of an input with fewer splits than cores dealt out to all of them, for work that is heavy per row.
-
-    A large table has more splits than cores and is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df if splits >= cores else df.repartition(cores)
-
-
-def size_estimate(df: DataFrame) -> int:
-    """The optimizer's size estimate of a plan, in bytes."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Hint a broadcast only when the estimated size is within the limit.
-
-    A larger side is returned as it is, so the join runs as a shuffle join (with AQE skew splitting).
-    """
-    return F.broadcast(df) if size_estimate(df) <= limit else df
