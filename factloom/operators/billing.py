@@ -267,13 +267,35 @@ def reversal_state(events: DataFrame) -> DataFrame:
 
 
 def reversal_rows(events: DataFrame) -> DataFrame:
-    """Ledger rows that take a reversed grant back."""
-    kind = F.when(F.col("refund_final"), F.lit("refund")).otherwise(F.lit("dispute"))
-    ref = ids.reversal_ref(kind, F.col("payment_ref"))
-    hit = (F.col("refund_final") | F.col("dispute_active")) & F.col("granted").isNotNull()
-    return reversal_state(events).filter(hit).select(
-        ids.ledger_id(ref).alias("id"), F.col("account").alias("user_id"), kind.alias("kind"), (-F.col("granted")).alias("credits"),
-        "payment_ref", ref.alias("external_ref"))
+    """Ledger rows of every payment's reversals, from its transitions in order; each row can be booked once.
+
+    A dispute that is open when the grant comes, or opens later, takes the grant back; a refund does, too, unless a
+    dispute has done so before. A dispute won gives back what the dispute took, unless a refund came in between.
+    """
+    at = F.struct("ts", "event_id")
+    when = lambda kind, value: F.when(F.col("kind") == kind, value)
+    known = events.groupBy("payment_ref").agg(
+        F.min(when("grant", at)).alias("g"), F.min_by(F.struct("account", "credits"), when("grant", at)).alias("_grant"),
+        F.min(when("refund", at)).alias("r")).filter(F.col("g").isNotNull())
+    rows = events.filter(F.col("kind").isin("dispute_opened", "dispute_won")).select("payment_ref", "kind", at.alias("at"))
+    both = known.join(rows, "payment_ref", "left")
+    opened = both.groupBy("payment_ref").agg(
+        F.first("_grant").alias("_grant"), F.first("g").alias("g"), F.first("r").alias("r"),
+        F.max_by("kind", F.when(F.col("at") < F.col("g"), F.col("at"))).alias("_before"),
+        F.min(F.when((F.col("at") > F.col("g")) & (F.col("kind") == "dispute_opened"), F.col("at"))).alias("_after"))
+    taken = F.when(F.col("_before") == "dispute_opened", F.col("g")).otherwise(F.col("_after"))
+    disputed = opened.withColumn("d", F.when(F.col("r").isNull() | (F.col("r") > taken), taken))
+    won = disputed.join(rows.filter(F.col("kind") == "dispute_won"), "payment_ref", "left").groupBy("payment_ref").agg(
+        F.first("_grant").alias("_grant"), F.first("r").alias("r"), F.first("d").alias("d"), F.min(F.when(F.col("at") > F.col("d"), F.col("at"))).alias("w"))
+    restored = F.col("w").isNotNull() & (F.col("r").isNull() | (F.col("r") > F.col("w")))
+    refunded = F.col("r").isNotNull() & (F.col("d").isNull() | restored)
+    ref, back = F.col("payment_ref"), F.col("_grant.credits")
+    entry = lambda test, kind, credits, external: F.when(test, F.struct(F.lit(kind).alias("kind"), credits.alias("credits"), external.alias("external_ref")))
+    entries = F.array_compact(F.array(
+        entry(F.col("d").isNotNull(), "dispute", -back, ids.reversal_ref(F.lit("dispute"), ref)),
+        entry(restored, "dispute_reversed", back, ids.restore_ref(ref)), entry(refunded, "refund", -back, ids.reversal_ref(F.lit("refund"), ref))))
+    return won.select("payment_ref", F.col("_grant.account").alias("user_id"), F.explode(entries).alias("e")).select(
+        ids.ledger_id(F.col("e.external_ref")).alias("id"), "user_id", "e.kind", "e.credits", "payment_ref", "e.external_ref")
 
 
 def resolve_account(events: DataFrame, accounts: DataFrame, intents: DataFrame, authorizations: DataFrame) -> DataFrame:

@@ -251,10 +251,28 @@ def reversal_state(spark, folder):
     return B.reversal_state(rare_refunds(spark, folder)).drop("last_dispute_at")
 
 
-@query(f"""with {RARE_REVERSAL_SQL} select 'ledger_reversal:' || k || ':' || payment_ref as id, account as user_id, k as kind, -granted as credits, payment_ref, 'reversal:' || k || ':' || payment_ref as external_ref
-from (select *, case when refund_final then 'refund' else 'dispute' end as k from ac where (refund_final or dispute_active) and granted is not null)""")
+# One step per notice of a payment, with what it books.
+LEDGER_SQL = f"""with recursive {PAYMENT_SQL},
+o as (select *, row_number() over (partition by payment_ref order by ts, event_id) as n from pay where kind <> 'refund' or regexp_matches(payment_ref, '[05]$')),
+s as (select payment_ref, 0::bigint as n, null::bigint as account, null::bigint as granted, 0::bigint as net, false as refunded, false as active, false as d, false as w, false as r, null::varchar as books
+    from (select distinct payment_ref from o)
+  union all
+  select payment_ref, n, account, granted, net + case books when 'dispute_reversed' then granted when 'dispute' then -granted when 'refund' then -granted else 0 end + case when new then granted else 0 end,
+    refunded, active, d or coalesce(books = 'dispute', false), w or coalesce(books = 'dispute_reversed', false), r or coalesce(books = 'refund', false), books
+  from (select x.*, case when granted is null then null
+      when (kind = 'refund' or new and refunded) and (net > 0 or new) and not r then 'refund'
+      when (kind = 'dispute_opened' or new and active) and (net > 0 or new) and not d then 'dispute'
+      when kind = 'dispute_won' and not refunded and net <= 0 and not w then 'dispute_reversed' end as books
+    from (select s.payment_ref, o.n, coalesce(s.account, case when o.kind = 'grant' then o.account end) as account,
+        coalesce(s.granted, case when o.kind = 'grant' then o.credits end) as granted, s.granted is null and o.kind = 'grant' as new, o.kind, s.net,
+        s.refunded or o.kind = 'refund' as refunded, case o.kind when 'dispute_opened' then true when 'dispute_won' then false else s.active end as active, s.d, s.w, s.r
+      from s join o on o.payment_ref = s.payment_ref and o.n = s.n + 1) x))"""
+
+
+@query(f"""{LEDGER_SQL} select 'ledger_' || e as id, account as user_id, books as kind, case when books = 'dispute_reversed' then granted else -granted end as credits, payment_ref, e as external_ref
+from (select *, case when books = 'dispute_reversed' then 'restore:dispute:' || payment_ref else 'reversal:' || books || ':' || payment_ref end as e from s where books is not null)""")
 def reversal_ledger(spark, folder):
-    """Ledger rows that take reversed grants back."""
+    """Ledger rows that take reversed grants back and give them back when a dispute is won."""
     return B.reversal_rows(rare_refunds(spark, folder))
 
 

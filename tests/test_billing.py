@@ -75,7 +75,10 @@ def test_reversals_in_any_order(spark):
     for rows in (REVERSALS, REVERSALS[::-1]):
         assert {r.payment_ref: (r.net_credits, r.pending) for r in B.reversal_state(notices(spark, rows)).collect()} == EXPECTED
     refs = {r.external_ref for r in B.reversal_rows(notices(spark, REVERSALS)).collect()}
-    assert refs == {"reversal:refund:early", "reversal:dispute:open", "reversal:refund:final"}
+    assert refs == {"reversal:refund:early", "reversal:dispute:open", "reversal:refund:final", "reversal:dispute:won", "restore:dispute:won", "reversal:dispute:late", "restore:dispute:late"}
+    # A refund during a dispute books nothing more, and none is given back after it.
+    rows = [("a", "grant", 1, 10), ("a", "dispute_opened", 2, None), ("a", "refund", 3, None), ("a", "dispute_won", 4, None), ("b", "dispute_opened", 0, None), ("b", "grant", 1, 5)]
+    assert [(r.external_ref, r.credits) for r in B.reversal_rows(notices(spark, rows)).orderBy("payment_ref").collect()] == [("reversal:dispute:a", -10), ("reversal:dispute:b", -5)]
 
 
 def test_upsert_rules(spark):
