@@ -70,3 +70,15 @@ def test_storefront_routes(spark):
     assert [(o.shop, o.kind, o.handle) if o else None for o in out] == [
         ("shopify", "product", "a b"), ("shopify", "product", "d"), ("shopify", "collection", "c"), ("shopify", "catalog", None), None,
         ("woocommerce", "product", "42"), ("woocommerce", "search", "red hat"), ("woocommerce", "catalog", None), None]
+
+
+def test_relative_links_climb_to_any_depth(spark):
+    from factloom.functions.urls import absolute_url
+    from pyspark.sql import functions as F
+
+    page = "https://e.com/a/b/c/d/e/f/g/h"
+    cases = {"../../../../../../z": "https://e.com/a/z", "../" * 20 + "z?q=../x#..": "https://e.com/z?q=../x#..", "./../i/./j/..": "https://e.com/a/b/c/d/e/f/i/",
+             "k": "https://e.com/a/b/c/d/e/f/g/k", "/x/../y/": "https://e.com/y/", "?p=..": page + "?p=.."}
+    rows = spark.createDataFrame(list(cases.items()), "link string, want string")
+    got = rows.select("want", absolute_url(F.col("link"), F.lit(page)).alias("url")).collect()
+    assert [r.url for r in got] == [r.want for r in got]
