@@ -121,15 +121,18 @@ def fx_series(rates: DataFrame, source: str, quote: str) -> DataFrame:
 
 def convert_currency(
     points: DataFrame, fx: DataFrame, columns: Sequence[str], ts: str = "ts", spot: Column | None = None,
-    chunk_seconds: int = 30 * 86_400,
+    chunk_seconds: int = 86_400,
 ) -> DataFrame:
     """Money columns times the rate valid at each point; volume and percentages stay as they are.
 
-    The rate is the last one at or before the point, else the earliest, else `spot`.
+    The rate is the last one at or before the point, else the earliest, else `spot`. It depends on the time alone, so only
+    the distinct times, a day to a group, are put in order with the rates; the points then join their time.
     """
     pair = F.lit(0).alias("_pair")
     right = fx.select(pair, F.col("ts").alias("_fx_ts"), F.col("close").alias("_rate"))
-    rated = as_of(points.select(pair, "*"), right, ["_pair"], ts, "_fx_ts", ["_rate"], chunk_seconds)
+    times = points.select(pair, F.col(ts).alias("_at")).distinct()
+    known = as_of(times, right, ["_pair"], "_at", "_fx_ts", ["_rate"], chunk_seconds).select("_pair", "_at", "_rate")
+    rated = points.join(known, F.col(ts).eqNullSafe(F.col("_at")))
     earliest = fx.groupBy(pair).agg(F.min_by("close", "ts").alias("_earliest"))  # one row
     last_resort = spot if spot is not None else F.lit(None).cast("double")
     out = rated.join(F.broadcast(earliest), "_pair", "left").withColumn("rate", F.coalesce("_rate", "_earliest", last_resort))
