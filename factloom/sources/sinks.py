@@ -33,9 +33,20 @@ def upsert_table(
     upsert(target, changes, keys, merge, order).write.mode("overwrite").parquet(path)
 
 
-def once_per_batch(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """`foreachBatch` sink whose replay is harmless: a batch writes its own folder, and ids within it once."""
+def once_per_batch(path: str, key: str, failed: str | None = None) -> Callable[[DataFrame, int], None]:
+    """`foreachBatch` sink that takes every id once, however late a repeat comes.
+
+    A repeat is dropped if an earlier row of its id was taken and, where `failed` names a flag, did not fail. A batch writes
+    its own folder, so a replay is harmless.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.dropDuplicates([key]).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        rest = [c for c in batch.columns if c != key]
+        rank = F.col(failed).cast("int") if failed else F.lit(0)
+        fresh = batch.groupBy(key).agg(F.min_by(F.struct(*rest), rank).alias("_row")).select(key, "_row.*").select(*batch.columns)
+        if batch_id > 0:
+            taken = batch.sparkSession.read.schema(batch.schema.add("batch", "long")).parquet(path).filter(F.col("batch") < batch_id)
+            done = taken.filter(~F.col(failed)) if failed else taken
+            fresh = fresh.join(done.select(key), key, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write

@@ -15,9 +15,9 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def intake(events: DataFrame, key: str = "event_id", ts: str = "ts", delay: str = "2 days") -> DataFrame:
-    """Every event id once; repeats within the delay are dropped."""
-    return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+def intake(spark: SparkSession, events: DataFrame, key: str = "event_id", failed: str | None = None, purpose: str = "intake") -> DataFrame:
+    """Every event id once, without a horizon; what failed may come again. The taken rows are the memory, not stream state."""
+    return run_available(spark, events, purpose, key=key, failed=failed)
 
 
 def request_counts(events: DataFrame, limit: int, seconds: int = 60, client: str = "client", delay: str = "10 minutes") -> DataFrame:
@@ -44,14 +44,14 @@ def start(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", s
     )
 
 
-def run_available(spark: SparkSession, stream: DataFrame, purpose: str, mode: str = "append", key: str | None = None) -> DataFrame:
+def run_available(spark: SparkSession, stream: DataFrame, purpose: str, mode: str = "append", key: str | None = None, failed: str | None = None) -> DataFrame:
     """Run a stream over the present input and return everything it wrote, with its `batch`."""
     folder = work_dir(spark, purpose)
     path = f"{folder}/out"
     before = spark.conf.get(PROVIDER)
     spark.conf.set(PROVIDER, ROCKSDB)
     try:
-        query = start(stream, path, f"{folder}/state", mode, once_per_batch(path, key) if key else None)
+        query = start(stream, path, f"{folder}/state", mode, once_per_batch(path, key, failed) if key else None)
         query.awaitTermination()
     finally:
         spark.conf.set(PROVIDER, before)

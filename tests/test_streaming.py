@@ -64,5 +64,13 @@ def test_intake_is_once_per_id(spark, tmp_path):
     rows = [(i % 5, T0 + timedelta(minutes=i), "x") for i in range(12)]
     df = spark.createDataFrame(rows, "event_id long, ts timestamp, v string")
     parts = [df.filter(F.minute("ts") < 6), df.filter(F.minute("ts") >= 6)]
-    out = E.run_available(spark, E.intake(as_stream(spark, tmp_path, parts)), "intake-test", key="event_id")
+    out = E.intake(spark, as_stream(spark, tmp_path, parts))
     assert sorted(r.event_id for r in out.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_intake_takes_failed_events_again(spark, tmp_path):
+    rows = [(1, 0, True), (2, 0, False), (1, 1, True), (2, 1, False), (1, 2, False), (3, 2, False), (1, 3, False), (2, 900, True)]
+    df = spark.createDataFrame(rows, "event_id long, day int, failed boolean").withColumn("ts", F.lit(T0).cast("timestamp") + F.make_interval(days=F.col("day")))
+    parts = [df.filter(F.col("day") == d) for d in (0, 1, 2, 3, 900)]
+    out = E.intake(spark, as_stream(spark, tmp_path, parts), failed="failed")
+    assert sorted((r.event_id, r.day, r.failed) for r in out.collect()) == [(1, 0, True), (1, 1, True), (1, 2, False), (2, 0, False), (3, 2, False)]
