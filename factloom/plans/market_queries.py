@@ -223,16 +223,16 @@ def nearest_points(spark, folder):
     return at.select("nation", F.col("position").alias("place"), N.round_half_up(F.col("distance"), 3).alias("distance"), "pos")
 
 
+NUMBER_SQL = r"regexp_replace(format('{{:,.6f}}', cast({} as double)), '\.?0+$', '')"
+CELLS_SQL = " || ' | ' || ".join(NUMBER_SQL.format(c) for c in ("open", "high", "low", "close", "volume"))
+
+
 @query(f"""with {bars_sql('month')}, r as (select *, row_number() over (partition by symbol order by bar desc) as n from bars),
-f as (select symbol, bar, '| ' || strftime(bar, '%Y-%m-%d') || ' | ' || cast(volume as varchar) || ' |' as line from r where n <= 6)
-select symbol, string_agg(line, chr(10) order by bar) as markdown from f group by symbol""")
+f as (select symbol, bar, '| ' || strftime(bar, '%Y-%m-%d') || ' | ' || {CELLS_SQL} || ' |' as line from r where n <= 6)
+select symbol, '| Date | Open | High | Low | Close | Volume |' || chr(10) || '| --- | ---: | ---: | ---: | ---: | ---: |' || chr(10) || string_agg(line, chr(10) order by bar) as markdown from f group by symbol""")
 def price_table_markdown(spark, folder):
-    """The last six months of a symbol as table lines (volume column only, since number formats differ)."""
-    bars = M.resample(ticks(spark, folder), "1mo", TICK_ORDER)
-    whole = M.history_table(bars.select("symbol", "bar", *[F.lit(None).cast("double").alias(c) for c in ("open", "high", "low", "close")], "volume"), limit=6)
-    lines = F.slice(F.split("markdown", "\n"), 3, 6)
-    cells = F.transform(lines, lambda l: F.regexp_replace(F.regexp_replace(l, r"— \| ", ""), ",", ""))
-    return whole.select("symbol", F.array_join(cells, "\n").alias("markdown"))
+    """The last six months of a symbol as a Markdown table, all price columns."""
+    return M.history_table(M.resample(ticks(spark, folder), "1mo", TICK_ORDER), limit=6)
 
 
 @query(f"""with {TICKS_SQL}, d as (select symbol, ts, 'dividend' as type, price as amount, volume as ratio from ticks where volume % 2 = 0
