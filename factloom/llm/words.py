@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 BASE = 0x9E3779B97F4A7C15
 SEED = 0x2545F4914F6CDD1D
 # Texts of a batch are worked on in pieces of about so many bytes; one longer text is a piece of its own.
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:
