@@ -13,7 +13,7 @@ from factloom.functions import text as T
 from factloom.operators import quality
 from factloom.operators.joins import rescue_by_id, with_fallback
 from factloom.operators.search import filter_creator, filter_images, filter_platform
-from factloom.plans.tables import register_into, table
+from factloom.plans.tables import dealt, register_into, table
 from factloom.sources import catalogs, embeds, feeds, social
 from factloom.operators import listings as L
 from factloom.functions.dom import dom_nodes, fragment_markdown
@@ -125,7 +125,7 @@ def payload_wordpress(spark, folder):
 
 
 def parts(spark, folder):
-    return table(spark, folder, "part")
+    return dealt(table(spark, folder, "part"))
 
 
 CENTS_SQL = "cast(floor(cast(p_retailprice as decimal(18,2)) * 100) as bigint)"
@@ -284,7 +284,7 @@ def payload_images(spark, folder):
 def payload_places(spark, folder):
     """Every customer as a map feature; those outside the map are dropped."""
     names = table(spark, folder, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("city"))
-    c = table(spark, folder, "customer").join(names, "c_nationkey")
+    c = dealt(table(spark, folder, "customer")).join(names, "c_nationkey")
     key = F.col("c_custkey")
     lat = F.when(key % 5 == 0, F.lit(100.0)).otherwise((key % 170) * 0.5 - 42)
     props = F.struct(F.col("c_name").alias("name"), F.lit("Main Street").alias("street"), key.cast("string").alias("housenumber"), F.lit("1000").alias("postcode"), F.col("city"), F.lower("city").alias("state"),
@@ -315,7 +315,7 @@ def payload_movers(spark, folder):
 select k as payload_id, epoch(l_shipdate)::bigint as second, close, volume, 'S' || l_suppkey as symbol from l""")
 def payload_charts(spark, folder):
     """Every order line as a chart of parallel arrays with an empty and an undated point."""
-    l = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
+    l = dealt(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"))
     at = F.unix_seconds("l_shipdate")
     quote = F.struct(F.array(F.lit(None).cast("double"), F.col("l_extendedprice"), F.col("l_extendedprice")).alias("close"), F.array(F.lit(None).cast("double"), F.col("l_quantity"), F.lit(1.0)).alias("volume"))
     # JSON nulls inside the arrays keep their places.

@@ -21,10 +21,25 @@ def register_into(queries: dict, oracles: dict):
     return query
 
 
+# Tables whose rows are long texts; working on a row costs more than dealing it out.
+TEXT_TABLES = ("pages", "documents", "conversations")
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """The same rows, dealt out to all cores if their files hold fewer splits than that.
+
+    A file of one row group is one split however Spark is set up. Tables of as many splits as cores are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A parquet table; timestamps without a zone are read as UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     df = spark.read.parquet(f"{folder}/{name}.parquet")
+    if name in TEXT_TABLES:
+        df = dealt(df)
     zoneless = [c for c, t in df.dtypes if t == "timestamp_ntz"]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
 
