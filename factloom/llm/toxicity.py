@@ -2,8 +2,9 @@
 
 Every word has a score: its log-odds between toxic and clean labelled documents, with a Dirichlet prior in proportion to the
 word's share of both, less CAUTION standard errors; its first letters are scored likewise, and the best of these counts. Words
-without a positive score, and repeats of one in a text, cost a small drift. A linear-time scan finds all maximal segments of a
-text. Under clean words, the best segment of n words follows an extreme-value law, P(best <= s) = exp(-K n exp(-lambda s)):
+without a positive score cost a small drift, and so do repeats of one: first a linear-time scan finds all maximal segments with every
+word counted, then a word that counted less than REPEAT_WORDS words before in the same segment doesn't count again, and the scan is
+repeated. What stands elsewhere in the text takes nothing from a passage. Under clean words, the best segment of n words follows an extreme-value law, P(best <= s) = exp(-K n exp(-lambda s)):
 lambda solves E[exp(lambda * word score)] = 1, K is the likelihood's maximum, both over clean documents that taught no word.
 A document's evidence is the sum of its segments' bits beyond chance, and a logistic curve turns it into the score.
 
@@ -30,6 +31,8 @@ STEMS = (4, 6)
 PRIOR_WORDS = 5000.0
 CAUTION = 2.5
 DRIFT = 0.1
+# A word counts again in a segment after so many words, whose drift outweighs one word.
+REPEAT_WORDS = 64
 MAX_RATE = 8.0
 THRESHOLD = 0.7
 # Word scores and evidence are counted in steps of 1 / STEP when the law and the curve are fitted, evidence up to MAX_BITS.
@@ -50,10 +53,14 @@ class Model:
         """The score of each word. words: one row of buckets for the whole word and one for each stem."""
         own = self.scores[np.arange(len(words))[:, None], words].max(0)
         up = np.flatnonzero(own > 0)
-        if len(up) > 1:
-            again = np.ones(len(up), bool)
-            again[np.unique(words[0][up], return_index=True)[1]] = False
-            own[up[again]] = -self.drift
+        if len(up) > 1 and len(np.unique(words[0][up])) < len(up):
+            segment = np.searchsorted([stop for _, stop, _ in passages(own)], up, "right")
+            counted: dict[tuple[int, int], int] = {}
+            for key, place in zip(zip(segment.tolist(), words[0][up].tolist()), up.tolist()):
+                if place - counted.get(key, -REPEAT_WORDS) < REPEAT_WORDS:
+                    own[place] = -self.drift
+                else:
+                    counted[key] = place
         return own
 
     def probability(self, bits: np.ndarray) -> np.ndarray:

@@ -182,3 +182,15 @@ def test_statistics_see_the_whole_text():
     first, both = (quality._all(pa.array([t]), Scanner())[0] for t in (prose(4, 40_000), long))
     assert both[3] > first[3] + 2 and len(both) == len(quality.STATISTICS)
     assert np.isfinite(quality._all(pa.array(ODD_TEXTS, pa.string()), Scanner())).all()
+
+
+def test_words_used_early_take_nothing_from_a_later_toxic_passage():
+    scores = np.full((3, 100), -toxicity.DRIFT)
+    scores[:, :10] = 1.0
+    model, bad, clean = toxicity.Model(scores), list(range(10)), lambda n: [50] * n
+    best = lambda text: [(a, b, round(s, 6)) for a, b, s in toxicity.passages(model.values(np.array([text] * 3))) if s > 5]
+    assert best(bad + clean(400) + bad) == [(0, 10, 10.0), (410, 420, 10.0)]
+    early = [w for k in bad for w in [k, *clean(40)]]
+    assert best(early + bad) == [(len(early), len(early) + 10, 10.0)]
+    # Repeats side by side are one passage and count once.
+    assert best(bad * 3) == [(0, 10, 10.0)] and best([0] * 5000) == []
