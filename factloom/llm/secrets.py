@@ -2,7 +2,7 @@
 
 Patterns propose secrets. Every secret is hashed, and the hashes are counted over the whole corpus: in how many repositories, and of how
 many owners, does each occur? One that many owners hold is a copied example; one that few owners hold, long and random enough, looks live.
-Spans of the base kinds always stay; spans of the other kinds are added where they look live. Counting goes by (hash, owner, repository), then by
+Spans of the base kinds always stay; spans of the other kinds are added where they look live. A private key is hashed by its body; a header without one hides nothing. Counting goes by (hash, owner, repository), then by
 (hash, owner), then by hash, so that a hash found everywhere is added up before it is shuffled.
 
 Null counts as empty text, which has no span. A null owner or repository counts as one of its own. Equal rows are one repository. An
@@ -26,7 +26,10 @@ GITHUB = r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,255}"
 CHAT = r"(?<![A-Za-z0-9])xox[abeoprs]-[A-Za-z0-9-]{10,250}"
 PAYMENT = r"(?<![A-Za-z0-9])[rs]k_live_[A-Za-z0-9]{16,250}"
 JWT = r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
-PRIVATE = r"-----BEGIN\x20[A-Z\x20]{0,30}PRIVATE\x20KEY-----"
+HEADER, FOOTER = (rf"-----{word}\x20[A-Z\x20]{{0,30}}PRIVATE\x20KEY-----" for word in ("BEGIN", "END"))
+# A whole block up to its END line; without one, the header's fields and base64 lines, of which the last may be short.
+LINES = r"""(?:\s++[A-Z][A-Za-z]*+-[A-Za-z-]++:\x20\S++)*+(?:(?:\s|\\[nr]|["'+,;>#*|])*+[A-Za-z0-9+/]{16,}+={0,2})*+(?:(?:[\x20\t]*+[\r\n]++|\\n)[A-Za-z0-9+/]++={0,2}(?=[\x20\t]*+(?:[\r\n\\"']|\z)))?"""
+PRIVATE = rf"{HEADER}(?:(?:[^-]++|-(?!----))*+{FOOTER}|{LINES})"
 IN_URL = r"://[^\s/:@]{1,64}:[^\s/@]{3,128}@"
 RANDOM = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{32,}+={0,2}(?![A-Za-z0-9+/_=.-])"
 
@@ -39,10 +42,11 @@ MARK = "[secret]"
 
 
 def secret_part(span: Column) -> Column:
-    """What is secret in a span: the assigned value, the password in an address, else all of it."""
+    """What is secret in a span: the assigned value, the password in an address, the signs of a key between header and footer, else all of it."""
     value = span["value"]
+    body = F.regexp_replace(value, rf"{HEADER}|{FOOTER}|\\[nr]|[^A-Za-z0-9+/=]", "")
     return F.when(span["kind"] == 0, F.regexp_replace(value, "^" + LEAD, "")).when(
-        span["kind"] == 8, F.regexp_extract(value, "^://[^:]*:(.*)@$", 1)).otherwise(value)
+        span["kind"] == 8, F.regexp_extract(value, "^://[^:]*:(.*)@$", 1)).when(span["kind"] == 7, body).otherwise(value)
 
 
 def entropy(value: Column) -> Column:
@@ -66,7 +70,8 @@ def propose(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", own
     df = add_matches(df, "more", "text", BASE, "|".join((GITHUB, CHAT, PAYMENT, JWT, PRIVATE, IN_URL, RANDOM)))
     df = df.withColumn("base", F.concat("assign", "access", "hex")).select("row", "doc_id", F.col("owner").cast("string").alias("owner"), F.col("repo").cast("string").alias("repo"), "base", "more")
     kinds = [(3, "^gh[pousr]_"), (4, "^xox"), (5, "^[rs]k_live_"), (6, r"^eyJ[A-Za-z0-9_-]+\."), (7, "^-----"), (8, "^://")]
-    apart = F.filter("more", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    # A key's block stays whole, even where base spans lie in it or reach into it.
+    apart = F.filter("more", lambda s: s["value"].startswith("-----") | ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
 
     def kind_of(value: Column) -> Column:
         out = F.lit(9)
@@ -93,7 +98,7 @@ def judge(proposed: DataFrame, shared_owners: int = SHARED_OWNERS) -> DataFrame:
     spans = proposed.select("row", F.explode("spans").alias("s")).select("row", "s.*")
     known = spans.join(ownership(proposed), "hash")
     shared = F.col("owners") >= shared_owners
-    live = ~shared & ((F.col("kind") == 7) | (F.col("bits") >= LIVE_BITS) & (F.col("size") >= LIVE_LENGTH))
+    live = ~shared & ((F.col("kind") == 7) & (F.col("size") > 0) | (F.col("bits") >= LIVE_BITS) & (F.col("size") >= LIVE_LENGTH))
     return known.groupBy("row").agg(F.array_sort(F.collect_set(F.struct(
         "start", "kind", "end", "hash", "bits", "size", "repos", "owners", shared.alias("shared"), live.alias("live")))).alias("spans"))
 

@@ -194,3 +194,23 @@ def test_words_used_early_take_nothing_from_a_later_toxic_passage():
     assert best(early + bad) == [(len(early), len(early) + 10, 10.0)]
     # Repeats side by side are one passage and count once.
     assert best(bad * 3) == [(0, 10, 10.0)] and best([0] * 5000) == []
+
+
+def test_private_keys_are_told_apart_by_their_bodies_and_replaced_whole(spark, sample):
+    line = lambda seed: "".join(hashlib.sha256(f"{seed}".encode()).hexdigest()[a:a + 13].upper() + "gk+" for a in range(0, 52, 13))
+    head, foot = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    keys = [f"{head}\n{line(i)}\n{line(i + 50)}\nshort{i}==\n{foot}" for i in range(5)]
+    keys += [f"{head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{'0a1b' * 8}\n\n{line(7)}\nab{foot}", f"{head}\\n{line(8)}\\nab9=\\n{foot}\\n"[:-2],
+             f"{head}\n{line(9)}\n{line(10)}\nQ2tail"]
+    shared = f"{head}\n{line(99)}\n{foot}"
+    texts = [f"see {k}\n and so on, to-day" for k in keys] + [f"secret: {keys[0]} end"] + [f"copy {t} of it" for t in (shared, shared, shared.replace(line(99), line(99)[:20] + "\n" + line(99)[20:]))]
+    texts += [f"starts with {head} as it says"] * 3
+    docs = spark.createDataFrame([(i, t, "en", f"s{i}", 0) for i, t in enumerate(texts)], sample.schema)
+    out = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    n = len(keys)
+    assert [out[i] for i in range(n)] == ["see [secret]\n and so on, to-day"] * n
+    assert out[n] == "secret: [secret] end" or out[n] == "[secret] end"
+    assert [out[i] for i in range(n + 1, len(texts))] == texts[n + 1:]
+    spans = {r.doc_id: r.spans for r in secrets.digest(secrets.find(docs)).collect()}
+    assert all(f"private_key:4:{4 + len(k)}" in spans[i].split(",") for i, k in enumerate(keys))
+    assert not any("private_key" in spans[i] for i in range(n + 1, len(texts)))
