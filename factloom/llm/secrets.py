@@ -1,7 +1,7 @@
 """Secret scans with corpus-wide ownership, in DataFrame expressions only.
 
 Patterns propose secrets. Every secret is hashed, and the hashes are counted over the whole corpus: in how many repositories, and of how
-many owners, does each occur? One that many owners hold is a copied example; one that few owners hold, long and random enough, looks live.
+many owners, does each occur? One that many owners hold is a copied example; one that few owners hold, random enough for its length, looks live.
 Spans of the base kinds always stay; spans of the other kinds are added where they look live. A private key is hashed by its body; a header without one hides nothing. Counting goes by (hash, owner, repository), then by
 (hash, owner), then by hash, so that a hash found everywhere is added up before it is shuffled.
 
@@ -22,15 +22,15 @@ ASSIGN = LEAD + r"[A-Za-z0-9+/_.=-]++"
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"[0-9a-f]{24,}+"
 # Further kinds.
-GITHUB = r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,255}"
-CHAT = r"(?<![A-Za-z0-9])xox[abeoprs]-[A-Za-z0-9-]{10,250}"
-PAYMENT = r"(?<![A-Za-z0-9])[rs]k_live_[A-Za-z0-9]{16,250}"
+GITHUB = r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,}+"
+CHAT = r"(?<![A-Za-z0-9])xox[abeoprs]-[A-Za-z0-9-]{10,}+"
+PAYMENT = r"(?<![A-Za-z0-9])[rs]k_live_[A-Za-z0-9]{16,}+"
 JWT = r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
 HEADER, FOOTER = (rf"-----{word}\x20[A-Z\x20]{{0,30}}PRIVATE\x20KEY-----" for word in ("BEGIN", "END"))
 # A whole block up to its END line; without one, the header's fields and base64 lines, of which the last may be short.
 LINES = r"""(?:\s++[A-Z][A-Za-z]*+-[A-Za-z-]++:\x20\S++)*+(?:(?:\s|\\[nr]|["'+,;>#*|])*+[A-Za-z0-9+/]{16,}+={0,2})*+(?:(?:[\x20\t]*+[\r\n]++|\\n)[A-Za-z0-9+/]++={0,2}(?=[\x20\t]*+(?:[\r\n\\"']|\z)))?"""
 PRIVATE = rf"{HEADER}(?:(?:[^-]++|-(?!----))*+{FOOTER}|{LINES})"
-IN_URL = r"://[^\s/:@]{1,64}:[^\s/@]{3,128}@"
+IN_URL = r"://[^\s/:@]*+:[^\s/@]{3,}+@"
 RANDOM = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{32,}+={0,2}(?![A-Za-z0-9+/_=.-])"
 
 KINDS = ["assign", "access", "hex", "github", "chat", "payment", "jwt", "private_key", "url_password", "random"]
@@ -38,6 +38,12 @@ BASE = 3
 # A secret that so many owners hold is an example.
 SHARED_OWNERS = 3
 LIVE_BITS, LIVE_LENGTH = 2.5, 12
+# Assigned values and passwords in addresses look live at any length: their bits must reach this share of the most that so few signs can hold,
+# LIVE_BITS at most, and they must not stand for a secret.
+LIVE_SHARE = 0.6
+PLACEHOLDER = (r"^(?i:(?:your|my|the|an?|some|new|old|example|sample|dummy|fake|test|change|replace|insert|enter|put)?[-_.]?(?:me|this|here|it|password|passwd|pass|"
+               r"secret|token|api[-_.]?key|key|value)(?:[-_.]?(?:here|goes[-_.]?here))?|example|sample|dummy|placeholder|redacted|removed|hidden|masked|required|optional|"
+               r"string|number|integer|boolean|object|null|none|undefined|default)$")
 MARK = "[secret]"
 
 
@@ -61,7 +67,7 @@ def entropy(value: Column) -> Column:
 
 
 def propose(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
-    """row (key of the row), doc_id, owner, repo and spans with hash, bits and size of the secret."""
+    """row (key of the row), doc_id, owner, repo and spans with hash, bits and size of the secret, and whether it only stands for one."""
     df = narrow(docs, doc_id=id_col, text=text_col, owner=owner_col, repo=repo_col).withColumn("text", F.coalesce("text", F.lit("")))
     df = df.withColumn("row", F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("owner").cast("string"), F.col("text"))))
     df = add_matches(df, "assign", "text", 0, ASSIGN, lambda v: F.length(F.regexp_replace(v, "^" + LEAD, "")) >= 6)
@@ -83,7 +89,7 @@ def propose(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", own
     parted = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), secret_part(s).alias("secret")))
     return df.select("row", "doc_id", "owner", "repo", F.transform(parted, lambda s: F.struct(
         s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.sha2(s["secret"].cast("binary"), 256).alias("hash"),
-        entropy(s["secret"]).alias("bits"), F.length(s["secret"]).alias("size"))).alias("spans"))
+        entropy(s["secret"]).alias("bits"), F.length(s["secret"]).alias("size"), s["secret"].rlike(PLACEHOLDER).alias("stands_for"))).alias("spans"))
 
 
 def ownership(proposed: DataFrame) -> DataFrame:
@@ -98,7 +104,9 @@ def judge(proposed: DataFrame, shared_owners: int = SHARED_OWNERS) -> DataFrame:
     spans = proposed.select("row", F.explode("spans").alias("s")).select("row", "s.*")
     known = spans.join(ownership(proposed), "hash")
     shared = F.col("owners") >= shared_owners
-    live = ~shared & ((F.col("kind") == 7) & (F.col("size") > 0) | (F.col("bits") >= LIVE_BITS) & (F.col("size") >= LIVE_LENGTH))
+    given = ~F.col("stands_for") & (F.col("bits") >= F.least(F.lit(LIVE_BITS), LIVE_SHARE * F.log2("size")))
+    live = ~shared & F.when(F.col("kind").isin(0, 8), given).when(F.col("kind") == 7, F.col("size") > 0).otherwise(
+        (F.col("bits") >= LIVE_BITS) & (F.col("size") >= LIVE_LENGTH))
     return known.groupBy("row").agg(F.array_sort(F.collect_set(F.struct(
         "start", "kind", "end", "hash", "bits", "size", "repos", "owners", shared.alias("shared"), live.alias("live")))).alias("spans"))
 

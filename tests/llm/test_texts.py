@@ -214,3 +214,15 @@ def test_private_keys_are_told_apart_by_their_bodies_and_replaced_whole(spark, s
     spans = {r.doc_id: r.spans for r in secrets.digest(secrets.find(docs)).collect()}
     assert all(f"private_key:4:{4 + len(k)}" in spans[i].split(",") for i, k in enumerate(keys))
     assert not any("private_key" in spans[i] for i in range(n + 1, len(texts)))
+
+
+def test_short_passwords_and_very_long_tokens_are_replaced_whole(spark, sample):
+    tail = "".join(hashlib.sha256(f"{i}".encode()).hexdigest().upper() for i in range(6))
+    live = ['password = "Tr0ub4dor"', "passwd: k7#"[:-1] + "Qz4pW", "token=x9Kq2m", "://bob:pa5sW0rd@", "://:q7Wz@", f"://{'u' * 90}:{tail}@", f"ghp_{tail}", f"xoxb-{tail}", f"sk_live_{tail}"]
+    plain = ["password = changeme", "token: undefined", 'secret="aaaaaaaa"', "api_key = YOUR_API_KEY", "://user:password@"]
+    texts = [f"a {t} b" for t in live + plain] + ["a password = Sum3rTime b"] * 3
+    docs = spark.createDataFrame([(i, t, "en", f"s{i}", 0) for i, t in enumerate(texts)], sample.schema)
+    out = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert [out[i] for i in range(len(live))] == ["a [secret]\" b"] + ["a [secret] b"] * (len(live) - 1)
+    # What stands for a secret stays, and so does what three owners hold.
+    assert [out[i] for i in range(len(live), len(texts))] == texts[len(live):]
