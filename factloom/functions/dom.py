@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -35,6 +36,8 @@ class _Flattener(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.nodes, self.open = [], []
+        # Open elements by name, so that no tag looks for one in vain through a deep stack.
+        self.names = Counter()
 
     def _add(self, tag, attrs, text):
         parent = self.open[-1] if self.open else -1
@@ -42,26 +45,28 @@ class _Flattener(HTMLParser):
 
     def _close(self, depth):
         while len(self.open) > depth:
-            self.nodes[self.open.pop()][2] = len(self.nodes)
+            node = self.nodes[self.open.pop()]
+            node[2] = len(self.nodes)
+            self.names[node[3]] -= 1
 
     def handle_starttag(self, tag, attrs):
         ends = CLOSES.get(tag, set()) | ({"p"} if tag in BLOCKS else set())
-        for depth in range(len(self.open) - 1, -1, -1):
+        for depth in range(len(self.open) - 1, -1, -1) if any(self.names[e] for e in ends) else ():
             name = self.nodes[self.open[depth]][3]
             if name in ends:
                 self._close(depth)
             elif name in SCOPES and not (tag in ("td", "th", "tr") and name not in ("table",)):
                 break
         self._add(tag, {k: v or "" for k, v in attrs}, None)
-        # Deeper markup stays whole but is kept flat, so no page can exhaust the stack of the writer.
-        if tag not in VOID and len(self.open) < 200:
+        if tag not in VOID:
             self.open.append(len(self.nodes) - 1)
+            self.names[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self._add(tag, {k: v or "" for k, v in attrs}, None)
 
     def handle_endtag(self, tag):
-        for depth in range(len(self.open) - 1, -1, -1):
+        for depth in range(len(self.open) - 1, -1, -1) if self.names[tag] else ():
             if self.nodes[self.open[depth]][3] == tag:
                 self._close(depth)
                 return
@@ -88,7 +93,10 @@ def dom_nodes(pages: pd.Series) -> pd.Series:
 SILENT = frozenset("script style noscript template iframe head title".split())
 CHROME = frozenset("nav header footer aside form button".split())
 CONTROLS = frozenset("dialog form button input select textarea".split())
+MARKED = frozenset("h1 h2 h3 h4 h5 h6 a em i strong b ul ol li blockquote".split())
 OVERLAY = re.compile(r"(?:^|[\s_-])(?:modal|popup|pop-up)(?:$|[\s_-])", re.I)
+# The writer reads so many levels one inside the other; below, blocks and plain elements are written one after the other, and from the second level on all are.
+NESTED, FLAT = 200, 300
 ICON = re.compile(r"(?:check|close|cross|icon)(?:[._/-]|$)", re.I)
 
 
@@ -111,18 +119,25 @@ def _image(attrs, base) -> str:
     return f"![{_escape(alt)}]({urljoin(base, src)})"
 
 
-def to_markdown(nodes, start, stop, base, drop=lambda node: False, depth=0, ordered=None) -> str:
-    """Markdown of the nodes from start to stop; `drop` removes subtrees."""
-    out, i, number = [], start, 0
+def to_markdown(nodes, start, stop, base, drop=lambda node: False, depth=0, ordered=None, level=0) -> str:
+    """Markdown of the nodes from start to stop; `drop` removes subtrees. No page can exhaust the stack, and no text is lost for that."""
+    out, i, number, ends = [], start, 0, []
     while i < stop:
+        while ends and ends[-1][0] <= i:
+            out.append(ends.pop()[1])
         node = nodes[i]
         tag, attrs, after = node[3], node[4] or {}, node[2]
-        inner = lambda **kw: to_markdown(nodes, i + 1, after, base, drop, **{"depth": depth, **kw})
+        inner = lambda **kw: to_markdown(nodes, i + 1, after, base, drop, **{"depth": depth, "level": level + 1, **kw})
         if tag == "#text":
             text = re.sub(r"\s+", " ", node[5])
             out.append(text if ordered == "pre" else _escape(text))
         elif tag in SILENT or drop(node):
             pass
+        elif after > i + 1 and tag not in ("pre", "code") and (level >= FLAT or level >= NESTED and tag not in MARKED):
+            mark = "\n\n" if tag in BLOCKS or tag in ("li", "tr", "dt", "dd", "figcaption", "body", "html", "tbody", "thead") else " " if tag in ("td", "th") else ""
+            out.append(mark)
+            ends.append((after, mark))
+            after = i + 1
         elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             text = inner().strip()
             out.append(f"\n\n{'#' * int(tag[1])} {text}\n\n" if text else "")
@@ -158,7 +173,7 @@ def to_markdown(nodes, start, stop, base, drop=lambda node: False, depth=0, orde
         else:
             out.append(inner(ordered=ordered) if tag in ("span", "font") else inner() + (" " if tag in ("td", "th") else ""))
         i = after
-    return "".join(out)
+    return "".join(out + [mark for _, mark in reversed(ends)])
 
 
 def _tidy(markdown: str) -> str:

@@ -114,3 +114,18 @@ def test_marketplace_list(spark):
     html = '<div data-itemid="1"><a href="/x/dp/b000000001/ref">t</a><h3>Lamp</h3><span class="a-price"><span class="a-offscreen">1.234,00 €</span></span></div><div data-asin="B000000001"><h2>again</h2></div>'
     row = spark.createDataFrame([(html,)], "h string").select(dom_nodes("h").alias("n")).select(L.marketplace_cards(F.col("n"), F.lit("https://www.amazon.de/hz/wishlist/ls/ABCDE"), "list").alias("c")).first()
     assert [(c.id, c.title, c.price, c.currency) for c in row.c] == [("B000000001", "Lamp", 123400, "EUR")]
+
+
+def test_end_tags_match_at_any_depth():
+    from factloom.functions.dom import _read_page, flatten, to_markdown
+
+    for n in (150, 250, 5000):
+        page = f"<article id='x'>{'<div>' * n}<article id='y'>in <a href='/l'>link</a><script>no</script></article><b>bold</b>{'</div>' * n}<p>after</p></article><p>out</p>"
+        nodes = flatten(page)
+        at = {(m[4] or {}).get("id"): m for m in nodes}
+        held = lambda m: "".join(k[5] for k in nodes[m[0]:m[2]] if k[5])
+        assert held(at["y"]) == "in linkno" and held(at["x"]) == "in linknoboldafter" and held(nodes[-2]) == "out"
+        text = to_markdown(nodes, 0, len(nodes), "https://a.example/")
+        assert text.split() == ["in", "[link](https://a.example/l)", "**bold**", "after", "out"]
+        assert _read_page(page, "https://a.example/", None)["primary_text"] == "in linkboldafter"
+    assert "deep" in to_markdown(nodes := flatten("<blockquote><em>" * 3000 + "deep"), 0, len(nodes), "")
