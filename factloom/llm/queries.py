@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, mixing, ngram_join, passages, pii, quality, secrets, toxicity, vectors, warc
+from factloom.llm import decontaminate, mixing, ngram_join, passages, pii, pivots, quality, secrets, toxicity, trie, vectors, warc, whitening
 from factloom.llm.store import documents
 
 QUERIES: dict = {}
@@ -105,3 +105,38 @@ def op9_toxicity(spark, folder):
 @query()
 def op10_decontaminate(spark, folder):
     return decontaminate.find(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+@query("""
+with u as (select vec_id, embedding as e from embeddings where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+v as (select vec_id, row_number() over () as r, list_transform(e, lambda c: floor(256 * cast(c as double))) as x from u),
+s as (select q.vec_id as query_id, q.r as query_row, c.vec_id, cast(list_dot_product(q.x, c.x) as bigint) as score from v q join v c on q.r <> c.r and len(q.x) = len(c.x)
+  where q.vec_id % 50 = 0),
+o as (select *, row_number() over (partition by query_row order by score desc, vec_id nulls last) as n from s)
+select query_id, cast(n as integer) as rank, vec_id, score from o where n <= 5""")
+def op11_pivots(spark, folder):
+    return pivots.search(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+# The reflected polynomial of the checksum and its start.
+@query("""
+with t as (select conv_id as c, turn, coalesce(role, '') as r, coalesce(text, '') as x from conversations where conv_id is not null),
+o as (select c, list({'r': r, 'x': x} order by turn nulls first, r, x) as p from t group by c),
+h as (select c, p, xor(list_reduce(flatten([[4294967295], flatten(list_transform(string_split(cast(c as varchar), ''), lambda d: flatten([[cast(ascii(d) as bigint)], [-1, -1, -1, -1, -1, -1, -1, -1]])))]),
+    lambda s, b: case when b >= 0 then xor(s, b) when s % 2 = 1 then xor(s >> 1, 3988292384) else s >> 1 end), 4294967295) % 6 as h from o),
+b as (select h.c, list_concat(coalesce(a.p[1:h.h], []), h.p[h.h + 1:]) as p from h left join o a on a.c = h.c - h.c % 100),
+m as (select c, p, unnest(range(0, len(p) + 1)) as d from b),
+n as (select p[1:d] as k, d, min(c) as conv_id, count(*) as n_convs, sha256(coalesce(string_agg(case when len(p) = d then cast(c as varchar) end, ',' order by c), '')) as ends_sha256 from m group by 1, 2),
+w as (select *, case when d = 0 then 0 else length(k[d].x) end as l from n),
+z as (select k, d, conv_id, n_convs, l, ends_sha256, (select count(*) from n j where j.d = w.d + 1 and j.k[1:w.d] = w.k) as n_children from w),
+e as (select a.k, count(*) filter (where b.n_children = 0) as n_leaves, sum((b.n_convs - 1) * b.l) as saved from z a join z b on b.d >= a.d and b.k[1:a.d] = a.k group by a.k)
+select z.conv_id, cast(z.d as bigint) as depth, p.conv_id as parent_conv_id, cast(z.n_convs as bigint) as n_convs, cast(z.n_children as bigint) as n_children, cast(e.n_leaves as bigint) as n_leaves,
+  cast(e.saved as bigint) as saved_tokens, z.ends_sha256
+from z join e on e.k = z.k left join n p on p.d = z.d - 1 and p.k = z.k[1:z.d - 1]""")
+def op12_trie(spark, folder):
+    return trie.build(spark.read.parquet(f"{folder}/conversations.parquet"), shared_heads=True)
+
+
+@query()
+def op13_whitening(spark, folder):
+    return whitening.whiten(spark.read.parquet(f"{folder}/embeddings.parquet"))
