@@ -11,18 +11,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom.functions import text as T
+from factloom.operators import dispatch
 from factloom.operators import feeds as FEEDS
 from factloom.operators import market as M
 from factloom.operators import places as P
 from factloom.operators import search as S
 from factloom.operators.joins import with_fallback
 from factloom.operators.ordered import keep_first, top_k
-from factloom.operators.pages import extract_pages
 
 
-def extract_url(pages: DataFrame, as_of: Column, focus: Column | None = None, **extra: DataFrame) -> DataFrame:
-    """Page table to one entity or error code per page."""
-    return extract_pages(pages, as_of, focus, **extra)
+def extract_url(
+    requests: DataFrame, fetched: DataFrame, as_of: Column, focus: Column | None = None, rendered: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(entities, items): addresses of any kind to one entity or error code each, and the items of feeds, profiles and lists."""
+    return dispatch.extract(requests, fetched, as_of, focus, rendered)
 
 
 def search_web(queries: DataFrame, sources: Sequence[tuple[DataFrame, bool]], site: Column | None = None, limit: int = 10) -> DataFrame:

@@ -18,7 +18,7 @@ METER_SQL = """meter as (select user_id as account, event_id as seq, ts,
   case event_type when 'purchase' then 'grant' when 'click' then 'commit' else 'refund' end as kind,
   cast(case event_type when 'purchase' then greatest(floor(value), 1) when 'click' then -1 else 1 end as bigint) as credits
   from events where event_type in ('purchase', 'click', 'error'))"""
-PAYMENT_SQL = """pay as (select event_id, 'pay_' || (event_id % 500) as payment_ref, user_id as account, ts,
+PAYMENT_SQL = """pay as (select event_id, 'pay_' || (event_id // 6) as payment_ref, user_id as account, ts,
   case event_type when 'purchase' then 'grant' when 'error' then 'refund' when 'signup' then 'dispute_opened' else 'dispute_won' end as kind,
   case when event_type = 'purchase' then cast(greatest(floor(value), 1) as bigint) end as credits
   from events where event_type in ('purchase', 'error', 'signup', 'view'))"""
@@ -235,25 +235,16 @@ REVERSAL_SQL = f"""{PAYMENT_SQL}, st as (select payment_ref, arg_min(account, (t
 ac as (select *, not refund_final and coalesce(last_dispute = 'dispute_opened', false) as dispute_active from st)"""
 
 
-def rare_refunds(spark, folder):
-    """Payments where only a fifth of the references see a refund."""
-    p = payment_events(spark, folder)
-    return p.filter((F.col("kind") != "refund") | F.col("payment_ref").rlike("[05]$"))
-
-
-RARE_REVERSAL_SQL = REVERSAL_SQL.replace("from pay group by", "from pay where kind <> 'refund' or regexp_matches(payment_ref, '[05]$') group by")
-
-
-@query(f"""with {RARE_REVERSAL_SQL} select payment_ref, account, granted, refund_final, dispute_active,
+@query(f"""with {REVERSAL_SQL} select payment_ref, account, granted, refund_final, dispute_active,
   cast(case when granted is null or refund_final or dispute_active then 0 else granted end as bigint) as net_credits, granted is null and (refund_final or dispute_active) as pending from ac""")
 def reversal_state(spark, folder):
     """What refunds and disputes leave of every payment, whatever order they came in."""
-    return B.reversal_state(rare_refunds(spark, folder)).drop("last_dispute_at")
+    return B.reversal_state(payment_events(spark, folder)).drop("last_dispute_at")
 
 
 # One step per notice of a payment, with what it books.
 LEDGER_SQL = f"""with recursive {PAYMENT_SQL},
-o as (select *, row_number() over (partition by payment_ref order by ts, event_id) as n from pay where kind <> 'refund' or regexp_matches(payment_ref, '[05]$')),
+o as (select *, row_number() over (partition by payment_ref order by ts, event_id) as n from pay),
 s as (select payment_ref, 0::bigint as n, null::bigint as account, null::bigint as granted, 0::bigint as net, false as refunded, false as active, false as d, false as w, false as r, null::varchar as books
     from (select distinct payment_ref from o)
   union all
@@ -273,7 +264,7 @@ s as (select payment_ref, 0::bigint as n, null::bigint as account, null::bigint
 from (select *, case when books = 'dispute_reversed' then 'restore:dispute:' || payment_ref else 'reversal:' || books || ':' || payment_ref end as e from s where books is not null)""")
 def reversal_ledger(spark, folder):
     """Ledger rows that take reversed grants back and give them back when a dispute is won."""
-    return B.reversal_rows(rare_refunds(spark, folder))
+    return B.reversal_rows(payment_events(spark, folder))
 
 
 @query("""with both as_ as (select 1) select 1""".replace("both as_ as (select 1) ", "d as (select event_id, user_id, event_type, ts, 0 as delivery from events union all select event_id, user_id, event_type, ts + interval 1 hour, 1 from events where event_id % 4 = 0) ").replace("select 1", """select event_id, arg_min(user_id, (ts, delivery)) as user_id, min(delivery)::int as delivery from d where event_id not in (select o_orderkey from orders where o_orderkey % 9 = 0) group by event_id"""))

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F, types as T
 
-from factloom.operators import billing as B
-from factloom.plans.metering_queries import EPOCH_SQL, RARE_REVERSAL_SQL, METER_SQL, alert_step
-from factloom.plans.tables import register_into
+from factloom.plans.metering_queries import EPOCH_SQL, LEDGER_SQL, REVERSAL_SQL, alert_step
+from factloom.plans.tables import payment_events, register_into, table
 from factloom.sources.readers import read_events_stream
 from factloom.streaming import events as E
 from factloom.streaming import state as K
@@ -67,14 +66,12 @@ def stream_alerts(spark, folder):
     return out.select("account", "epoch", "percent", "seq")
 
 
-@query(f"""with {RARE_REVERSAL_SQL} select payment_ref, account, granted, refund_final, dispute_active,
+@query(f"""with {REVERSAL_SQL} select payment_ref, account, granted, refund_final, dispute_active,
   cast(case when granted is null or refund_final or dispute_active then 0 else granted end as bigint) as net_credits, granted is null and (refund_final or dispute_active) as pending from ac""")
 def stream_reversals(spark, folder):
     """Payment states after notices in any order, equal to the batch job."""
-    kind = (F.when(F.col("event_type") == "purchase", "grant").when(F.col("event_type") == "error", "refund").when(F.col("event_type") == "signup", "dispute_opened").when(F.col("event_type") == "view", "dispute_won"))
-    rows = stream(spark, folder).withColumn("kind", kind).withColumn("payment_ref", F.concat(F.lit("pay_"), F.pmod("event_id", F.lit(500))))
-    rows = rows.filter(F.col("kind").isNotNull() & ((F.col("kind") != "refund") | F.col("payment_ref").rlike("[05]$"))).select(
-        "payment_ref", "event_id", "kind", "ts", F.col("user_id").alias("account"), F.when(F.col("kind") == "grant", F.greatest(F.floor("value"), F.lit(1))).cast("long").alias("credits"))
+    # Notices arrive in four parts that have nothing to do with their time.
+    rows = E.sliced(payment_events(spark, folder), F.pmod(F.xxhash64("event_id"), F.lit(4)))
     out = E.run_available(spark, K.payment_reversals(rows), "reversals")
     last = out.groupBy("payment_ref").agg(F.max_by(F.struct("account", "granted", "refund_final", "dispute_active", "net_credits", "pending"), "version").alias("s"))
     return last.select("payment_ref", "s.*")
@@ -93,14 +90,59 @@ def stream_cache(spark, folder):
     return E.run_available(spark, K.cached_requests(rows), "cache").select("key", "seq", "outcome")
 
 
-@query()
+@query(f"""{LEDGER_SQL} select payment_ref, books as kind, case when books = 'dispute_reversed' then granted else -granted end as credits, account from s where books is not null""")
+def stream_reversal_ledger(spark, folder):
+    """Reversal rows of a ledger that is mended as late notices come in, equal to the batch job."""
+    rows = E.sliced(payment_events(spark, folder), F.pmod(F.xxhash64("event_id"), F.lit(4)))
+    out = E.run_available(spark, K.reversal_log(rows), "reversal-log", "append")
+    last = out.groupBy("payment_ref", "kind").agg(F.max_by(F.struct("op", "credits", "account"), "version").alias("s"))
+    return last.filter("s.op = 'book'").select("payment_ref", "kind", "s.credits", "s.account")
+
+
+# One step per event of an account: what is stale expires first, then the event is applied. Closed ids are known for two days.
+RESERVATION_SQL = """with recursive e as (select user_id as account, event_id, epoch_us(ts) as us, event_type from events),
+p as (select * from e where event_type in ('click', 'view')),
+r as (select account, event_id * 10 as seq, us, case event_type when 'purchase' then 'grant' else 'reserve' end as kind, cast(event_id as varchar) as id from e where event_type in ('purchase', 'click', 'view')
+  union all select account, event_id * 10 + 1, us + 600000000, 'commit', cast(event_id as varchar) from p where event_id % 3 = 0
+  union all select account, event_id * 10 + 2, us + 1200000000, 'refund', cast(event_id as varchar) from p where event_id % 3 = 1
+  union all select account, event_id * 10 + 3, us + 86400000000, 'commit', cast(event_id as varchar) from p where event_id % 7 = 0
+  union all select account, event_id * 10 + 4, us + 259200000000, 'commit', cast(event_id as varchar) from p where event_id % 11 = 0),
+n as (select *, row_number() over (partition by account order by us, seq) as i from r),
+f as (select account, 0::bigint as i, null::bigint as seq, null::varchar as id, null::varchar as kind, null::varchar as outcome, 0::bigint as balance,
+    []::struct(t bigint, id varchar)[] as open, []::struct(t bigint, id varchar)[] as closed, []::struct(t bigint, id varchar)[] as stale, 0::bigint as held from (select distinct account from n)
+  union all
+  select account, i, seq, id, kind, outcome,
+    held + case outcome when 'grant' then 2 when 'refunded' then 1 else 0 end - case when outcome = 'reserved' and not was_open then 1 else 0 end,
+    case when outcome = 'reserved' and not was_open then list_append(open, {'t': us, 'id': id}) when outcome in ('committed', 'refunded') then list_filter(open, lambda o: o.id <> cur) else open end,
+    case when outcome in ('grant', 'committed', 'refunded') then list_append(closed, {'t': us, 'id': id}) else closed end, stale, held
+  from (select *, id as cur, case kind when 'grant' then case when was_open or known then 'idempotent' else 'grant' end
+      when 'reserve' then case when was_open then 'reserved' when known then 'closed' when held < 1 then 'insufficient_credits' else 'reserved' end
+      else case when not was_open then case when known then 'idempotent' else 'unknown_reservation' end when kind = 'commit' then 'committed' else 'refunded' end end as outcome
+    from (select *, len(list_filter(open, lambda o: o.id = id)) > 0 as was_open, len(list_filter(closed, lambda o: o.id = id and us <= o.t + 172800000000)) > 0 as known
+      from (select n.account, n.i, n.seq, n.id, n.kind, n.us, list_filter(f.open, lambda o: o.t >= n.us - 900000000) as open,
+          list_sort(list_filter(f.open, lambda o: o.t < n.us - 900000000)) as stale, f.balance + len(list_filter(f.open, lambda o: o.t < n.us - 900000000)) as held,
+          list_concat(list_filter(f.closed, lambda o: n.us <= o.t + 172800000000), list_transform(list_filter(f.open, lambda o: o.t < n.us - 900000000), lambda o: {'t': o.t + 900000000, 'id': o.id})) as closed
+        from f join n on n.account = f.account and n.i = f.i + 1))))"""
+
+
+@query(f"""{RESERVATION_SQL}, w as (select max(us) as us from r),
+z as (select f.account, f.balance, list_sort(list_filter(f.open, lambda o: (o.t // 60000000 + 1) * 60000000 + 900000000 <= w.us)) as stale from f, w qualify row_number() over (partition by f.account order by f.i desc) = 1),
+x as (select account, balance as held, stale, true as late from z union all select account, held - len(stale), stale, false from f where i > 0)
+select account, seq, id as reservation_id, kind, outcome, balance from f where i > 0
+union all select account, null, stale[k].id, 'expire', 'stale_refunded', held + k from (select account, held, stale, unnest(range(1, len(stale) + 1)) as k from x)""")
 def stream_reservations(spark, folder):
-    """T4: credits under reserve, commit and refund with a 15-minute expiry."""
-    e = stream(spark, folder)
-    step = F.when(F.col("event_type") == "purchase", "grant").when(F.col("event_type").isin("click", "view"), "reserve").otherwise("commit")
-    target = F.when(F.col("event_type") == "error", F.col("event_id") - F.col("user_id") % 5).otherwise(F.col("event_id"))
-    rows = e.select(F.col("user_id").alias("account"), F.col("event_id").alias("seq"), "ts", step.alias("kind"), target.cast("string").alias("reservation_id"), F.lit(2).cast("long").alias("credits"))
-    return E.run_available(spark, K.reservations(rows), "reservations").groupBy("kind", "outcome").agg(F.count(F.lit(1)).alias("n"), F.min("balance").alias("least"))
+    """T4: outcome of every reserve, commit and refund, in five parts; reservations expire after 15 minutes, closed ids are known for two days."""
+    e = table(spark, folder, "events").filter(F.col("event_type").isin("purchase", "click", "view"))
+    number, held = F.col("event_id"), F.col("event_type") != "purchase"
+    step = lambda test, offset, seconds, kind: F.when(test, F.struct((number * 10 + offset).alias("seq"), (F.unix_micros("ts") + seconds * 1_000_000).alias("us"), F.lit(kind).alias("kind")))
+    steps = F.array_compact(F.array(
+        step(~held, 0, 0, "grant"), step(held, 0, 0, "reserve"), step(held & (number % 3 == 0), 1, 600, "commit"), step(held & (number % 3 == 1), 2, 1200, "refund"),
+        step(held & (number % 7 == 0), 3, 86_400, "commit"), step(held & (number % 11 == 0), 4, 259_200, "commit")))
+    rows = e.select(F.col("user_id").alias("account"), number.cast("string").alias("reservation_id"), F.explode(steps).alias("s")).select(
+        "account", "s.seq", F.timestamp_micros("s.us").alias("ts"), "s.kind", "reservation_id", F.lit(2).cast("long").alias("credits"))
+    parts = E.sliced(rows, F.expr("unix_seconds(ts) div 604800"))
+    out = E.run_available(spark, K.reservations(parts), "reservations")
+    return out.select("account", "seq", "reservation_id", "kind", "outcome", "balance")
 
 
 @query("""with recursive n as (select user_id as account, event_id as seq, ts, strftime(ts, '%Y-%m') as period, case event_type when 'purchase' then 'paid' when 'error' then 'failed' else 'usage' end as kind,

@@ -49,7 +49,7 @@ def read_xml(payloads: DataFrame) -> DataFrame:
 
 
 def xml_items(payloads: DataFrame, limit: int = MAX_ENTRIES) -> DataFrame:
-    """Raw entries of RSS and Atom feeds: payload_id, page_url, feed_title, feed_kind, position, entry fields."""
+    """Raw entries of RSS and Atom feeds: payload_id, page_url, what the feed says of itself, position, entry fields."""
     df = read_xml(payloads)
 
     def shared(e: Column, kind: str, link: Column) -> Column:
@@ -72,8 +72,9 @@ def xml_items(payloads: DataFrame, limit: int = MAX_ENTRIES) -> DataFrame:
     atom = F.transform(F.slice("xml.entry", 1, limit), lambda e: shared(e, "atom", F.coalesce(atom_link(e), _trimmed(e["guid"]["_VALUE"]))))
     title = F.coalesce(_trimmed(F.col("xml.channel.title")), _trimmed(F.col("xml.title")))
     described = F.coalesce(_trimmed(F.col("xml.channel.description")), _trimmed(F.col("xml.subtitle")))
-    head = ["payload_id", F.col("url").alias("page_url"), title.alias("feed_title"), described.alias("feed_description")]
-    return rows_of(df, head, F.coalesce(rss, atom), "entry").select("payload_id", "page_url", "feed_title", "feed_description", "position", "entry.*")
+    head = ["payload_id", F.col("url").alias("page_url"), title.alias("feed_title"), described.alias("feed_description"),
+            _author(F.col("xml.author")).alias("feed_author"), _trimmed(F.col("xml.updated")).alias("feed_updated")]
+    return rows_of(df, head, F.coalesce(rss, atom), "entry").select(*KEEP, "entry.*")
 
 
 def _with_markdown(df: DataFrame, raw: str, base: str) -> DataFrame:
@@ -82,7 +83,7 @@ def _with_markdown(df: DataFrame, raw: str, base: str) -> DataFrame:
     return df.withColumn("content", written)
 
 
-KEEP = ["payload_id", "page_url", "feed_title", "position"]
+KEEP = ["payload_id", "page_url", "feed_title", "feed_description", "feed_author", "feed_updated", "position"]
 
 
 def parse_xml_feeds(payloads: DataFrame) -> DataFrame:
@@ -97,7 +98,9 @@ def parse_json_feeds(payloads: DataFrame) -> DataFrame:
     """JSON feeds as article rows; other JSON has none."""
     df = payloads.withColumn("feed", F.from_json("body", JSON_SCHEMA))
     known = df.filter(F.col("feed.version").startswith("https://jsonfeed.org/version/"))
-    head = ["payload_id", F.col("url").alias("page_url"), _trimmed(F.col("feed.title")).alias("feed_title")]
+    none = F.lit(None).cast("string")
+    head = ["payload_id", F.col("url").alias("page_url"), _trimmed(F.col("feed.title")).alias("feed_title"),
+            _trimmed(F.col("feed.description")).alias("feed_description"), none.alias("feed_author"), none.alias("feed_updated")]
     rows = rows_of(known, head, F.slice("feed.items", 1, MAX_ENTRIES), "e")
     rows = rows.withColumn("item_url", F.coalesce("e.url", "e.external_url", "page_url"))
     plain = T.escape_markdown(F.coalesce("e.content_text", "e.summary", F.lit("")))

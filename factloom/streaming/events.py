@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from factloom.operators.billing import DAILY_LIMIT
 from factloom.session import work_dir
+from factloom.sources.readers import read_events_stream
 from factloom.sources.sinks import once_per_batch
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -33,6 +34,17 @@ def daily_quota(events: DataFrame, limit: int = DAILY_LIMIT, client: str = "clie
     return counted.select(client, F.date_format("w.start", "yyyy-MM-dd").alias("day"), "requests", used.cast("long").alias("used"), (F.lit(limit) - used).cast("long").alias("remaining"))
 
 
+def sliced(df: DataFrame, slot: Column, purpose: str = "slices") -> DataFrame:
+    """A table as a stream of several micro-batches: rows of a lower slot come first. Slots are few; their numbers pass the driver."""
+    spark, folder = df.sparkSession, work_dir(df.sparkSession, purpose)
+    marked = df.withColumn("_slot", slot)
+    slots = sorted(r[0] for r in marked.select("_slot").distinct().collect())
+    for value in slots:
+        marked.filter(F.col("_slot") == value).drop("_slot").write.mode("append").parquet(folder)
+    files = len(spark.read.schema(df.schema).parquet(folder).inputFiles())
+    return read_events_stream(spark, folder, df.schema, files=max(1, -(-files // max(1, len(slots)))))
+
+
 def start(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", sink: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Start a stream that reads what is there and stops. Update streams write one folder per batch."""
     def write(batch: DataFrame, batch_id: int) -> None:

@@ -15,7 +15,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from factloom.operators.billing import ALERT_THRESHOLDS, HARD_DECLINES, MAX_FAILURES, RESERVATION_SECONDS, RETRY_SECONDS, charge
 
 S, L, B, TS = T.StringType(), T.LongType(), T.BooleanType(), T.TimestampType()
-STALE_AFTER = pd.Timedelta(seconds=RESERVATION_SECONDS)
+MINUTE_MS = 60_000
+# How long closed ids are known, and payments without a new notice.
+CLOSED_SECONDS, PAYMENT_SECONDS = 2 * 86_400, 400 * 86_400
 
 
 def _struct(**fields) -> T.StructType:
@@ -206,52 +208,91 @@ def automatic_funding(events: DataFrame, trigger: int, amount_cents: int, cap_ce
 class Reservations(StatefulProcessor):
     """Credit of an account under reserve, commit and refund; open reservations expire after 15 minutes.
 
-    Repeated ids change nothing. Expiry is applied with the next event of the account, and by an event-time
-    timer when none comes.
+    Repeated ids change nothing for `memory` seconds after they are closed; then they are forgotten. Expiry is applied with the next event of
+    the account, and by an event-time timer when none comes. Open reservations are indexed by the minute they were made in: an event
+    looks at the few minutes that may hold any, a minute has one timer, and a minute whose last reservation is closed loses its timer.
     """
 
-    columns = ["account", "reservation_id", "kind", "outcome", "balance"]
+    columns = ["account", "seq", "reservation_id", "kind", "outcome", "balance"]
+
+    def __init__(self, memory: int):
+        self.memory = memory
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.balance = handle.getValueState("balance", _struct(credits=L))
-        self.open = handle.getMapState("open", _struct(id=S), _struct(created=L))
-        self.done = handle.getMapState("done", _struct(id=S), _struct(state=S))
+        self.minutes = handle.getMapState("minutes", _struct(minute=L), _struct(open=T.ArrayType(S), created=T.ArrayType(L)))
+        self.opened = handle.getMapState("opened", _struct(id=S), _struct(minute=L))
+        self.closed = handle.getMapState("closed", _struct(id=S), _struct(state=S, at=L))
+        # Closed ids by the hour in which they may be forgotten.
+        self.hours = handle.getMapState("hours", _struct(hour=L), _struct(ids=T.ArrayType(S)))
+
+    def _due(self, minute: int) -> int:
+        """Milliseconds at which all reservations of a minute are stale."""
+        return (minute + 1) * MINUTE_MS + RESERVATION_SECONDS * 1000
+
+    def _remove(self, rid: str, minute: int) -> None:
+        ids, created = self.minutes.getValue((minute,))
+        left = [(i, c) for i, c in zip(ids, created) if i != rid]
+        self.opened.removeKey((rid,))
+        if left:
+            self.minutes.updateValue((minute,), ([i for i, _ in left], [c for _, c in left]))
+        else:
+            self.minutes.removeKey((minute,))
+            self.handle.deleteTimer(self._due(minute))
+
+    def _close(self, rid: str, state: str, now_us: int) -> None:
+        hour = (now_us // 1_000_000 + self.memory) // 3600 + 1
+        self.closed.updateValue((rid,), (state, now_us))
+        if self.hours.containsKey((hour,)):
+            ids = [*self.hours.getValue((hour,))[0], rid]
+        else:
+            ids = [rid]
+            self.handle.registerTimer(hour * 3_600_000)
+        self.hours.updateValue((hour,), (ids,))
 
     def _expire(self, now_us: int, balance: int) -> tuple[int, list[tuple]]:
         limit = now_us - RESERVATION_SECONDS * 1_000_000
-        stale = sorted((created[0], rid[0]) for rid, created in self.open.iterator() if created[0] < limit)
+        last = limit // (MINUTE_MS * 1000)
+        stale = sorted((c, i, m[0]) for m, (ids, created) in list(self.minutes.iterator()) if m[0] <= last for i, c in zip(ids, created) if c < limit)
         out = []
-        for _, rid in stale:
+        for created, rid, minute in stale:
             balance += 1
-            self.open.removeKey((rid,))
-            self.done.updateValue((rid,), ("stale_refunded",))
-            out.append((rid, "expire", "stale_refunded", balance))
+            self._remove(rid, minute)
+            self._close(rid, "stale_refunded", created + RESERVATION_SECONDS * 1_000_000)
+            out.append((None, rid, "expire", "stale_refunded", balance))
         return balance, out
 
+    def _known(self, rid: str, now_us: int) -> bool:
+        return self.closed.containsKey((rid,)) and now_us <= self.closed.getValue((rid,))[1] + self.memory * 1_000_000
+
     def _apply(self, event, balance: int) -> tuple[int, str]:
         rid, now = event.reservation_id, event.ts.value // 1000
-        known = self.open.containsKey((rid,)) or self.done.containsKey((rid,))
+        is_open, known = self.opened.containsKey((rid,)), self._known(rid, now)
         if event.kind in ("grant", "reverse"):
-            if known:
+            if is_open or known:
                 return balance, "idempotent"
-            self.done.updateValue((rid,), (event.kind,))
+            self._close(rid, event.kind, now)
             return balance + (int(event.credits) if event.kind == "grant" else -int(event.credits)), event.kind
         if event.kind == "reserve":
-            if known:
-                return balance, "reserved" if self.open.containsKey((rid,)) else "closed"
+            if is_open or known:
+                return balance, "reserved" if is_open else "closed"
             if balance < 1:
                 return balance, "insufficient_credits"
-            self.open.updateValue((rid,), (now,))
-            # Reservations are stamped in microseconds, timers run in milliseconds; one is added so it is due.
-            self.handle.registerTimer(now // 1000 + RESERVATION_SECONDS * 1000 + 1)
+            minute = now // 1000 // MINUTE_MS
+            if self.minutes.containsKey((minute,)):
+                ids, created = self.minutes.getValue((minute,))
+                ids, created = [*ids, rid], [*created, now]
+            else:
+                ids, created = [rid], [now]
+                self.handle.registerTimer(self._due(minute))
+            self.minutes.updateValue((minute,), (ids, created))
+            self.opened.updateValue((rid,), (minute,))
             return balance - 1, "reserved"
-        if not known:
-            return balance, "unknown_reservation"
-        if not self.open.containsKey((rid,)):
-            return balance, "idempotent"
-        self.open.removeKey((rid,))
-        self.done.updateValue((rid,), ("committed" if event.kind == "commit" else "refunded",))
+        if not is_open:
+            return balance, "idempotent" if known else "unknown_reservation"
+        self._remove(rid, self.opened.getValue((rid,))[0])
+        self._close(rid, "committed" if event.kind == "commit" else "refunded", now)
         return (balance, "committed") if event.kind == "commit" else (balance + 1, "refunded")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -261,22 +302,121 @@ class Reservations(StatefulProcessor):
             balance, expired = self._expire(event.ts.value // 1000, balance)
             out += expired
             balance, outcome = self._apply(event, balance)
-            out.append((event.reservation_id, event.kind, outcome, balance))
+            out.append((int(event.seq), event.reservation_id, event.kind, outcome, balance))
         self.balance.update((balance,))
-        yield pd.DataFrame([(*key, *row) for row in out], columns=self.columns)
+        yield self._frame(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
         balance = self.balance.get()[0] if self.balance.exists() else 0
-        balance, out = self._expire(expiredTimerInfo.getExpiryTimeInMs() * 1000, balance)
+        balance, out = self._expire(at * 1000, balance)
         self.balance.update((balance,))
+        hour = at // 3_600_000
+        if at % 3_600_000 == 0 and self.hours.containsKey((hour,)):
+            for rid in self.hours.getValue((hour,))[0]:
+                if self.closed.containsKey((rid,)) and self.closed.getValue((rid,))[1] + self.memory * 1_000_000 < at * 1000:
+                    self.closed.removeKey((rid,))
+            self.hours.removeKey((hour,))
         if out:
-            yield pd.DataFrame([(*key, *row) for row in out], columns=self.columns)
+            yield self._frame(key, out)
+
+    def _frame(self, key, rows: list[tuple]) -> pd.DataFrame:
+        df = pd.DataFrame([(*key, *row) for row in rows], columns=self.columns)
+        return df.astype({"seq": "Int64"})
 
     def close(self) -> None:
         pass
 
 
-def reservations(events: DataFrame, account_type: T.DataType = L, delay: str = "0 seconds") -> DataFrame:
-    """Outcome per event of a stream of account, seq, ts, kind, reservation_id, credits."""
-    out = _struct(account=account_type, reservation_id=S, kind=S, outcome=S, balance=L)
-    return events.withWatermark("ts", delay).groupBy("account").transformWithStateInPandas(Reservations(), out, "append", "EventTime")
+def reservations(events: DataFrame, account_type: T.DataType = L, delay: str = "0 seconds", memory: int = CLOSED_SECONDS) -> DataFrame:
+    """Outcome per event of a stream of account, seq, ts, kind, reservation_id, credits; expired reservations have no seq.
+
+    Closed ids are known for `memory` seconds, so that the state of an account does not outgrow its recent reservations.
+    """
+    out = _struct(account=account_type, seq=L, reservation_id=S, kind=S, outcome=S, balance=L)
+    return events.withWatermark("ts", delay).groupBy("account").transformWithStateInPandas(Reservations(memory), out, "append", "EventTime")
+
+
+class ReversalLog(StatefulProcessor):
+    """Ledger rows of a payment's reversals, booked and taken back as notices come in, in whatever order and however split.
+
+    The ledger follows from a payment's notices in order of time. They are kept, as few as one payment has; after each
+    micro-batch the ledger is worked out and what differs from the rows told before is emitted: `retract` for rows that no longer hold,
+    `book` for new ones. A payment is forgotten when the watermark passes its last notice.
+    """
+
+    columns = ["payment_ref", "version", "op", "kind", "credits", "account"]
+    notice = _struct(at=L, event_id=L, kind=S, account=L, credits=L)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.notices = handle.getListState("notices", self.notice)
+        self.told = handle.getValueState("told", _struct(version=L, due=L, kinds=T.ArrayType(S), credits=T.ArrayType(L), accounts=T.ArrayType(L)))
+
+    @staticmethod
+    def ledger(notices: list[tuple]) -> list[tuple]:
+        """(kind, credits, account) of one payment's notices (at, event_id, kind, account, credits).
+
+        The first grant counts. A refund is final. A dispute takes the grant back once, and gives it back once when it is won, unless a refund came
+        first; what a dispute holds when the refund comes is not taken twice.
+        """
+        granted = account = None
+        net, refunded, disputed, rows = 0, False, False, []
+        for _, _, kind, who, credits in sorted(notices, key=lambda n: n[:2]):
+            fresh = kind == "grant" and granted is None
+            if fresh:
+                granted, account, net = credits, who, credits
+            refunded |= kind == "refund"
+            disputed = kind == "dispute_opened" if kind.startswith("dispute") else disputed
+            if granted is None:
+                continue
+            done = {r[0] for r in rows}
+            if refunded and (fresh or kind == "refund"):
+                booked = "refund" if net > 0 and "refund" not in done else None
+            elif kind == "dispute_opened" or fresh and disputed:
+                booked = "dispute" if net > 0 and "dispute" not in done else None
+            else:
+                booked = "dispute_reversed" if kind == "dispute_won" and not refunded and net <= 0 and "dispute_reversed" not in done else None
+            if booked:
+                change = granted if booked == "dispute_reversed" else -granted
+                net += change
+                rows.append((booked, change, account))
+        return rows
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        whole = lambda v: None if v is None or pd.isna(v) else int(v)
+        fresh = [(e.ts.value // 1000, int(e.event_id), e.kind, whole(e.account), whole(e.credits)) for batch in rows for e in batch.itertuples(index=False)]
+        known = [tuple(n) for n in self.notices.get()] if self.notices.exists() else []
+        seen = {n[1] for n in known}
+        added = list({n[1]: n for n in fresh if n[1] not in seen}.values())
+        if not added:
+            return
+        self.notices.appendList(added)
+        version, due, kinds, credits, accounts = self.told.get() if self.told.exists() else (0, 0, [], [], [])
+        before, after = list(zip(kinds, credits, accounts)), self.ledger(known + added)
+        out = [("retract", *r) for r in before if r not in after] + [("book", *r) for r in after if r not in before]
+        latest = max(n[0] for n in known + added) // 1000 + 1
+        if latest != due:
+            if due:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(latest)
+        self.told.update((version + len(out), latest, *([list(c) for c in zip(*after)] if after else [[], [], []])))
+        if out:
+            yield pd.DataFrame([(*key, version + i + 1, *r) for i, r in enumerate(out)], columns=self.columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.notices.clear()
+        self.told.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def reversal_log(events: DataFrame, memory: int = PAYMENT_SECONDS) -> DataFrame:
+    """Changes of the reversal ledger for a stream of payment_ref, event_id, kind, ts, account, credits: the highest version of a kind tells whether it is booked.
+
+    A notice may be late by up to `memory` seconds; for as long a payment is known. Repeats of an event_id change nothing.
+    """
+    out = _struct(payment_ref=S, version=L, op=S, kind=S, credits=L, account=L)
+    return events.withWatermark("ts", f"{memory} seconds").groupBy("payment_ref").transformWithStateInPandas(ReversalLog(), out, "append", "EventTime")

@@ -74,3 +74,45 @@ def test_intake_takes_failed_events_again(spark, tmp_path):
     parts = [df.filter(F.col("day") == d) for d in (0, 1, 2, 3, 900)]
     out = E.intake(spark, as_stream(spark, tmp_path, parts), failed="failed")
     assert sorted((r.event_id, r.day, r.failed) for r in out.collect()) == [(1, 0, True), (1, 1, True), (1, 2, False), (2, 0, False), (3, 2, False)]
+
+
+def ledger_of(changes):
+    last = {}
+    for r in sorted(changes, key=lambda r: r.version):
+        last[r.payment_ref, r.kind] = (r.op, r.credits, r.account)
+    return {(*k, *v[1:]) for k, v in last.items() if v[0] == "book"}
+
+
+def test_the_ledger_does_not_depend_on_how_notices_are_split(spark, tmp_path):
+    kinds = ["grant", "refund", "dispute_opened", "dispute_won"]
+    rows, state = [], 12345
+    for payment in range(60):
+        for i in range(1 + payment % 7):
+            state = (state * 1103515245 + 12345) % 2**31
+            rows.append((f"p{payment}", len(rows), kinds[state // 7 % 4], T0 + timedelta(minutes=state % 500), 7, 5 + payment))
+    events = spark.createDataFrame(rows, "payment_ref string, event_id long, kind string, ts timestamp, account long, credits long").withColumn("credits", F.when(F.col("kind") == "grant", F.col("credits")))
+    want = {(r.payment_ref, r.kind, r.credits, int(r.user_id)) for r in B.reversal_rows(events).collect()}
+    for name, parts in (("one", 1), ("three", 3), ("seven", 7)):
+        split = [events.filter(F.pmod(F.xxhash64("event_id", F.lit(name)), F.lit(parts)) == i) for i in range(parts)]
+        # Repeats change nothing.
+        out = E.run_available(spark, K.reversal_log(as_stream(spark, tmp_path / name, [*split, split[0]])), "log-test").collect()
+        assert ledger_of(out) == want and len(want) > 20
+        assert parts == 1 or any(r.op == "retract" for r in out)
+
+
+def test_closed_ids_and_minutes_are_forgotten(spark, tmp_path):
+    day = 86_400
+    rows = [(0, "grant", "g", 3), (1, "reserve", "a", 0), (2, "reserve", "b", 0), (3, "commit", "a", 0), (day, "commit", "a", 0), (3 * day, "commit", "a", 0), (3 * day + 1, "reserve", "a", 0)]
+    parts = [reservation_events(spark, rows).filter((F.col("seq") >= i) & (F.col("seq") < i + 2)) for i in range(0, len(rows), 2)]
+    out = E.run_available(spark, K.reservations(as_stream(spark, tmp_path, parts), parts[0].schema["account"].dataType), "forget-test").collect()
+    got = {(r.seq, r.kind, r.reservation_id, r.outcome, r.balance) for r in out}
+    assert got == {(0, "grant", "g", "grant", 3), (1, "reserve", "a", "reserved", 2), (2, "reserve", "b", "reserved", 1), (3, "commit", "a", "committed", 1),
+                   (None, "expire", "b", "stale_refunded", 2), (4, "commit", "a", "idempotent", 2), (5, "commit", "a", "unknown_reservation", 2), (6, "reserve", "a", "reserved", 1)}
+
+
+def test_slices_follow_their_slots(spark):
+    df = spark.range(40).withColumn("ts", F.timestamp_seconds(F.col("id")))
+    out = E.run_available(spark, E.sliced(df, F.col("id") % 3), "slice-test")
+    assert sorted(r.id for r in out.collect()) == list(range(40))
+    first = out.groupBy(F.col("id") % 3).agg(F.min("batch").alias("b")).orderBy(F.col("(id % 3)")).collect()
+    assert [r.b for r in first] == sorted(r.b for r in first) and len({r.b for r in first}) == 3
