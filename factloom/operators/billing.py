@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from factloom.functions import ids
 from factloom.operators.ordered import fold_in_order, keep_first, running, time_chunk, top_k, trailing_count
@@ -98,33 +98,36 @@ def funding_epochs(events: DataFrame, chunk_seconds: int = DAY) -> DataFrame:
     order = [F.col("ts"), F.col("seq")]
     chunk = time_chunk(F.col("ts"), chunk_seconds)
     is_grant = F.col("kind") == "grant"
-    counted = running(events, ["account"], order, chunk, sums={"balance": F.col("credits"), "epoch": is_grant.cast("long")})
-    basis = F.when(is_grant, F.greatest(F.col("balance"), F.lit(0)))
-    based = running(counted, ["account"], order, chunk, lasts={"basis": basis})
-    return based.withColumn("basis", F.coalesce("basis", F.lit(0))).withColumn(
+    based = running(events, ["account"], order, chunk, sums={"balance": F.col("credits"), "epoch": is_grant.cast("long")}, marks={"basis": ("balance", is_grant)})
+    return based.withColumn("basis", F.greatest(F.coalesce("basis", F.lit(0)), F.lit(0))).withColumn(
         "used", F.greatest(F.col("basis") - F.col("balance"), F.lit(0)))
 
 
 def usage_alerts(events: DataFrame, chunk_seconds: int = DAY) -> DataFrame:
     """Each threshold once per funding epoch, in ascending order and at most one per commit.
 
-    A later threshold is looked for only behind the event of the one before, so every threshold is one
-    pre-aggregated minimum and no account is folded row by row.
+    A threshold is told by the first commit that reaches it after the one before was told. Whatever reaches a threshold reaches
+    those below, so of all commits of an epoch the first k that reach the k-th threshold decide; tasks keep no more before the shuffle.
     """
     commits = funding_epochs(events, chunk_seconds).filter((F.col("kind") == "commit") & (F.col("basis") > 0))
-    found = None
-    after = None
-    for percent in ALERT_THRESHOLDS:
-        reached = commits.filter(F.col("used") * 100 >= percent * F.col("basis"))
-        if after is not None:
-            reached = reached.join(after, ["account", "epoch"]).filter(F.struct("ts", "seq") > F.struct("_ts", "_seq"))
-        first = reached.groupBy("account", "epoch").agg(F.min(F.struct("ts", "seq")).alias("_at"))
-        alert = first.select("account", "epoch", F.lit(percent).cast("long").alias("percent"), F.col("_at.ts").alias("ts"), F.col("_at.seq").alias("seq"))
-        found = alert if found is None else found.unionByName(alert)
-        after = alert.select("account", "epoch", F.col("ts").alias("_ts"), F.col("seq").alias("_seq"))
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("percent")) for i, p in enumerate(ALERT_THRESHOLDS)])
+    reached = commits.withColumn("_t", F.explode(F.filter(steps, lambda s: F.col("used") * 100 >= s["percent"] * F.col("basis"))))
+    first = Window.partitionBy("account", "epoch", "_t").orderBy("ts", "seq")
+    few = reached.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= len(ALERT_THRESHOLDS)).select("account", "epoch", "_t.i", F.struct("ts", "seq").alias("at"))
+    lists = few.groupBy("account", "epoch").agg(*[F.sort_array(F.collect_list(F.when(F.col("i") == i, F.col("at")))).alias(f"_a{i}") for i in range(len(ALERT_THRESHOLDS))])
+    for i in range(len(ALERT_THRESHOLDS)):
+        lists = lists.withColumn(f"_p{i}", _after(F.col(f"_a{i}"), F.col(f"_p{i - 1}")) if i else F.get(F.col("_a0"), F.lit(0)))
+    told = lists.select("account", "epoch", F.explode(F.array_compact(F.array(*[
+        F.when(F.col(f"_p{i}").isNotNull(), F.struct(F.lit(p).cast("long").alias("percent"), F.col(f"_p{i}").alias("at"))) for i, p in enumerate(ALERT_THRESHOLDS)]))).alias("s"))
+    found = told.select("account", "epoch", "s.percent", "s.at.ts", "s.at.seq")
     return found.withColumn("alert_id", ids.alert_id(F.col("account"), F.col("epoch"), F.col("percent")))
 
 
+def _after(positions: Column, before: Column) -> Column:
+    """The first of the sorted positions behind another one; null without that."""
+    return F.when(before.isNotNull(), F.get(F.filter(positions, lambda x: x > before), F.lit(0)))
+
+
 def reservation_intervals(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per reservation: its start and the time its slot becomes free (null when it stays used).
 
@@ -227,8 +230,7 @@ def failure_streaks(attempts: DataFrame, chunk_seconds: int = DAY) -> DataFrame:
     Columns: account, seq, ts, failed, error_code.
     """
     order, chunk = [F.col("ts"), F.col("seq")], time_chunk(F.col("ts"), chunk_seconds)
-    counted = running(attempts, ["account"], order, chunk, sums={"_failures": F.col("failed").cast("long")})
-    reset = running(counted, ["account"], order, chunk, lasts={"_base": F.when(~F.col("failed"), F.col("_failures"))})
+    reset = running(attempts, ["account"], order, chunk, sums={"_failures": F.col("failed").cast("long")}, marks={"_base": ("_failures", ~F.col("failed"))})
     streak = F.when(F.col("failed"), F.col("_failures") - F.coalesce("_base", F.lit(0))).otherwise(0)
     hard = F.upper(F.coalesce("error_code", F.lit(""))).isin(*HARD_DECLINES)
     stop = F.col("failed") & (hard | (F.col("streak") >= MAX_FAILURES))

@@ -119,6 +119,42 @@ def fx_series(rates: DataFrame, source: str, quote: str) -> DataFrame:
     return both.join(F.broadcast(chosen), F.col("_way") == F.col("_chosen")).select("ts", "close")  # one row
 
 
+def listing_series(rates: DataFrame, quote: str) -> DataFrame:
+    """(currency, ts, close): what one unit of each currency is worth in `quote`, from the direct pair, else from the inverted opposite one.
+
+    `rates` has pair, ts, close; only positive rates count.
+    """
+    usable = rates.filter((F.col("close") > 0) & (F.length("pair") == 6))
+    base, other = F.substring("pair", 1, 3), F.substring("pair", 4, 3)
+    way = F.when(other == quote, 0).when(base == quote, 1)
+    rows = usable.withColumn("_way", way).filter("_way is not null").select(
+        F.when(F.col("_way") == 0, base).otherwise(other).alias("currency"), "ts", "_way",
+        F.when(F.col("_way") == 0, F.col("close")).otherwise(market_round(F.lit(1.0) / F.col("close"))).alias("close"))
+    chosen = rows.groupBy("currency").agg(F.min("_way").alias("_way"))
+    return rows.join(chosen, ["currency", "_way"]).drop("_way")
+
+
+def convert_listed(points: DataFrame, rates: DataFrame, quote: str, columns: Sequence[str], ts: str = "ts", unit: str = "currency", chunk_seconds: int = 86_400) -> DataFrame:
+    """Money columns of points in many listing currencies, in one quote currency: adds `rate` and `error_code`.
+
+    A point already in the quote currency stays as it is, at rate 1. A listing unit that is no currency code (GBp counts pence) and a currency
+    without a rate cannot be converted: `upstream_error`, and no money. Else the rate is the last one at or before the point, or the earliest.
+    Only the distinct (currency, time) pairs are put in order with the rates, a day of one currency to a group.
+    """
+    listing = F.col(unit)
+    strict = F.coalesce(listing.rlike("^[A-Z]{3}$"), F.lit(False))
+    asked = points.filter(strict & (listing != quote)).select(listing.alias("_unit"), F.col(ts).alias("_at")).distinct()
+    series = listing_series(rates, quote).select(F.col("currency").alias("_unit"), F.col("ts").alias("_fx_ts"), F.col("close").alias("_rate"))
+    known = as_of(asked, series, ["_unit"], "_at", "_fx_ts", ["_rate"], chunk_seconds).select("_unit", "_at", "_rate")
+    earliest = series.groupBy("_unit").agg(F.min_by("_rate", "_fx_ts").alias("_first"))
+    rated = known.join(earliest, "_unit", "left").select("_unit", "_at", F.coalesce("_rate", "_first").alias("_rate"))
+    joined = points.join(rated, (listing == F.col("_unit")) & (F.col(ts) == F.col("_at")), "left")
+    rate = F.when(strict & (listing == quote), F.lit(1.0)).otherwise(F.col("_rate"))
+    out = joined.withColumn("rate", rate)
+    money = lambda c: F.when(listing == quote, F.col(c)).otherwise(market_round(F.col(c) * F.col("rate"))).alias(c)
+    return out.select(*[money(c) if c in columns else F.col(c) for c in points.columns], "rate", F.when(F.col("rate").isNull(), F.lit("upstream_error")).alias("error_code"))
+
+
 def convert_currency(
     points: DataFrame, fx: DataFrame, columns: Sequence[str], ts: str = "ts", spot: Column | None = None,
     chunk_seconds: int = 86_400,

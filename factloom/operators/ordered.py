@@ -50,40 +50,40 @@ def running(
     chunk: Column,
     sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
+    marks: dict[str, tuple[str, Column]] | None = None,
 ) -> DataFrame:
-    """Running sums and carried-forward last non-null values per key, in order.
+    """Running sums, carried-forward last non-null values and marked sums per key, in order.
 
     `chunk` must not decrease along `order`. A last value may be a struct when several columns travel
-    together. The result equals a window from the first row of the key to the current one.
+    together. A mark (sum, flag) is what that running sum was at the last row with the flag. The result equals windows from the first row of
+    the key to the current one. All of it is one scan in two levels: rows are put in order within their chunk, chunks give one
+    summary each, and only the summaries of a key are put in order; rows, summaries and their join share one partitioning.
     """
-    sums, lasts = sums or {}, lasts or {}
-    rows = df.withColumn("_chunk", chunk)
-    for name, value in sums.items():
-        rows = rows.withColumn(f"_s_{name}", value)
-    for name, value in lasts.items():
-        rows = rows.withColumn(f"_l_{name}", value)
-    inner, outer = _chunk_windows(keys, order)
+    sums, lasts, marks = sums or {}, lasts or {}, marks or {}
+    # A struct of the keys is never null, so that rows with null keys are joined by plain equality.
+    rows = df.withColumns({"_chunk": chunk, "_key": F.struct(*keys), **{f"_s_{n}": v for n, v in sums.items()}, **{f"_l_{n}": v for n, v in lasts.items()},
+                           **{f"_f_{n}": F.coalesce(flag, F.lit(False)) for n, (_, flag) in marks.items()}})
+    inner, outer = _chunk_windows(["_key"], order)
     position = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    per_chunk = rows.groupBy(*keys, "_chunk").agg(
-        *[F.sum(f"_s_{n}").alias(f"_s_{n}") for n in sums],
-        *[F.max_by(F.col(f"_l_{n}"), F.when(F.col(f"_l_{n}").isNotNull(), position)).alias(f"_l_{n}") for n in lasts],
-    )
-    carried = per_chunk.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_chunk").alias("_k_chunk"),
-        *[F.coalesce(F.sum(f"_s_{n}").over(outer), F.lit(0)).alias(f"_cs_{n}") for n in sums],
-        *[F.last(f"_l_{n}", ignorenulls=True).over(outer).alias(f"_cl_{n}") for n in lasts],
-    )
-    same = F.col("_chunk") == F.col("_k_chunk")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    out = rows.join(carried, same, "left")
-    out = out.select(
+    within = rows.withColumns({**{f"_s_{n}": F.coalesce(F.sum(f"_s_{n}").over(inner), F.lit(0)) for n in sums},
+                               **{f"_o_{n}": F.last(f"_l_{n}", ignorenulls=True).over(inner) for n in lasts}})
+    if marks:
+        within = within.withColumns({f"_m_{n}": F.last(F.when(F.col(f"_f_{n}"), F.col(f"_s_{total}")), ignorenulls=True).over(inner) for n, (total, _) in marks.items()})
+    # The last row of a chunk has its summary.
+    per_chunk = within.groupBy("_key", "_chunk").agg(F.max_by(F.struct(
+        *[F.col(f"_s_{n}") for n in sums], *[F.col(f"_o_{n}") for n in lasts], *[F.col(f"_m_{n}") for n in marks]), position).alias("_last")).select("_key", "_chunk", "_last.*")
+    carried = per_chunk.withColumns({f"_cs_{n}": F.coalesce(F.sum(f"_s_{n}").over(outer), F.lit(0)) for n in sums} | {
+        f"_cl_{n}": F.last(f"_o_{n}", ignorenulls=True).over(outer) for n in lasts})
+    if marks:
+        carried = carried.withColumns({f"_cm_{n}": F.last(F.col(f"_m_{n}") + F.col(f"_cs_{total}"), ignorenulls=True).over(outer) for n, (total, _) in marks.items()})
+    carried = carried.select(
+        "_key", "_chunk", *[f"_cs_{n}" for n in sums], *[f"_cl_{n}" for n in lasts], *[f"_cm_{n}" for n in marks])
+    return within.join(carried, ["_key", "_chunk"]).select(
         *df.columns,
-        *[(F.coalesce(F.sum(f"_s_{n}").over(inner), F.lit(0)) + F.col(f"_cs_{n}")).alias(n) for n in sums],
-        *[F.coalesce(F.last(f"_l_{n}", ignorenulls=True).over(inner), F.col(f"_cl_{n}")).alias(n) for n in lasts],
+        *[(F.col(f"_s_{n}") + F.col(f"_cs_{n}")).alias(n) for n in sums],
+        *[F.coalesce(F.col(f"_o_{n}"), F.col(f"_cl_{n}")).alias(n) for n in lasts],
+        *[F.coalesce(F.col(f"_m_{n}") + F.col(f"_cs_{total}"), F.col(f"_cm_{n}")).alias(n) for n, (total, _) in marks.items()],
     )
-    return out
 
 
 def previous(
@@ -152,51 +152,72 @@ def as_of(
     )
 
 
-def nearest_rank(df: DataFrame, group: Sequence[str], value: str, fractions: dict[str, float], splits: int = 64) -> DataFrame:
-    """Exact nearest-rank percentiles: the value at sorted position min(n - 1, floor(n * f)).
+def summarize(
+    df: DataFrame, group: Sequence[str], ranks: dict[str, tuple[Column, dict[str, float]]], sums: dict[str, Column] | None = None,
+    distinct: dict[str, Column] | None = None, splits: int = 64,
+) -> DataFrame:
+    """Per group: `rows`, sums, numbers of distinct values, and exact nearest-rank percentiles of several columns, in one scan.
 
-    Equal values are counted first, then cut into buckets at approximate quantiles; only the buckets that
-    hold a wanted position are ordered. The result does not depend on how good the cuts are.
+    ranks: {metric: (value, {result column: fraction})}; adds `metric`_n, the number of its values. A percentile is the value at sorted position
+    min(n - 1, floor(n * fraction)). Rows are unpivoted to (group, metric, value) and counted before the shuffle. The counts are cut into buckets at
+    approximate quantiles; only buckets that hold a wanted position are ordered. The result does not depend on how good the cuts are.
     """
     if not group:
-        whole = nearest_rank(df.withColumn("_all", F.lit(0)), ["_all"], value, fractions, splits)
-        return whole.drop("_all")
-    groups = list(group)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
+        return summarize(df.withColumn("_all", F.lit(0)), ["_all"], ranks, sums, distinct, splits).drop("_all")
+    groups, sums, distinct = list(group), sums or {}, distinct or {}
+    none = F.lit(None)
+    names = [f"_s{i}" for i in range(len(sums))]
+    carried = F.struct(F.lit(1).alias("_one"), *[c.alias(n) for n, c in zip(names, sums.values())])
+
+    def cell(metric: int, value: Column = none, key: Column = none, sums_of: Column = none) -> Column:
+        return F.struct(F.lit(metric).alias("_m"), value.cast("double").alias("_v"), key.cast("string").alias("_k"), sums_of.alias("_p"))
+
+    # Rows themselves are metric -1 and carry what is summed up.
+    cells = [cell(-1, sums_of=carried)] + [F.when(v.isNotNull(), cell(i, v)) for i, (v, _) in enumerate(ranks.values())] + [
+        F.when(v.isNotNull(), cell(len(ranks) + i, key=v)) for i, v in enumerate(distinct.values())]
+    unpivoted = df.select(*groups, F.explode(F.array_compact(F.array(*cells))).alias("_c")).select(*groups, "_c.*")
+    counts = unpivoted.groupBy(*groups, "_m", "_v", "_k").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(f"_p.{n}").alias(n) for n in names])
+    base = counts.groupBy(*groups).agg(
+        F.sum(F.when(F.col("_m") == -1, F.col("_n"))).alias("rows"), *[F.sum(n).alias(name) for n, name in zip(names, sums)],
+        *[F.count_if(F.col("_m") == len(ranks) + i).alias(name) for i, name in enumerate(distinct)],
+        *[F.sum(F.when(F.col("_m") == i, F.col("_n"))).alias(f"{name}_n") for i, name in enumerate(ranks)])
+    if not ranks:
+        return base
+    keys = [*groups, "_m"]
+    valued = counts.filter(F.col("_m").between(0, len(ranks) - 1)).select(*keys, "_v", "_n")
+
+    def matching(right: DataFrame, by: list[str]) -> tuple[DataFrame, Column]:
+        """The right side with its keys renamed, and the null-safe condition."""
+        test = F.lit(True)
+        for c in by:
+            test = test & F.col(c).eqNullSafe(F.col(f"_of{c}"))
+        return right.select(*[F.col(c).alias(f"_of{c}") for c in by], *[c for c in right.columns if c not in by]), test
+
     cuts = F.array(*[F.lit(i / splits) for i in range(1, splits)])
-    frame = counts.groupBy(*groups).agg(
-        F.sum("_n").alias("n"), F.percentile_approx(value, cuts, F.lit(1000)).alias("_cuts")
-    )
-    frame = frame.select(*[F.col(g).alias(f"_g_{g}") for g in groups], "n", "_cuts")
-    same = F.lit(True)
-    for g in groups:
-        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    located = counts.join(frame, same)
-    bucketed = located.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    per_bucket = bucketed.groupBy(*groups, "n", "_b").agg(F.sum("_n").alias("_bn"))
-    before = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    wanted = F.array(*[
-        F.struct(F.lit(name).alias("name"), F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(f))).alias("pos"))
-        for name, f in fractions.items()
-    ])
-    offsets = per_bucket.withColumn("_before", F.coalesce(F.sum("_bn").over(before), F.lit(0))).withColumn(
-        "_wanted", F.filter(wanted, lambda x: (x["pos"] >= F.col("_before")) & (x["pos"] < F.col("_before") + F.col("_bn")))
-    )
-    hit = offsets.filter(F.size("_wanted") > 0).select(
-        *[F.col(g).alias(f"_h_{g}") for g in groups], F.col("_b").alias("_hb"), "_before", "_wanted"
-    )
-    same_bucket = F.col("_b") == F.col("_hb")
-    for g in groups:
-        same_bucket = same_bucket & F.col(g).eqNullSafe(F.col(f"_h_{g}"))
-    inside = Window.partitionBy(*groups, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    reached = bucketed.join(hit, same_bucket).withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
-    found = reached.select(
-        *groups, "n", value,
-        F.explode(F.filter("_wanted", lambda x: (x["pos"] < F.col("_upto")) & (x["pos"] >= F.col("_upto") - F.col("_n")))).alias("_x"),
-    )
-    return found.groupBy(*groups, "n").agg(
-        *[F.max(F.when(F.col("_x")["name"] == name, F.col(value))).alias(name) for name in fractions]
-    )
+    frame, same = matching(valued.groupBy(*keys).agg(F.sum("_n").alias("_total"), F.percentile_approx("_v", cuts, F.lit(1000)).alias("_cuts")), keys)
+    bucketed = valued.join(frame, same).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).select(*keys, "_v", "_n", "_total", "_b")
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    spot = lambda name, f: F.struct(F.lit(name).alias("name"), F.least(F.col("_total") - 1, F.floor(F.col("_total") * F.lit(f))).alias("pos"))
+    wanted = F.lit(None)
+    for i, (_, fractions) in enumerate(ranks.values()):
+        wanted = F.when(F.col("_m") == i, F.array(*[spot(name, f) for name, f in fractions.items()])).otherwise(wanted)
+    offsets = bucketed.groupBy(*keys, "_total", "_b").agg(F.sum("_n").alias("_bn")).withColumn("_before", F.coalesce(F.sum("_bn").over(before), F.lit(0)))
+    hit = offsets.withColumn("_wanted", F.filter(wanted, lambda x: (x["pos"] >= F.col("_before")) & (x["pos"] < F.col("_before") + F.col("_bn")))).filter(
+        F.size("_wanted") > 0).select(*keys, "_b", "_before", "_wanted")
+    held, same = matching(hit, [*keys, "_b"])
+    inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    reached = bucketed.join(held, same).withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
+    found = reached.select(*groups, "_v", F.explode(F.filter("_wanted", lambda x: (x["pos"] < F.col("_upto")) & (x["pos"] >= F.col("_upto") - F.col("_n")))).alias("_x"))
+    kinds = {name: df.select(v).schema[0].dataType for v, fractions in ranks.values() for name in fractions}
+    told, same = matching(found.groupBy(*groups).agg(
+        *[F.max(F.when(F.col("_x")["name"] == name, F.col("_v"))).cast(kind).alias(name) for name, kind in kinds.items()]), groups)
+    return base.join(told, same, "left").drop(*[f"_of{g}" for g in groups])
+
+
+def nearest_rank(df: DataFrame, group: Sequence[str], value: str, fractions: dict[str, float], splits: int = 64) -> DataFrame:
+    """Exact nearest-rank percentiles of one column, and the number n of its values; groups without values have no row."""
+    out = summarize(df, group, {"_value": (F.col(value), fractions)}, splits=splits)
+    return out.filter("_value_n is not null").select(*group, F.col("_value_n").alias("n"), *fractions)
 
 
 def fold_in_order(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from factloom.functions import urls as U
 from factloom.functions.numbers import round_half_up
 from factloom.operators.joins import values_agree
-from factloom.operators.ordered import nearest_rank
+from factloom.operators.ordered import summarize
 
 # Rank bands with their share of a sample.
 RANK_BANDS = ((1, 1_000, 0.4), (1_001, 10_000, 0.3), (10_001, 100_000, 0.2), (100_001, 1_000_000, 0.1))
@@ -36,14 +36,15 @@ def success_rate(outcome: Column) -> Column:
 def smoke_report(results: DataFrame, wanted: int, min_rate: float = MIN_SUCCESS_RATE) -> DataFrame:
     """One row: counts, rate, nearest-rank latencies and the gates."""
     o = F.col("outcome")
-    totals = results.agg(
-        F.count(F.lit(1)).alias("attempted"), F.count_if(o != "rejected_target").alias("evaluated"),
-        F.count_if(o == "success").alias("successes"), F.coalesce(success_rate(o), F.lit(0.0)).alias("success_rate"),
-        F.count_distinct(U.site_key(U.host(F.col("url")))).alias("distinct_sites"), F.max("duration_ms").alias("maximum"),
-        F.count_if(o == "invalid_response").alias("_invalid"), F.count_if(o == "transport_error").alias("_transport"),
-        F.count_if(o == "rate_limited").alias("_limited"),
-    ).withColumn("_one", F.lit(0))
-    latency = nearest_rank(results, [], "duration_ms", {"p50": 0.5, "p95": 0.95}).drop("n").withColumn("_one", F.lit(0))
+    one = lambda test: F.when(test, 1).otherwise(0).cast("long")
+    found = summarize(
+        results, [], {"latency": (F.col("duration_ms"), {"p50": 0.5, "p95": 0.95, "maximum": 1.0})},
+        {"evaluated": one(o != "rejected_target"), "successes": one(o == "success"), "_invalid": one(o == "invalid_response"), "_transport": one(o == "transport_error"),
+         "_limited": one(o == "rate_limited")}, {"distinct_sites": U.site_key(U.host(F.col("url")))}).withColumnRenamed("rows", "attempted")
+    # Without results there is still one row, of zeros.
+    found = results.sparkSession.range(1).select(F.lit(0).alias("_one")).join(found.withColumn("_one", F.lit(0)), "_one", "left").fillna(
+        0, ["attempted", "evaluated", "successes", "distinct_sites", "_invalid", "_transport", "_limited"])
+    found = found.withColumn("success_rate", F.coalesce(F.col("successes") / F.nullif(F.col("evaluated"), F.lit(0)), F.lit(0.0)))
     checks = {
         "attempted_ok": F.col("attempted") >= wanted, "rate_ok": F.col("success_rate") >= min_rate,
         "no_invalid": F.col("_invalid") == 0, "no_transport": F.col("_transport") == 0, "no_limited": F.col("_limited") == 0,
@@ -51,7 +52,7 @@ def smoke_report(results: DataFrame, wanted: int, min_rate: float = MIN_SUCCESS_
     passed = F.lit(True)
     for c in checks.values():
         passed = passed & c
-    return totals.join(latency, "_one", "left").select(
+    return found.select(
         "attempted", "evaluated", "successes", "success_rate", "distinct_sites", "p50", "p95", "maximum",
         *[c.alias(n) for n, c in checks.items()], passed.alias("passed"))
 
@@ -87,16 +88,16 @@ def implementation_summary(results: DataFrame, group: str) -> DataFrame:
     Columns: group, success, title, author, published_at, noise, word_count, duration_ms.
     """
     ok = F.col("success")
-    n_ok = F.greatest(F.count_if(ok), F.lit(1))
-    field = lambda f: round_half_up(F.count_if(ok & F.col(f).isNotNull()) / n_ok, 4).alias(f"{f}_rate")
-    noise = F.sum(F.when(ok, F.col("noise").cast("decimal(18,2)"))).cast("double")
-    base = results.groupBy(group).agg(
-        F.count_if(ok).alias("successes"), round_half_up(F.count_if(ok) / F.count(F.lit(1)), 4).alias("success_rate"),
-        field("title"), field("author"), field("published_at"),
-        round_half_up(F.coalesce(noise, F.lit(0.0)) / n_ok, 2).alias("noise"))
-    words = nearest_rank(results.filter(ok), [group], "word_count", {"median_words": 0.5}).drop("n")
-    runtime = nearest_rank(results, [group], "duration_ms", {"p50": 0.5, "p95": 0.95}).drop("n")
-    return base.join(words, group, "left").join(runtime, group, "left").fillna(0, ["median_words"])
+    one = lambda test: F.when(test, 1).otherwise(0).cast("long")
+    fields = ["title", "author", "published_at"]
+    found = summarize(
+        results, [group], {"words": (F.when(ok, F.col("word_count")), {"median_words": 0.5}), "runtime": (F.col("duration_ms"), {"p50": 0.5, "p95": 0.95})},
+        {"successes": one(ok), "_noise": F.when(ok, F.col("noise").cast("decimal(18,2)")), **{f"_{f}": one(ok & F.col(f).isNotNull()) for f in fields}})
+    n_ok = F.greatest(F.col("successes"), F.lit(1))
+    return found.select(
+        group, "successes", round_half_up(F.col("successes") / F.col("rows"), 4).alias("success_rate"),
+        *[round_half_up(F.col(f"_{f}") / n_ok, 4).alias(f"{f}_rate") for f in fields],
+        round_half_up(F.coalesce(F.col("_noise").cast("double"), F.lit(0.0)) / n_ok, 2).alias("noise"), "median_words", "p50", "p95").fillna(0, ["median_words"])
 
 
 def composite_score(summary: DataFrame) -> DataFrame:

@@ -62,14 +62,6 @@ def filter_site(df: DataFrame, site: Column, url: str = "url") -> DataFrame:
     return df.filter(U.matches_site(F.col(url), site))
 
 
-def exclude_hosts(df: DataFrame, domains: list[str], url: str = "url") -> DataFrame:
-    """Drop results on the index provider's own hosts."""
-    own = F.lit(False)
-    for domain in domains:
-        own = own | U.matches_site(F.col(url), F.lit(domain))
-    return df.filter(~own)
-
-
 def filter_platform(df: DataFrame, platform: str, url: str = "url") -> DataFrame:
     if platform == "any":
         return df

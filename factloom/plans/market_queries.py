@@ -138,6 +138,22 @@ def fx_asof_convert(spark, folder):
     return M.convert_currency(bars, fx_rates(spark, folder), ["open", "high", "low", "close"], "bar").withColumn("bar", day("bar"))
 
 
+# Five listing units: the quote currency itself, one with a direct pair, one with the opposite pair, one without any, and a subunit.
+@query(f"""with {bars_sql('day')}, {FX_SQL},
+series as (select 'USD' as unit, ts, close from fx where close > 0 union all select 'JPY', ts, {ROUND8.format('1.0 / close')} from fx where close > 0),
+b as (select *, ['EUR', 'USD', 'JPY', 'CHF', 'GBp'][(symbol % 5) + 1] as unit from bars),
+rated as (select b.*, case when b.unit = 'EUR' then 1.0 else coalesce(f.close, (select arg_min(close, ts) from series s where s.unit = b.unit)) end as rate from b asof left join series f on b.unit = f.unit and b.bar >= f.ts)
+select symbol, strftime(bar, '%Y-%m-%d') as bar, unit as currency, case when unit = 'EUR' then open else {ROUND8.format('open * rate')} end as open,
+  case when unit = 'EUR' then close else {ROUND8.format('close * rate')} end as close, volume, rate, case when rate is null then 'upstream_error' end as error_code from rated""")
+def fx_listed_convert(spark, folder):
+    """Bars in five listing units converted to one currency; no-op, inverted pair, missing pair and subunit included."""
+    units = F.array(*[F.lit(u) for u in ("EUR", "USD", "JPY", "CHF", "GBp")])
+    bars = M.resample(ticks(spark, folder), "1d", TICK_ORDER).select("symbol", "bar", F.element_at(units, (F.col("symbol") % 5 + 1).cast("int")).alias("currency"), "open", "close", "volume")
+    daily = fx_rates(spark, folder)
+    rates = daily.withColumn("pair", F.explode(F.array(F.lit("USDEUR"), F.lit("EURJPY"), F.lit("EURUSD"), F.lit("USDGBP"))))
+    return M.convert_listed(bars, rates, "EUR", ["open", "close"], "bar").withColumn("bar", day("bar"))
+
+
 @query(f"""with {FX_SQL} select strftime(ts, '%Y-%m-%d') as ts, {ROUND8.format('1.0 / close')} as close from fx where close > 0""")
 def fx_inverse_series(spark, folder):
     """M3: only the opposite pair is quoted, so its positive rates are inverted."""

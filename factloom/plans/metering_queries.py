@@ -438,15 +438,22 @@ def results(spark, folder):
         F.when(failed | rejected, F.concat(F.lit("status "), F.col("event_id") % 7)).alias("error_message"))
 
 
-@query(f"""with {RESULT_SQL}, d as (select duration_ms, row_number() over (order by duration_ms) - 1 as i, count(*) over () as n from res)
-select count(*) as attempted, count_if(outcome <> 'rejected_target')::bigint as evaluated, count_if(outcome = 'success')::bigint as successes,
-  count_if(outcome = 'success') / count_if(outcome <> 'rejected_target') as success_rate, 1::bigint as distinct_sites,
-  (select max(case when i = cast(floor(n * 0.5) as bigint) then duration_ms end) from d) as p50, (select max(case when i = cast(floor(n * 0.95) as bigint) then duration_ms end) from d) as p95,
-  max(duration_ms) as maximum, count(*) >= 100 as attempted_ok, count_if(outcome = 'success') / count_if(outcome <> 'rejected_target') >= 0.6 as rate_ok,
-  true as no_invalid, true as no_transport, true as no_limited, count(*) >= 100 and count_if(outcome = 'success') / count_if(outcome <> 'rejected_target') >= 0.6 as passed from res""")
+@query(f"""with {RESULT_SQL}, v as (select duration_ms, case event_id % 50 when 7 then 'invalid_response' when 8 then 'transport_error' else outcome end as outcome,
+  case when event_id % 2 = 0 then 'shop' || event_id % 9 || '.co.uk' else 'site' || event_id % 11 || '.com' end as site from res),
+d as (select duration_ms, row_number() over (order by duration_ms) - 1 as i, count(*) over () as n from v),
+t as (select count(*) as attempted, count_if(outcome <> 'rejected_target')::bigint as evaluated, count_if(outcome = 'success')::bigint as successes,
+  count_if(outcome = 'success') / count_if(outcome <> 'rejected_target') as success_rate, count(distinct site) as distinct_sites, max(duration_ms) as maximum,
+  count(*) >= 100 as attempted_ok, count_if(outcome = 'success') / count_if(outcome <> 'rejected_target') >= 0.6 as rate_ok, count_if(outcome = 'invalid_response') = 0 as no_invalid,
+  count_if(outcome = 'transport_error') = 0 as no_transport, count_if(outcome = 'rate_limited') = 0 as no_limited from v)
+select *, (select max(case when i = cast(floor(n * 0.5) as bigint) then duration_ms end) from d) as p50, (select max(case when i = cast(floor(n * 0.95) as bigint) then duration_ms end) from d) as p95,
+  attempted_ok and rate_ok and no_invalid and no_transport and no_limited as passed from t""")
 def smoke_report(spark, folder):
-    """One crawl-quality report."""
-    return reports.smoke_report(results(spark, folder), 100)
+    """One crawl-quality report over sites of two and three labels, with answers that fail a gate."""
+    n = F.col("event_id")
+    site = F.when(n % 2 == 0, F.concat(F.lit("a.shop"), n % 9, F.lit(".co.uk"))).otherwise(F.concat(F.lit("b.site"), n % 11, F.lit(".com")))
+    rows = results(spark, folder).withColumn("url", F.concat(F.lit("https://"), site, F.lit("/"), n)).withColumn(
+        "outcome", F.when(n % 50 == 7, "invalid_response").when(n % 50 == 8, "transport_error").otherwise(F.col("outcome")))
+    return reports.smoke_report(rows, 100)
 
 
 @query(f"with {RESULT_SQL} select error_code, error_message, count(*) as n from res where error_code is not null group by all")

@@ -8,7 +8,8 @@ from factloom.functions import html as H
 from factloom.functions import text as T
 from factloom.functions import urls as U
 from factloom.operators import discovery, feeds, pages as P, reports, search
-from factloom.operators.ordered import keep_first, nearest_rank
+from factloom.operators.ordered import keep_first, nearest_rank, summarize
+from factloom.operators import hosts
 from factloom.operators.joins import with_fallback
 from factloom.plans.tables import register_into, table
 
@@ -304,10 +305,8 @@ def site_digest(spark, folder):
     url = F.col("url")
     read = table(spark, folder, "pages").select(
         U.host(url).alias("host"), U.canonical_url_key(url).alias("url_key"), T.word_count(H.article_text(F.col("html"))).alias("words"))
-    totals = read.groupBy("host").agg(
-        F.count(F.lit(1)).alias("pages"), F.count_distinct("url_key").alias("distinct_pages"), F.sum("words").alias("words"))
-    median = nearest_rank(read, ["host"], "words", {"median_words": 0.5}).drop("n")
-    return totals.join(median, "host")
+    return summarize(read, ["host"], {"words": (F.col("words"), {"median_words": 0.5})}, {"_words": F.col("words").cast("long")}, {"distinct_pages": F.col("url_key")}).select(
+        "host", F.col("rows").alias("pages"), "distinct_pages", F.col("_words").alias("words"), F.col("median_words").cast("long").alias("median_words"))
 
 
 QUERIES["site_digest"] = site_digest
@@ -316,3 +315,21 @@ t as (select host, url_key, len(regexp_extract_all({collapsed_sql(DECODE_SQL.for
 s as (select *, row_number() over (partition by host order by w) - 1 as i, count(*) over (partition by host) as n from t)
 select host, count(*) as pages, count(distinct url_key) as distinct_pages, cast(sum(w) as bigint) as words,
   cast(max(case when i = least(n - 1, cast(floor(n * 0.5) as bigint)) then w end) as bigint) as median_words from s group by host"""
+
+
+@query("""with r as (select 's' || n_nationkey || '.example' || n_nationkey % 3 || '.com' as domain, case when n_nationkey % 2 = 1 then 'exclude' else 'include' end as action from nation
+  union all select 'n' || n_nationkey % 7 || '.s' || n_nationkey || '.example' || n_nationkey % 3 || '.com', 'include' from nation where n_nationkey % 4 = 1
+  union all select 'example' || r_regionkey || '.com', case when r_regionkey = 1 then 'exclude' else 'include' end from region),
+e as (select event_id, 'n' || event_id % 7 || '.s' || user_id % 40 || '.example' || user_id % 40 % 5 || '.' || case when event_id % 11 = 0 then 'net' else 'com' end as host from events)
+select event_id, arg_max(domain, length(domain)) as rule, coalesce(arg_max(action, length(domain)), 'include') as action from e left join r on host = domain or ends_with(host, '.' || domain) group by event_id""")
+def host_rules(spark, folder):
+    """Include and exclude rules on hosts and whole domains; the longest suffix decides."""
+    k = F.col("n_nationkey")
+    nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
+    at = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    rules = nation.select(at("s", k, ".Example", k % 3, ".com").alias("domain"), F.when(k % 2 == 1, "exclude").otherwise("include").alias("action")).unionByName(
+        nation.filter(k % 4 == 1).select(at("n", k % 7, ".s", k, ".example", k % 3, ".com").alias("domain"), F.lit("include").alias("action"))).unionByName(
+        region.select(at("*.example", F.col("r_regionkey"), ".com").alias("domain"), F.when(F.col("r_regionkey") == 1, "exclude").otherwise("include").alias("action")))
+    n, s = F.col("event_id"), F.col("user_id") % 40
+    rows = table(spark, folder, "events").select(n, at("https://n", n % 7, ".s", s, ".example", s % 5, ".", F.when(n % 11 == 0, "net").otherwise("com"), "/", n).alias("url"))
+    return hosts.with_host_rules(rows, rules).drop("url")

@@ -31,12 +31,14 @@ def read_json_payloads(df: DataFrame, schema: T.StructType | str, body: str = "b
     return parsed.withColumn("error_code", F.when(broken, F.lit("upstream_error")))
 
 
-def read_url_list(spark: SparkSession, path: str, count: int) -> DataFrame:
-    """Web addresses of a text file, one per site, the first `count`; blank and comment lines are skipped."""
-    lines = spark.read.text(path).select(F.trim("value").alias("url"), F.monotonically_increasing_id().alias("line"))
+def read_url_list(spark: SparkSession, path: str, count: int | None = None) -> DataFrame:
+    """Web addresses of a text file, one per site, the first `count` or all; blank and comment lines are skipped."""
+    # File, split and place within the split: the order of the lines however files are cut into splits.
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("id"))
+    lines = spark.read.text(path).select(F.trim("value").alias("url"), place.alias("line"))
     usable = lines.filter((F.col("url") != "") & ~F.col("url").startswith("#") & U.is_http(F.col("url")))
     sites = keep_first(usable.withColumn("site", U.site_key(U.host(F.col("url")))), ["site"], ["line"])
-    return sites.orderBy("line").limit(count).select("url", "site")
+    return (sites.orderBy("line").limit(count) if count is not None else sites).select("url", "site")
 
 
 def read_ranked_domains(spark: SparkSession, path: str) -> DataFrame:

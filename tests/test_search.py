@@ -37,3 +37,27 @@ def test_fallback_feed_and_repeats(spark):
     assert feeds[2] == (1, "# Search results for blue sea\n\n1. [Blue sea](https://c.com/sea)\n\n   y") and feeds[3] == (0, "# Search results for none")
     only = api.search_web(queries, [(first, True), (second, False)], site=F.lit("c.com"))
     assert sorted((r.query_id, r.doc_id) for r in only.collect()) == [(1, 4), (2, 5)]
+
+
+def test_host_rules_by_longest_suffix(spark):
+    from factloom.operators import hosts
+
+    rules = spark.createDataFrame([("example.com", "exclude"), ("*.good.example.com", "include"), ("b.org", "include"), ("b.org", "exclude"), ("COM", "include")], "domain string, action string")
+    urls = ["https://example.com/a", "https://x.example.com/", "https://a.good.example.com/x", "https://notexample.com/", "https://c.b.org/", "https://b.net", None, "no address"]
+    df = spark.createDataFrame([(i, u, "own") for i, u in enumerate(urls)], "i long, url string, domain string")
+    got = {r.i: (r.rule, r.action) for r in hosts.with_host_rules(df, rules).collect()}
+    assert got == {0: ("example.com", "exclude"), 1: ("example.com", "exclude"), 2: ("good.example.com", "include"), 3: ("com", "include"), 4: ("b.org", "exclude"), 5: (None, "include"),
+                   6: (None, "include"), 7: (None, "include")}
+    assert sorted(r.i for r in hosts.allowed(df, rules).collect()) == [2, 3, 5, 6, 7] and hosts.allowed(df, rules).columns == df.columns
+
+
+def test_conversion_of_listing_units(spark):
+    from factloom.operators import market as M
+
+    day = lambda n: f"2024-01-{n:02d}"
+    points = spark.createDataFrame([("EUR", day(5), 1.123456789), ("USD", day(1), 2.0), ("USD", day(9), 2.0), ("JPY", day(9), 100.0), ("GBp", day(9), 5.0), ("CHF", day(9), 5.0), (None, day(9), 1.0)],
+                                   "currency string, d string, price double").withColumn("ts", F.to_timestamp("d"))
+    rates = spark.createDataFrame([("USDEUR", day(3), 0.9), ("USDEUR", day(8), 0.8), ("EURUSD", day(8), 7.0), ("EURJPY", day(1), 160.0), ("CHFEUR", day(1), 0.0)], "pair string, d string, close double").withColumn("ts", F.to_timestamp("d"))
+    out = {(r.currency, r.d): (r.price, r.rate, r.error_code) for r in M.convert_listed(points, rates, "EUR", ["price"]).collect()}
+    assert out == {("EUR", day(5)): (1.123456789, 1.0, None), ("USD", day(1)): (1.8, 0.9, None), ("USD", day(9)): (1.6, 0.8, None), ("JPY", day(9)): (0.625, 0.00625, None),
+                   ("GBp", day(9)): (None, None, "upstream_error"), ("CHF", day(9)): (None, None, "upstream_error"), (None, day(9)): (None, None, "upstream_error")}

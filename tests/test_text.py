@@ -71,3 +71,14 @@ def test_dates(values):
     assert shown == ["2024-02-03T03:05:06.000Z", "2024-02-03T04:05:06.000Z", "2024-02-03T00:00:00.000Z", "2024-02-03T04:05:06.000Z", None]
     ages = values(D.displayed_age_ms, ["3 weeks ago", "today", "yesterday", "just now", "2 months ago", "later"])
     assert ages == [1814400000.0, 43200000.0, 86400000.0, 0.0, 5184000000.0, None]
+
+
+def test_keyed_hash_equals_hmac(values):
+    import hashlib
+    import hmac
+
+    from factloom.functions import ids
+
+    for secret in ("k", "s" * 64, "long" * 40):
+        want = [hmac.new(secret.encode(), m.encode(), hashlib.sha256).hexdigest() for m in ("", "a\nb", "ü")]
+        assert values(lambda c: ids.keyed_hash(c, secret), ["", "a\nb", "ü"]) == want
