@@ -6,7 +6,9 @@ from pyspark.sql import functions as F, types as T
 
 from factloom.plans.metering_queries import EPOCH_SQL, LEDGER_SQL, REVERSAL_SQL, alert_step
 from factloom.plans.tables import payment_events, register_into, table
+from factloom.session import work_dir
 from factloom.sources.readers import read_events_stream
+from factloom.sources.versions import VersionedTable
 from factloom.streaming import events as E
 from factloom.streaming import state as K
 
@@ -29,9 +31,26 @@ def stream(spark, folder):
 @query("""select event_id, user_id from events""")
 def stream_intake(spark, folder):
     """Every event arrives twice and is taken once."""
-    e = stream(spark, folder).select("event_id", "ts", "user_id")
-    twice = e.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("delivery")).drop("delivery")
-    return E.intake(spark, twice).select("event_id", "user_id")
+    e = table(spark, folder, "events").select("event_id", "ts", "user_id")
+    twice = e.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("delivery"))
+    # The second delivery comes in another micro-batch.
+    parts = E.sliced(twice, F.pmod(F.xxhash64("event_id", "delivery"), F.lit(3))).drop("delivery")
+    return E.intake(spark, parts).select("event_id", "user_id")
+
+
+@query("""select user_id as id, epoch_us(min(ts)) as created_us, epoch_us(max(ts)) as seen_us, max(value) as top, count(*) as n, arg_max(props, ts) as props from events group by user_id""")
+def stream_versions(spark, folder):
+    """A keyed table kept by a stream, a version per micro-batch; a batch that comes again changes nothing."""
+    rows = E.sliced(table(spark, folder, "events").select("user_id", "ts", "value", "props"), F.expr("unix_seconds(ts) div 864000"))
+    totals = lambda batch: batch.groupBy(F.col("user_id").alias("id")).agg(
+        F.min("ts").alias("created"), F.max("ts").alias("seen"), F.max("value").alias("top"), F.count(F.lit(1)).alias("n"), F.max_by("props", "ts").alias("props"))
+    path = work_dir(spark, "versions")
+    schema = T.StructType([T.StructField(n, t) for n, t in (("id", T.LongType()), ("created", T.TimestampType()), ("seen", T.TimestampType()), ("top", T.DoubleType()),
+                                                            ("n", T.LongType()), ("props", T.StringType()))])
+    kept = VersionedTable(spark, f"{path}/table", schema, ["id"], {"created": "min", "seen": "max", "top": "max", "n": "sum", "props": "last"}, "seen", buckets=16)
+    E.start(rows, f"{path}/out", f"{path}/state", sink=kept.sink(totals)).awaitTermination()
+    kept.upsert(totals(table(spark, folder, "events")), batch=0)
+    return kept.read().select("id", F.unix_micros("created").alias("created_us"), F.unix_micros("seen").alias("seen_us"), "top", "n", "props")
 
 
 @query("""select user_id as client, epoch_us(time_bucket(interval '30 minutes', ts)) as window_us, count(*) as requests, count(*) > 1 as over_limit from events group by all""")

@@ -17,7 +17,7 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def intake(spark: SparkSession, events: DataFrame, key: str = "event_id", failed: str | None = None, purpose: str = "intake") -> DataFrame:
-    """Every event id once, without a horizon; what failed may come again. The taken rows are the memory, not stream state."""
+    """Every event id once, without a horizon; what failed may come again. The taken ids are a table in buckets, not stream state."""
     return run_available(spark, events, purpose, key=key, failed=failed)
 
 
@@ -63,7 +63,7 @@ def run_available(spark: SparkSession, stream: DataFrame, purpose: str, mode: st
     before = spark.conf.get(PROVIDER)
     spark.conf.set(PROVIDER, ROCKSDB)
     try:
-        query = start(stream, path, f"{folder}/state", mode, once_per_batch(path, key, failed) if key else None)
+        query = start(stream, path, f"{folder}/state", mode, once_per_batch(path, key, f"{folder}/taken", failed) if key else None)
         query.awaitTermination()
     finally:
         spark.conf.set(PROVIDER, before)

@@ -116,3 +116,28 @@ def test_slices_follow_their_slots(spark):
     assert sorted(r.id for r in out.collect()) == list(range(40))
     first = out.groupBy(F.col("id") % 3).agg(F.min("batch").alias("b")).orderBy(F.col("(id % 3)")).collect()
     assert [r.b for r in first] == sorted(r.b for r in first) and len({r.b for r in first}) == 3
+
+
+def test_versions_rewrite_touched_buckets_once(spark, tmp_path):
+    from factloom.sources.versions import VersionedTable
+
+    schema = spark.range(0).selectExpr("id", "id as at", "cast(null as string) as v", "id as n").schema
+    kept = VersionedTable(spark, str(tmp_path / "t"), schema, ["id"], {"at": "max", "v": "fill", "n": "sum"}, "at", buckets=8)
+    assert kept.read().count() == 0
+    first = spark.range(40).selectExpr("id", "1L as at", "concat('a', id) as v", "1L as n")
+    assert set(kept.upsert(first, 0).values()) == {1}
+    change = spark.createDataFrame([(3, 2, None, 5), (3, 3, "z", 1)], "id long, at long, v string, n long")
+    written = kept.upsert(change, 1)
+    version, at, batch = kept.manifest()
+    assert len(written) == 1 and (version, batch) == (2, 1) and sorted(at.values()) == [1] * 7 + [2]
+    old = kept.read()
+    # A batch that comes again, and one without rows.
+    assert kept.upsert(change, 1) == {} and kept.upsert(change.limit(0), 2) == {}
+    # A writer that was lost before its manifest leaves nothing that is read.
+    change.write.parquet(str(tmp_path / "t/data/v=4/bucket=0"))
+    spark.range(1).write.parquet(str(tmp_path / "t/manifest/v=9"))
+    (tmp_path / "t/manifest/v=9/_SUCCESS").unlink()
+    rows = {r.id: (r["at"], r.v, r.n) for r in kept.read().collect()}
+    assert rows[3] == (3, "z", 7) and rows[4] == (1, "a4", 1) and len(rows) == 40
+    kept.upsert(spark.createDataFrame([(99, 1, "n", 1)], "id long, at long, v string, n long"), 3)
+    assert old.count() == 40 and kept.read().count() == 41 and kept.touching(change).filter("id = 3").count() == 1
