@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from factloom.functions import ids
-from factloom.operators.ordered import fold_in_order, keep_first, running, time_chunk, top_k, trailing_count
+from factloom.operators.ordered import fold_in_order, highest_before, keep_first, running, time_chunk, top_k, trailing_count
 
 # Prices, grants, limits and periods.
 CENTS_PER_THOUSAND = 49
@@ -155,16 +155,42 @@ def admit(live: list, start, free_at, limit: int) -> bool:
     return admitted
 
 
-def daily_admission(events: DataFrame, limit: int = DAILY_LIMIT) -> DataFrame:
+def daily_admission(events: DataFrame, limit: int = DAILY_LIMIT, part_seconds: int = 3600) -> DataFrame:
     """Which reservations of a client and UTC day are admitted when refunds and expiries free slots.
 
-    The fold keeps at most `limit` slots of the current client in memory.
+    Where a reservation starts after all earlier ones are free again, a busy period begins: nothing is held over into it but the slots used up
+    for good, at most `limit`. So the busy periods that begin in one hour are folded on their own, once for every number of
+    slots that may be gone before; the hours of a day are then chained by those numbers, and the one fold that applies decides. A task holds
+    one hour of one client, or a busy period that is longer.
     """
-    rows = reservation_intervals(events.withColumn("day", F.date_format("ts", "yyyy-MM-dd")), ["day", "client"])
-    decided = fold_in_order(
-        rows, ["day", "client"], ["start", "reservation_id"], list,
-        lambda live, row: admit(live, row[3], row[4], limit), "admitted", "boolean")
-    return decided.drop("start", "free_at")
+    keys, hour = ["day", "client"], F.floor(F.unix_micros("start") / (part_seconds * 1_000_000))
+    order = [F.col("start"), F.col("reservation_id")]
+    rows = reservation_intervals(events.withColumn("day", F.date_format("ts", "yyyy-MM-dd")), keys)
+    held = highest_before(rows, keys, order, hour, F.col("free_at"), "_held")
+    begins = F.col("_held").isNull() | (F.col("start") >= F.col("_held"))
+    parts = running(held, keys, order, hour, lasts={"_part": F.when(begins, hour)}).drop("_held")
+
+    def outcomes(states: list[list], row: tuple) -> list[int]:
+        for live in states:
+            admit(live, row[at["start"]], row[at["free_at"]], limit)
+        return [sum(f is None for f in live) for live in states]
+
+    at = {c: i for i, c in enumerate(parts.columns)}
+    order_names = ["start", "reservation_id"]
+    tried = fold_in_order(parts, [*keys, "_part"], order_names, lambda: [[None] * k for k in range(limit + 1)], outcomes, "_used", "array<int>")
+    maps = tried.groupBy(*keys, "_part").agg(F.max_by("_used", F.struct(*order_names)).alias("_used"))
+    # A day has no more parts than hours.
+    days = maps.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_part", "_used"))).alias("_parts"))
+    chained = F.aggregate("_parts", F.struct(F.lit(0).alias("k"), F.array().cast("array<struct<_part:bigint,_before:int>>").alias("out")), lambda s, p: F.struct(
+        F.element_at(p["_used"], s["k"] + 1).alias("k"), F.concat(s["out"], F.array(F.struct(p["_part"].alias("_part"), s["k"].alias("_before")))).alias("out")))
+    before = days.select(F.struct(*keys).alias("_key"), F.explode(chained["out"]).alias("_b")).select("_key", "_b._part", "_b._before")
+    known = parts.withColumn("_key", F.struct(*keys)).join(before, ["_key", "_part"]).drop("_key").select(*parts.columns, "_before")
+
+    def decide(state: dict, row: tuple) -> bool:
+        live = state.setdefault("live", [None] * row[len(at)])
+        return admit(live, row[at["start"]], row[at["free_at"]], limit)
+
+    return fold_in_order(known, [*keys, "_part"], order_names, dict, decide, "admitted", "boolean").drop("start", "free_at", "_part", "_before")
 
 
 def simple_admission(requests: DataFrame, limit: int = DAILY_LIMIT) -> DataFrame:

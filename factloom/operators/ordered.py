@@ -86,6 +86,16 @@ def running(
     )
 
 
+def highest_before(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: Column, value: Column, out: str) -> DataFrame:
+    """Adds `out`, the greatest value of the rows before each row of its key; null on the first. Two levels, as in `running`."""
+    rows = df.withColumns({"_chunk": chunk, "_key": F.struct(*keys), "_v": value})
+    inner, outer = _chunk_windows(["_key"], order)
+    within = rows.withColumn("_in", F.max("_v").over(inner.rowsBetween(Window.unboundedPreceding, -1)))
+    per_chunk = within.groupBy("_key", "_chunk").agg(F.max("_v").alias("_top"))
+    carried = per_chunk.withColumn("_over", F.max("_top").over(outer)).select("_key", "_chunk", "_over")
+    return within.join(carried, ["_key", "_chunk"]).select(*df.columns, F.greatest("_in", "_over").alias(out))
+
+
 def previous(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: Column, values: dict[str, Column]
 ) -> DataFrame:
@@ -238,7 +248,8 @@ def fold_in_order(
         for batch in batches:
             answers = []
             for row in batch.itertuples(index=False, name=None):
-                key = tuple(row[i] for i in at)
+                # A null key is NaN here, which is not equal to itself.
+                key = tuple(None if row[i] != row[i] else row[i] for i in at)
                 if key != current:
                     current, state = key, start()
                 answers.append(step(state, row))

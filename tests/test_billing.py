@@ -118,3 +118,30 @@ def test_percentile_of_an_empty_report(spark):
     empty = spark.createDataFrame([], "url string, outcome string, duration_ms long")
     row = reports.smoke_report(empty, 1).first()
     assert (row.attempted, row.success_rate, row.attempted_ok, row.passed) == (0, 0.0, False, False)
+
+
+def test_admission_by_busy_periods_equals_one_fold(spark):
+    """Many clients, days that end in the middle of a busy period, all limits."""
+    state, rows = 7, []
+    for client in range(12):
+        at = 0
+        for i in range(90):
+            state = (state * 1103515245 + 12345) % 2**31
+            at += state // 5 % (200 if client % 3 else 2500)
+            rid, ts = f"c{client}-{i}", T0 + timedelta(seconds=at)
+            rows.append((client if client else None, rid, "reserve", ts))
+            kind = state // 11 % 4
+            if kind < 2:
+                rows.append((client if client else None, rid, ("commit", "refund")[kind], ts + timedelta(seconds=state // 3 % 1200)))
+    events = spark.createDataFrame(rows, "client long, reservation_id string, kind string, ts timestamp").repartition(6)
+    # The day of a reservation is that of its start.
+    events = events.join(events.filter("kind = 'reserve'").select("reservation_id", F.col("ts").alias("_s")), "reservation_id")
+    late = F.date_format("ts", "yyyy-MM-dd") > F.date_format("_s", "yyyy-MM-dd")
+    events = events.withColumn("ts", F.when(late, F.date_trunc("day", "ts") - F.expr("INTERVAL 1 MICROSECOND")).otherwise(F.col("ts"))).drop("_s")
+    intervals = B.reservation_intervals(events.withColumn("day", F.date_format("ts", "yyyy-MM-dd")), ["day", "client"]).collect()
+    for limit in (1, 2, 5):
+        want, live = {}, {}
+        for r in sorted(intervals, key=lambda r: (r.start, r.reservation_id)):
+            want[r.reservation_id] = B.admit(live.setdefault((r.day, r.client), []), r.start, r.free_at, limit)
+        assert {r.reservation_id: r.admitted for r in B.daily_admission(events, limit, 600).collect()} == want
+        assert 0 < sum(want.values()) < len(want)
