@@ -14,6 +14,8 @@ from factloom.functions import text as T
 from factloom.functions import urls as U
 from factloom.operators.ordered import top_k
 
+SALTS = 16
+
 # Recency choices in seconds.
 TIMEFRAME_SECONDS = {"1h": 3600, "1d": 86_400, "7d": 604_800, "30d": 2_592_000}
 
@@ -23,27 +25,30 @@ def relevance_join(queries: DataFrame, corpus: DataFrame, text: Column) -> DataF
 
     `queries` has query_id and query; `corpus` has doc_id and its other columns, which are kept.
     """
-    asked = queries.select("query_id", T.query_terms(F.col("query")).alias("terms")).withColumn(
-        "needed", T.needed_matches(F.col("terms"))
-    )
+    asked = queries.select("query_id", T.query_terms(F.col("query")).alias("terms")).withColumn("needed", T.needed_matches(F.col("terms")))
     terms = asked.select("query_id", "needed", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    vocabulary = terms.select("term").distinct()
-    # Only tokens that some query asks for, as narrow (document, term) rows.
-    postings = rows_of(corpus, ["doc_id"], T.distinct_tokens(text), "term").drop("position").join(vocabulary, "term")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    # A frequent term stands in most documents: its rows are dealt out to salts by document, and what they meet is there once per salt.
+    salted = lambda rows: rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    vocabulary = terms.select("term").distinct().select("term", salts.alias("_salt"))
+    # One tokenization: every document with those of its tokens that some query asks for.
+    tokens = rows_of(corpus, ["doc_id"], T.distinct_tokens(text), "term").drop("position")
+    held = salted(tokens).join(vocabulary, ["term", "_salt"], "left_semi").groupBy("doc_id").agg(F.collect_set("term").alias("_held"))
+    postings = held.select("doc_id", F.explode("_held").alias("term"))
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
     rarest = Window.partitionBy("query_id").orderBy("docs", "term")
+    # A document that holds enough of a query's terms holds one of its rarest.
     probes = (
         terms.join(frequency, "term", "left")
         .withColumn("docs", F.coalesce("docs", F.lit(0)))
         .withColumn("_rank", F.row_number().over(rarest))
         .filter((F.col("_rank") <= F.col("n_terms") - F.col("needed") + 1) & (F.col("docs") > 0))
-        .select("term", "query_id")
+        .select("term", "query_id", salts.alias("_salt"))
     )
-    candidates = postings.join(probes, "term").select("doc_id", "query_id").distinct()
-    # A candidate asks for each of its query's terms; document and term together make an even join key.
-    wanted = candidates.join(terms.drop("n_terms"), "query_id")
-    found = wanted.join(postings, ["doc_id", "term"]).groupBy("query_id", "doc_id", "needed").agg(F.count(F.lit(1)).alias("matched"))
-    return found.filter(F.col("matched") >= F.col("needed")).drop("needed").join(corpus, "doc_id")
+    candidates = salted(postings).join(probes, ["term", "_salt"]).select("doc_id", "query_id").distinct()
+    # The terms of a document meet those of the query in one row; no term is joined on again.
+    found = candidates.join(held, "doc_id").join(asked, "query_id").withColumn("matched", F.size(F.array_intersect("_held", "terms")).cast("long"))
+    return found.filter(F.col("matched") >= F.col("needed")).select("query_id", "doc_id", "matched").join(corpus, "doc_id")
 
 
 def rank_results(matches: DataFrame, limit: int = 10, order: list[Column] | None = None) -> DataFrame:
