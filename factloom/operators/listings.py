@@ -17,6 +17,8 @@ from factloom.functions.dates import parse_date
 from factloom.functions.dom import attr, has_class, node_text, subtree
 
 MAX_ITEMS = 50
+# A page lists something if it shows so many of them.
+MIN_LISTED = 2
 
 
 def json_items(value: Column) -> Column:
@@ -74,6 +76,11 @@ def _unique_by(items: Column, field: str, maximum: int) -> Column:
     return F.slice(let(items, first), 1, maximum)
 
 
+def listed(items: Column) -> Column:
+    """The items of a page that lists any: at least two, else null."""
+    return F.when(F.size(items) >= MIN_LISTED, items)
+
+
 def listing_title(nodes: Column, fallback: str) -> Column:
     in_main = first_value(nodes, subtree(nodes, first_node(nodes, tag_is("main"))), [tag_is("h1")])
     return F.coalesce(in_main, first_value(nodes, nodes, [tag_is("h1"), tag_is("title")]), F.lit(fallback))

@@ -284,8 +284,8 @@ def extract_pages(
         F.when(F.col("_plain").isNotNull(), outcome("document", "native-markdown", T.title_from_markdown(F.col("_plain")), none, none, F.col("_plain"))),
         F.when(detail.isNotNull(), outcome("product", "product-jsonld", detail["title"], detail["brand"], none, detail_text,
                                            price=detail["price"], currency=detail["currency"])),
-        F.when(F.size("_cards") >= 2, outcome("feed", "product-list-html", cards_title, none, none, listing(cards_title, card_items), card_items)),
-        F.when(F.size("_posts") >= 2, outcome("feed", "blog-list-html", posts_title, none, first_date, listing(posts_title, post_items), post_items)),
+        F.when(L.listed(F.col("_cards")).isNotNull(), outcome("feed", "product-list-html", cards_title, none, none, listing(cards_title, card_items), card_items)),
+        F.when(L.listed(F.col("_posts")).isNotNull(), outcome("feed", "blog-list-html", posts_title, none, first_date, listing(posts_title, post_items), post_items)),
         F.when(F.col("_article").isNotNull() & ~F.col("_article.metadata_only"), outcome(
             "article", "linkedom", F.col("meta.title"), F.col("meta.author"), F.col("meta.published_at"), F.col("_article.content"))),
     ]

@@ -9,7 +9,7 @@ from factloom.functions import text as T
 from factloom.functions import urls as U
 from factloom.functions.dates import page_date
 from factloom.operators import billing as B
-from factloom.operators import joins, market, places, quality, reports
+from factloom.operators import cachelog, joins, market, places, quality, reports
 from factloom.plans.tables import register_into, table
 from factloom.session import work_dir
 from factloom.sources import readers, sinks
@@ -150,3 +150,29 @@ def written_tables(spark, folder):
     return back.select(F.lit("written").alias("kind"), F.col("doc_id").alias("id"), F.col("title").alias("text")).unionByName(
         ledger.select(F.lit("billing").alias("kind"), F.col("id").cast("long").alias("id"), F.col("user_id").alias("text"))).unionByName(
         report.select(F.lit("report").alias("kind"), F.col("n").alias("id"), F.lit("latest").alias("text")))
+
+
+@query("""with e as (select event_id, user_id, cast(event_id as varchar) as n from events),
+k as (select event_id, case event_id % 9 when 0 then '/api/extract?url=' || url_encode('https://a.example.com/' || n) || '&format=json&focus=prices#extract-1'
+  when 1 then '/api/search?q=' || 'tea+' || n || '&format=json&limit=10&language=de-DE&country=US&site=example.com#search-1'
+  when 2 then '/api/news?q=tea+' || n || '&format=json&limit=10&language=en-US&country=US&timeframe=7d#news-1'
+  when 3 then '/api/images?q=tea+' || n || '&format=json&limit=10&usage=all&orientation=any#images-1'
+  when 4 then '/api/videos?q=tea+' || n || '&format=json&limit=10&language=en-US&country=US&platform=any&sort=date&creator=#videos-1'
+  when 5 then '/api/places?q=tea+' || n || '&format=json&limit=5&language=en&lat=52.5&lon=13&type=any#places-1'
+  when 6 then '/api/finance?symbol=T' || n || '&format=json&timeframe=1mo#finance-1' when 7 then '/api/finance/search?q=tea+' || n || '&format=json&limit=10&instrument=equity#finance-search-1'
+  else '/api/finance/movers?format=json&limit=10&list=losers#finance-movers-1' end as text from e)
+select event_id, replace(text, '%20', '+') as text, sha256(replace(text, '%20', '+')) as key from k""")
+def cache_keys_all(spark, folder):
+    """P25: canonical keys of all nine endpoints and their two other names, with defaults filled and unknown controls dropped."""
+    n, k = F.col("event_id"), F.col("event_id") % 9
+    given = lambda **values: F.map_concat(F.create_map(F.lit("utm"), F.lit("x")), *[F.create_map(F.lit(a), b if not isinstance(b, str) else F.lit(b)) for a, b in values.items()])
+    tea = at("  tea   ", n, " ")
+    asked = [
+        ("/mcp-cache", given(url=at(" https://a.example.com/", n), focus=" prices ")), ("/api/search", given(q=tea, language="de-de", site="Example.COM.")),
+        ("/api/news", given(q=tea, timeframe="7d", format="")), ("/api/images", given(q=tea, usage="")), ("/api/videos", given(q=tea, sort="date", creator="")),
+        ("/api/maps", given(q=tea, lat="52.50", lon="13.0")), ("/api/finance", given(symbol=at("t", n))), ("/api/finance/search", given(q=tea)), ("/api/finance/movers", given(list="losers"))]
+    endpoint, params = F.lit(None).cast("string"), F.lit(None).cast("map<string,string>")
+    for i, (name, values) in enumerate(asked):
+        endpoint, params = F.when(k == i, name).otherwise(endpoint), F.when(k == i, values).otherwise(params)
+    rows = table(spark, folder, "events").select(n, cachelog.cache_key(endpoint, params).alias("text"))
+    return rows.withColumn("key", cachelog.key_digest(F.col("text")))

@@ -227,7 +227,7 @@ def product_list_pages(spark, folder):
 
     html = F.concat(F.lit("<html><body><main><h1>Parts</h1>"), card(0), card(1), card(0), card(2), F.lit("</main></body></html>"))
     pages = parts(spark, folder).select(F.col("p_partkey").alias("page_id"), F.lit("https://shop.example.com/list").alias("url"), dom_nodes(html).alias("nodes"))
-    cards = let(L.product_cards(F.col("nodes"), F.col("url")), lambda c: F.when(F.size(c) >= 2, c))
+    cards = let(L.product_cards(F.col("nodes"), F.col("url")), L.listed)
     return rows_of(pages, ["page_id"], cards, "c").select("page_id", "c.url", "c.title", "c.price", "c.currency", "position")
 
 
