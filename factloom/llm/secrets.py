@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom.llm.spans import add_matches, joined, redacted
-from factloom.llm.store import fresh, narrow, stored
+from factloom.llm.store import narrow, stored
 
 # The base patterns.
 LEAD = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
@@ -66,15 +66,23 @@ def entropy(value: Column) -> Column:
     return F.aggregate(F.array_distinct(F.filter(F.split(value, ""), lambda c: c != "")), F.lit(0.0), add)
 
 
-def propose(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
-    """row (key of the row), doc_id, owner, repo and spans with hash, bits and size of the secret, and whether it only stands for one."""
-    df = narrow(docs, doc_id=id_col, text=text_col, owner=owner_col, repo=repo_col).withColumn("text", F.coalesce("text", F.lit("")))
+def propose(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", carry: bool = False) -> DataFrame:
+    """row (key of the row), doc_id, owner, repo and spans with hash, bits and size of the secret, and whether it only stands for one.
+
+    carry: with the whole row as struct `carried`.
+    """
+    df = narrow(docs, doc_id=id_col, text=text_col, owner=owner_col, repo=repo_col)
+    if carry:
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("carried")
+        df = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in (("doc_id", id_col), ("text", text_col), ("owner", owner_col), ("repo", repo_col))], whole)
+    carried = ["carried"] if carry else []
+    df = df.withColumn("text", F.coalesce("text", F.lit("")))
     df = df.withColumn("row", F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("owner").cast("string"), F.col("text"))))
     df = add_matches(df, "assign", "text", 0, ASSIGN, lambda v: F.length(F.regexp_replace(v, "^" + LEAD, "")) >= 6)
     df = add_matches(df, "access", "text", 1, ACCESS)
     df = add_matches(df, "hex", "text", 2, HEX)
     df = add_matches(df, "more", "text", BASE, "|".join((GITHUB, CHAT, PAYMENT, JWT, PRIVATE, IN_URL, RANDOM)))
-    df = df.withColumn("base", F.concat("assign", "access", "hex")).select("row", "doc_id", F.col("owner").cast("string").alias("owner"), F.col("repo").cast("string").alias("repo"), "base", "more")
+    df = df.withColumn("base", F.concat("assign", "access", "hex")).select("row", "doc_id", F.col("owner").cast("string").alias("owner"), F.col("repo").cast("string").alias("repo"), "base", "more", *carried)
     kinds = [(3, "^gh[pousr]_"), (4, "^xox"), (5, "^[rs]k_live_"), (6, r"^eyJ[A-Za-z0-9_-]+\."), (7, "^-----"), (8, "^://")]
     # A key's block stays whole, even where base spans lie in it or reach into it.
     apart = F.filter("more", lambda s: s["value"].startswith("-----") | ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
@@ -87,7 +95,7 @@ def propose(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", own
 
     spans = F.concat("base", F.transform(apart, lambda s: s.withField("kind", kind_of(s["value"]))))
     parted = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), secret_part(s).alias("secret")))
-    return df.select("row", "doc_id", "owner", "repo", F.transform(parted, lambda s: F.struct(
+    return df.select("row", "doc_id", "owner", "repo", *carried, F.transform(parted, lambda s: F.struct(
         s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.sha2(s["secret"].cast("binary"), 256).alias("hash"),
         entropy(s["secret"]).alias("bits"), F.length(s["secret"]).alias("size"), s["secret"].rlike(PLACEHOLDER).alias("stands_for"))).alias("spans"))
 
@@ -136,19 +144,15 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
            mark: str = MARK) -> DataFrame:
     """All rows and columns, with every secret that looks live replaced by a mark in the text; size_col follows the new text.
 
-    The judged spans, not the texts, are looked up by row, so rows of equal id and text get the same.
+    Rows are stored with their spans, so a text without spans, as most are, is in no join.
     """
-    proposed = stored(propose(docs, id_col, text_col, owner_col, id_col), "secrets-proposed")
+    proposed = stored(propose(docs, id_col, text_col, owner_col, id_col, carry=True), "secrets-carried")
     judged = judge(proposed).select("row", F.filter("spans", lambda s: s["live"]).alias("live")).filter(F.size("live") > 0)
-    row, spans = fresh(docs, "secret_row"), fresh(docs, "secret_spans")
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    keyed = docs.withColumn(row, F.md5(F.concat_ws(":", F.col(f"`{id_col}`").cast("string"), F.col(f"`{owner_col}`").cast("string"), text)))
-    held = stored(judged.select(F.col("row").alias(row), F.col("live").alias(spans)), "secrets-live")
-    found = keyed.join(held, row, "left")
-    # A column of its own first: inside a lambda, Spark would read a new column "text" of the same select.
-    new = fresh(docs, "secret_text")
-    found = found.withColumn(new, F.when(F.col(spans).isNotNull(), redacted(F.col(f"`{text_col}`"), F.col(spans), mark)).otherwise(F.col(f"`{text_col}`")))
-    size = F.when(F.col(spans).isNotNull(), F.length(new))
-    return found.select(*[
-        F.col(new).alias(c) if c == text_col else F.coalesce(size.cast(docs.schema[c].dataType), F.col(f"`{c}`")).alias(c) if c == size_col else F.col(f"`{c}`")
-        for c in docs.columns])
+    held = proposed.filter(F.size("spans") > 0).select("row", "carried").join(judged, "row", "left")
+    own = lambda c: F.col("carried").getField(c)
+    new = F.when(F.col("live").isNotNull(), redacted(own(text_col), F.col("live"), mark)).otherwise(own(text_col))
+    found = held.select("carried", "live", new.alias("new"))
+    size = F.when(F.col("live").isNotNull(), F.length("new"))
+    redone = found.select(*[
+        F.col("new").alias(c) if c == text_col else F.coalesce(size.cast(docs.schema[c].dataType), own(c)).alias(c) if c == size_col else own(c).alias(c) for c in docs.columns])
+    return redone.unionByName(proposed.filter(F.size("spans") == 0).select(*[own(c).alias(c) for c in docs.columns]))
