@@ -32,18 +32,26 @@ def _in_order(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
 
 
 class _Folding(StatefulProcessor):
-    """Applies `step(state, event)` to the events of a key; state is a tuple kept between micro-batches."""
+    """Applies `step(state, event)` to the events of a key; state is a tuple kept between micro-batches.
+
+    `due(state)` tells the event time (milliseconds) from which on the state says nothing any more; a timer then clears it. None: never.
+    """
 
     state_type: T.StructType
     order = ["ts", "seq"]
     columns: list[str]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.value = handle.getValueState("state", self.state_type)
+        self.timer = handle.getValueState("timer", _struct(due=L))
 
     def initial(self) -> dict:
         raise NotImplementedError
 
+    def due(self, state: dict) -> int | None:
+        return None
+
     def step(self, state: dict, event) -> list[tuple]:
         raise NotImplementedError
 
@@ -54,15 +62,28 @@ class _Folding(StatefulProcessor):
         for event in _in_order(rows, self.order).itertuples(index=False):
             out += [(*key, *row) for row in self.step(state, event)]
         self.value.update(tuple(state[n] for n in names))
+        due, before = self.due(state), self.timer.get()[0] if self.timer.exists() else None
+        if due is not None and due != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(due)
+            self.timer.update((due,))
         if out:
             yield pd.DataFrame(out, columns=self.columns)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.value.clear()
+        self.timer.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def _apply(events: DataFrame, key: str, processor: StatefulProcessor, output: T.StructType, mode: str = "append") -> DataFrame:
-    return events.groupBy(key).transformWithStateInPandas(processor, output, mode, "None")
+def _apply(events: DataFrame, key: str, processor: StatefulProcessor, output: T.StructType, delay: str | None = None) -> DataFrame:
+    """delay: with event time and its timers; later events than that are dropped."""
+    timed = events.withWatermark("ts", delay) if delay else events
+    return timed.groupBy(key).transformWithStateInPandas(processor, output, "append", "EventTime" if delay else "None")
 
 
 class Alerts(_Folding):
@@ -142,10 +163,14 @@ class ResultCache(_Folding):
             state.update(stored_us=now, ttl=int(event.ttl))
         return [(int(event.seq), "MISS")]
 
+    def due(self, state: dict) -> int | None:
+        # A key without a stored result is known until the watermark moves on.
+        return max(state["stored_us"], 0) // 1000 + state["ttl"] * 1000 + 1
+
 
-def cached_requests(requests: DataFrame) -> DataFrame:
-    """Outcome per request of a stream of key, seq, ts, ok, ttl."""
-    return _apply(requests, "key", ResultCache(), _struct(key=S, seq=L, outcome=S))
+def cached_requests(requests: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Outcome per request of a stream of key, seq, ts, ok, ttl. A result is forgotten when the watermark passes its end."""
+    return _apply(requests, "key", ResultCache(), _struct(key=S, seq=L, outcome=S), delay)
 
 
 class Funding(_Folding):
@@ -154,14 +179,14 @@ class Funding(_Folding):
     After a failure the next charge waits three days; a hard decline or the third failure in a row stops it.
     """
 
-    state_type = _struct(period=S, spent=L, pending=S, pending_cents=L, failures=L, retry_us=L, stopped=B)
+    state_type = _struct(period=S, spent=L, pending=S, pending_cents=L, failures=L, retry_us=L, stopped=B, seen_us=L)
     columns = ["account", "seq", "outcome", "spent_cents", "failures"]
 
     def __init__(self, trigger: int, amount_cents: int, cap_cents: int):
         self.trigger, self.amount, self.cap = trigger, amount_cents, cap_cents
 
     def initial(self) -> dict:
-        return {"period": "", "spent": 0, "pending": "", "pending_cents": 0, "failures": 0, "retry_us": 0, "stopped": False}
+        return {"period": "", "spent": 0, "pending": "", "pending_cents": 0, "failures": 0, "retry_us": 0, "stopped": False, "seen_us": 0}
 
     def _charge(self, state: dict, kind: str, ref: str) -> str:
         """The same decision as in the batch job, on the part of the state that concerns charges."""
@@ -173,6 +198,7 @@ class Funding(_Folding):
 
     def step(self, state: dict, event) -> list[tuple]:
         now, period = event.ts.value // 1000, event.ts.strftime("%Y-%m")
+        state["seen_us"] = max(state["seen_us"], now)
         if state["period"] != period:
             state.update(period=period, spent=0, pending="", pending_cents=0)
         if event.kind == "usage":
@@ -194,15 +220,21 @@ class Funding(_Folding):
             state["retry_us"] = 0 if state["stopped"] else now + RETRY_SECONDS * 1_000_000
         return [(int(event.seq), outcome, state["spent"], state["failures"])]
 
+    def due(self, state: dict) -> int | None:
+        return state["seen_us"] // 1000 + 1
+
 
 def key_text(event) -> str:
     return str(event.account)
 
 
-def automatic_funding(events: DataFrame, trigger: int, amount_cents: int, cap_cents: int, account_type: T.DataType = L) -> DataFrame:
-    """Decision per event of a stream of account, seq, ts, kind (usage, paid, failed), balance, code."""
+def automatic_funding(events: DataFrame, trigger: int, amount_cents: int, cap_cents: int, account_type: T.DataType = L, memory: int = PAYMENT_SECONDS) -> DataFrame:
+    """Decision per event of a stream of account, seq, ts, kind (usage, paid, failed), balance, code.
+
+    An account without an event for `memory` seconds is forgotten, with its failures.
+    """
     out = _struct(account=account_type, seq=L, outcome=S, spent_cents=L, failures=L)
-    return _apply(events, "account", Funding(trigger, amount_cents, cap_cents), out)
+    return _apply(events, "account", Funding(trigger, amount_cents, cap_cents), out, f"{memory} seconds")
 
 
 class Reservations(StatefulProcessor):

@@ -8,7 +8,9 @@ import __spark_entry__ as entry
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SAMPLE = """url_dedupe_keep_first site_digest doc_search_topk feed_assembly fx_asof_convert market_snapshot movers_by_brand cheapest_offer funding_epochs
-quota_with_refunds rate_limit_trailing failure_streaks reversal_state cache_hit_miss composite_score stratified_sample payload_rss payload_charts product_list_pages search_feeds""".split()
+quota_with_refunds rate_limit_trailing failure_streaks reversal_state cache_hit_miss composite_score stratified_sample payload_rss payload_charts product_list_pages search_feeds
+usage_alerts running_balance reversal_ledger smoke_report host_rules fx_listed_convert client_pseudonyms text_details international_hosts localized_offers ranked_targets url_list written_tables
+cache_keys_all page_gates stream_cache stream_auto_funding stream_versions""".split()
 
 
 @pytest.fixture(scope="module")

@@ -141,3 +141,12 @@ def test_versions_rewrite_touched_buckets_once(spark, tmp_path):
     assert rows[3] == (3, "z", 7) and rows[4] == (1, "a4", 1) and len(rows) == 40
     kept.upsert(spark.createDataFrame([(99, 1, "n", 1)], "id long, at long, v string, n long"), 3)
     assert old.count() == 40 and kept.read().count() == 41 and kept.touching(change).filter("id = 3").count() == 1
+
+
+def test_ended_results_leave_the_state(spark, tmp_path):
+    rows = [("a", 0, 0, True, 60), ("a", 1, 30, True, 60), ("a", 2, 100, True, 60), ("b", 3, 400_000, True, 60), ("a", 4, 400_001, True, 60), ("b", 5, 400_030, False, 60), ("c", 6, 800_000, False, 60),
+            ("c", 7, 800_001, True, 60), ("c", 8, 800_002, True, 60)]
+    df = spark.createDataFrame([(k, i, T0 + timedelta(seconds=s), ok, ttl) for k, i, s, ok, ttl in rows], "key string, seq long, ts timestamp, ok boolean, ttl int")
+    parts = [df.filter((F.col("seq") >= i) & (F.col("seq") < i + 3)) for i in (0, 3, 6)]
+    out = E.run_available(spark, K.cached_requests(as_stream(spark, tmp_path, parts), "0 seconds"), "cache-test")
+    assert {r.seq: r.outcome for r in out.collect()} == {0: "MISS", 1: "HIT", 2: "MISS", 3: "MISS", 4: "MISS", 5: "HIT", 6: "MISS", 7: "MISS", 8: "HIT"}
