@@ -29,6 +29,7 @@ MIN_BYTES = 1000
 # Ranges with at most so many bytes between them are read together, up to so many bytes at once.
 GAP_BYTES = 64 << 10
 READ_BYTES = 8 << 20
+SALTS = 16
 # Archive bytes for one reading task.
 TASK_BYTES = 64 << 20
 RECORD_ID = "<urn:factloom:page:%d>"
@@ -37,16 +38,21 @@ RECORDS = "page_id long, url string, payload_bytes long, payload_digest string,
 
 
 def decide(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
-    """page_id, url, html, refers_to (null for a response). Only digests that occur twice are joined back."""
+    """page_id, url, html, refers_to (null for a response).
+
+    Records below the limit are alike to none and in no join. Of one digest there may be very many: its holder is dealt out to salts.
+    """
     rows = narrow(pages, page_id=id_col, url=url_col, html=html_col)
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    # Records below the limit are alike to none: their key is null and so meets no other.
     digest = F.when(F.octet_length(payload) >= min_bytes, F.sha1(payload))
-    holders = rows.select("page_id", digest.alias("k")).filter("k is not null").groupBy("k").agg(
-        F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("k").alias("digest"), "holder")
+    holders = rows.select("page_id", digest.alias("digest")).filter("digest is not null").groupBy("digest").agg(
+        F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    dealt = holders.select("digest", "holder", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     keyed = rows.withColumn("digest", digest)
-    return keyed.join(holders, "digest", "left").select(
-        "page_id", "url", "html", F.when(F.col("page_id") < F.col("holder"), F.col("holder")).alias("refers_to"))
+    alone = keyed.filter("digest is null").select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"))
+    salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")
+    return keyed.filter("digest is not null").withColumn("salt", salt).join(dealt, ["digest", "salt"], "left").select(
+        "page_id", "url", "html", F.when(F.col("page_id") < F.col("holder"), F.col("holder")).cast("long").alias("refers_to")).unionByName(alone)
 
 
 def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
