@@ -141,7 +141,8 @@ def _cosines(similar: float):
             sizes, keep = np.diff(ends), np.zeros(batch.num_rows, bool)
             for size in np.unique(sizes):
                 own = np.flatnonzero((sizes == size) & (np.diff(other) == size))
-                p, q = a[ends[own][:, None] + np.arange(size)], b[other[own][:, None] + np.arange(size)]
+                # Scaled by powers of two, which changes no digit, so that squares of very large or small components stay finite.
+                p, q = (np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) for x in (a[ends[own][:, None] + np.arange(size)], b[other[own][:, None] + np.arange(size)]))
                 keep[own] = (p * q).sum(1) / (np.sqrt((p * p).sum(1)) * np.sqrt((q * q).sum(1))) >= similar
             keep = pa.array(keep)
             yield pa.record_batch([batch["x"].filter(keep), batch["y"].filter(keep)], ["a", "b"])
