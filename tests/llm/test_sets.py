@@ -361,3 +361,16 @@ def test_pipeline_of_odd_documents(spark, odd_docs):
         if name != "mixing_to_weights":
             assert table.columns == before
     assert 0 < table.count() < len(rows)
+
+
+def test_vectors_of_any_finite_size(spark):
+    rows = [(0, [1e200, 1e200]), (1, [2e200, 2.1e200]), (2, [1e-200, 1e-200]), (3, [1.0, 1.0]), (4, [1.0, -1.0]), (5, [-1e300, 1e300])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.join(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 4: (0, 4), 5: (0, 5)}
+
+
+def test_small_pages_meet_no_other_page(spark):
+    rows = [(i, f"https://e.com/{i}", "x" * 10) for i in range(50)] + [(100 + i, None, "y" * 2000) for i in range(30)] + [(200, "u", "z" * 1500), (201, "u", None)]
+    df = warc.decide(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = {r.page_id: r.refers_to for r in df.collect()}
+    assert got == {**{i: None for i in range(50)}, **{100 + i: 129 for i in range(29)}, 129: None, 200: None, 201: None}
