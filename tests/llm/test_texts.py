@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.llm import pii, quality, queries, secrets, toxicity
 from tests.llm.samples import FOLDER, ODD_TEXTS, prose
@@ -226,3 +227,30 @@ def test_short_passwords_and_very_long_tokens_are_replaced_whole(spark, sample):
     assert [out[i] for i in range(len(live))] == ["a [secret]\" b"] + ["a [secret] b"] * (len(live) - 1)
     # What stands for a secret stays, and so does what three owners hold.
     assert [out[i] for i in range(len(live), len(texts))] == texts[len(live):]
+
+
+def test_many_matches_in_one_text(spark):
+    """Positions and replaced texts across blocks equal Python's; work grows with the number of matches."""
+    import re
+    import time
+
+    from factloom.llm import spans
+
+    texts = [" ".join(f"ü{i % 7}" * (i % 3 + 1) for i in range(n)) for n in (0, 1, spans.BLOCK, spans.BLOCK + 1, 3000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    found = spans.add_matches(df, "m", "t", 0, "[0-9]", lambda v: v != "3")
+    for r in found.withColumn("out", spans.redacted(F.col("t"), F.col("m"), "[#]")).collect():
+        want = [(m.start(), m.end()) for m in re.finditer("[0-9]", texts[r.i]) if m.group() != "3"]
+        assert [(s.start, s.end) for s in r.m] == want and r.out == re.sub("[0-24-9]", "[#]", texts[r.i])
+    overlapping = spark.createDataFrame([("0123456789" * 200, [(i * 3, i * 3 + 4 + i % 2) for i in range(600)])], "t string, m array<struct<start:int,end:int>>")
+    assert overlapping.select(spans.redacted(F.col("t"), F.col("m"), "#")).first()[0] == "#" + ("0123456789" * 200)[1802:]
+
+    def seconds(n):
+        one = spark.createDataFrame([(" ".join(f"u{i}@e.com" for i in range(n)),)], "t string").cache()
+        one.count()
+        started = time.time()
+        assert spans.add_matches(one, "m", "t", 0, r"[a-z0-9]+@[a-z.]+").select(F.size("m")).first()[0] == n
+        return time.time() - started
+
+    seconds(100)
+    assert seconds(16_000) < 12 * max(seconds(4_000), 0.5)
