@@ -1,23 +1,29 @@
 """Keyed stateful streams: reservations, alerts, reversals, automatic funding and the result cache.
 
-Each processor keeps a small state per key and applies the events of a micro-batch in order of time. The
-size of a micro-batch is set at the source (files per trigger), so no task holds more than that of one key.
+Each processor keeps a small state per key and applies the events of a micro-batch in order of time. Keys are dealt to buckets, and
+the states of a bucket are one value: a micro-batch reads and writes state once per bucket it touches, not several times per key or event. The
+size of a micro-batch is set at the source (files per trigger), so no task holds more than that of one bucket.
 """
 
 from __future__ import annotations
 
+import json
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from factloom.operators.billing import ALERT_THRESHOLDS, HARD_DECLINES, MAX_FAILURES, RESERVATION_SECONDS, RETRY_SECONDS, charge
 
 S, L, B, TS = T.StringType(), T.LongType(), T.BooleanType(), T.TimestampType()
 MINUTE_MS = 60_000
+HOUR_US = 3_600_000_000
 # How long closed ids are known, and payments without a new notice.
 CLOSED_SECONDS, PAYMENT_SECONDS = 2 * 86_400, 400 * 86_400
+# A bucket's states are rewritten when one of its keys has an event; a running stream can't change this number.
+BUCKETS = 16_384
 
 
 def _struct(**fields) -> T.StructType:
@@ -25,71 +31,133 @@ def _struct(**fields) -> T.StructType:
 
 
 def _in_order(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    """Events of one key in this micro-batch, in order."""
+    """Events of one bucket in this micro-batch, in order."""
     batches = list(rows)
     whole = batches[0] if len(batches) == 1 else pd.concat(batches)
     return whole.sort_values(order, kind="stable")
 
 
-class _Folding(StatefulProcessor):
-    """Applies `step(state, event)` to the events of a key; state is a tuple kept between micro-batches.
+def _whole(value) -> int | None:
+    return None if value is None or pd.isna(value) else int(value)
 
-    `due(state)` tells the event time (milliseconds) from which on the state says nothing any more; a timer then clears it. None: never.
+
+def _key(value):
+    """A key as it was before pandas made floats of whole numbers beside nulls."""
+    return value if isinstance(value, str) else _whole(value)
+
+
+class _Bucketed(StatefulProcessor):
+    """Keeps one state per key, all states of a bucket in one value. States are lists of plain values.
+
+    `due(state)` tells the event time (milliseconds) from which on a key has something to do without an event; the bucket's one timer is set
+    to the first. `ended(state, limit)` does it, for all that was due by then, and returns the state, None to forget the key, and rows.
     """
 
-    state_type: T.StructType
+    key: str
     order = ["ts", "seq"]
     columns: list[str]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.value = handle.getValueState("state", self.state_type)
-        self.timer = handle.getValueState("timer", _struct(due=L))
-
-    def initial(self) -> dict:
-        raise NotImplementedError
+        self.kept = handle.getValueState("kept", _struct(due=L, states=S))
 
-    def due(self, state: dict) -> int | None:
+    def due(self, state) -> int | None:
         return None
 
-    def step(self, state: dict, event) -> list[tuple]:
+    def ended(self, state, limit: Callable[[int], bool]) -> tuple[list | None, list[tuple]]:
+        return None, []
+
+    def fold(self, states: dict, events: pd.DataFrame, watermark_ms: int) -> list[tuple]:
+        """Applies events to the states and returns rows that begin with their key."""
         raise NotImplementedError
 
+    def _load(self) -> tuple[int | None, dict]:
+        due, text = self.kept.get() if self.kept.exists() else (None, "[]")
+        return due, {k: state for k, state in json.loads(text)}
+
+    def _store(self, states: dict, timer: int | None) -> None:
+        due = min((d for d in map(self.due, states.values()) if d is not None), default=None)
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        if states:
+            self.kept.update((due, json.dumps(list(states.items()), separators=(",", ":"))))
+        else:
+            self.kept.clear()
+
+    def _frame(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        if rows:
+            yield pd.DataFrame(rows, columns=self.columns)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        names = self.state_type.names
-        state = dict(zip(names, self.value.get())) if self.value.exists() else self.initial()
-        out: list[tuple] = []
-        for event in _in_order(rows, self.order).itertuples(index=False):
-            out += [(*key, *row) for row in self.step(state, event)]
-        self.value.update(tuple(state[n] for n in names))
-        due, before = self.due(state), self.timer.get()[0] if self.timer.exists() else None
-        if due is not None and due != before:
-            if before is not None:
-                self.handle.deleteTimer(before)
-            self.handle.registerTimer(due)
-            self.timer.update((due,))
-        if out:
-            yield pd.DataFrame(out, columns=self.columns)
+        timer, states = self._load()
+        out = self.fold(states, _in_order(rows, self.order), timerValues.getCurrentWatermarkInMs())
+        self._store(states, timer)
+        return self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.value.clear()
-        self.timer.clear()
-        return iter(())
+        at, now = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        # The timer that calls is gone already; what else is due by the watermark is done in the same call.
+        limit = lambda due: due <= max(at, now)
+        _, states = self._load()
+        out: list[tuple] = []
+        for k, state in list(states.items()):
+            due = self.due(state)
+            if due is not None and limit(due):
+                left, rows = self.ended(state, limit)
+                out += [(k, *row) for row in rows]
+                if left is None:
+                    del states[k]
+                else:
+                    states[k] = left
+        self._store(states, None)
+        return self._frame(out)
 
     def close(self) -> None:
         pass
 
 
-def _apply(events: DataFrame, key: str, processor: StatefulProcessor, output: T.StructType, delay: str | None = None) -> DataFrame:
+class _Folding(_Bucketed):
+    """Applies `step(state, event)` to the events of a key; a key is forgotten from `due(state)` on. None: never."""
+
+    fields: list[str]
+
+    def initial(self) -> dict:
+        raise NotImplementedError
+
+    def step(self, state: dict, event) -> list[tuple]:
+        raise NotImplementedError
+
+    def due(self, state: list) -> int | None:
+        return self.forgotten(dict(zip(self.fields, state)))
+
+    def forgotten(self, state: dict) -> int | None:
+        return None
+
+    def fold(self, states: dict, events: pd.DataFrame, watermark_ms: int) -> list[tuple]:
+        out, touched = [], {}
+        for event in events.itertuples(index=False):
+            key = _key(getattr(event, self.key))
+            if key not in touched:
+                touched[key] = dict(zip(self.fields, states[key])) if key in states else self.initial()
+            out += [(key, *row) for row in self.step(touched[key], event)]
+        states.update((key, [state[n] for n in self.fields]) for key, state in touched.items())
+        return out
+
+
+def _apply(events: DataFrame, processor: _Bucketed, output: T.StructType, delay: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """delay: with event time and its timers; later events than that are dropped."""
     timed = events.withWatermark("ts", delay) if delay else events
-    return timed.groupBy(key).transformWithStateInPandas(processor, output, "append", "EventTime" if delay else "None")
+    dealt = timed.withColumn("_bucket", F.pmod(F.xxhash64(processor.key), F.lit(buckets)))
+    return dealt.groupBy("_bucket").transformWithStateInPandas(processor, output, "append", "EventTime" if delay else "None")
 
 
 class Alerts(_Folding):
     """Balance, funding epoch and usage alerts of an account; each threshold once per epoch."""
 
-    state_type = _struct(balance=L, epoch=L, basis=L, stage=L)
+    key, fields = "account", ["balance", "epoch", "basis", "stage"]
     columns = ["account", "epoch", "percent", "seq"]
 
     def initial(self) -> dict:
@@ -111,13 +179,13 @@ class Alerts(_Folding):
 
 def usage_alerts(events: DataFrame, account_type: T.DataType = L) -> DataFrame:
     """Alerts of a stream of account, seq, ts, kind, credits."""
-    return _apply(events, "account", Alerts(), _struct(account=account_type, epoch=L, percent=L, seq=L))
+    return _apply(events, Alerts(), _struct(account=account_type, epoch=L, percent=L, seq=L))
 
 
 class Reversals(_Folding):
     """What refunds and disputes leave of a payment, whatever order its notices come in."""
 
-    state_type = _struct(account=L, credits=L, grant_at=L, refunded=B, dispute=S, dispute_at=L, dispute_id=L, version=L)
+    key, fields = "payment_ref", ["account", "credits", "grant_at", "refunded", "dispute", "dispute_at", "dispute_id", "version"]
     order = ["ts", "event_id"]
     columns = ["payment_ref", "version", "account", "granted", "refund_final", "dispute_active", "net_credits", "pending"]
 
@@ -143,13 +211,13 @@ class Reversals(_Folding):
 def payment_reversals(events: DataFrame) -> DataFrame:
     """States of a stream of payment_ref, event_id, kind, ts, account, credits; the highest version of a reference counts."""
     out = _struct(payment_ref=S, version=L, account=L, granted=L, refund_final=B, dispute_active=B, net_credits=L, pending=B)
-    return _apply(events, "payment_ref", Reversals(), out)
+    return _apply(events, Reversals(), out)
 
 
 class ResultCache(_Folding):
     """HIT while the stored result of a key is valid; a MISS stores its result unless it failed."""
 
-    state_type = _struct(stored_us=L, ttl=L)
+    key, fields = "key", ["stored_us", "ttl"]
     columns = ["key", "seq", "outcome"]
 
     def initial(self) -> dict:
@@ -163,14 +231,14 @@ class ResultCache(_Folding):
             state.update(stored_us=now, ttl=int(event.ttl))
         return [(int(event.seq), "MISS")]
 
-    def due(self, state: dict) -> int | None:
+    def forgotten(self, state: dict) -> int | None:
         # A key without a stored result is known until the watermark moves on.
         return max(state["stored_us"], 0) // 1000 + state["ttl"] * 1000 + 1
 
 
 def cached_requests(requests: DataFrame, delay: str = "1 day") -> DataFrame:
     """Outcome per request of a stream of key, seq, ts, ok, ttl. A result is forgotten when the watermark passes its end."""
-    return _apply(requests, "key", ResultCache(), _struct(key=S, seq=L, outcome=S), delay)
+    return _apply(requests, ResultCache(), _struct(key=S, seq=L, outcome=S), delay)
 
 
 class Funding(_Folding):
@@ -179,7 +247,7 @@ class Funding(_Folding):
     After a failure the next charge waits three days; a hard decline or the third failure in a row stops it.
     """
 
-    state_type = _struct(period=S, spent=L, pending=S, pending_cents=L, failures=L, retry_us=L, stopped=B, seen_us=L)
+    key, fields = "account", ["period", "spent", "pending", "pending_cents", "failures", "retry_us", "stopped", "seen_us"]
     columns = ["account", "seq", "outcome", "spent_cents", "failures"]
 
     def __init__(self, trigger: int, amount_cents: int, cap_cents: int):
@@ -220,7 +288,7 @@ class Funding(_Folding):
             state["retry_us"] = 0 if state["stopped"] else now + RETRY_SECONDS * 1_000_000
         return [(int(event.seq), outcome, state["spent"], state["failures"])]
 
-    def due(self, state: dict) -> int | None:
+    def forgotten(self, state: dict) -> int | None:
         return state["seen_us"] // 1000 + 1
 
 
@@ -234,130 +302,105 @@ def automatic_funding(events: DataFrame, trigger: int, amount_cents: int, cap_ce
     An account without an event for `memory` seconds is forgotten, with its failures.
     """
     out = _struct(account=account_type, seq=L, outcome=S, spent_cents=L, failures=L)
-    return _apply(events, "account", Funding(trigger, amount_cents, cap_cents), out, f"{memory} seconds")
+    return _apply(events, Funding(trigger, amount_cents, cap_cents), out, f"{memory} seconds")
 
 
-class Reservations(StatefulProcessor):
+class Reservations(_Bucketed):
     """Credit of an account under reserve, commit and refund; open reservations expire after 15 minutes.
 
     Repeated ids change nothing for `memory` seconds after they are closed; then they are forgotten. Expiry is applied with the next event of
-    the account, and by an event-time timer when none comes. Open reservations are indexed by the minute they were made in: an event
-    looks at the few minutes that may hold any, a minute has one timer, and a minute whose last reservation is closed loses its timer.
+    the account, and by an event-time timer when none comes. A state is the balance, the open reservations (created, id) in order, the closed
+    ids with their time, and the last of these times.
     """
 
+    key = "account"
     columns = ["account", "seq", "reservation_id", "kind", "outcome", "balance"]
 
     def __init__(self, memory: int):
         self.memory = memory
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.balance = handle.getValueState("balance", _struct(credits=L))
-        self.minutes = handle.getMapState("minutes", _struct(minute=L), _struct(open=T.ArrayType(S), created=T.ArrayType(L)))
-        self.opened = handle.getMapState("opened", _struct(id=S), _struct(minute=L))
-        self.closed = handle.getMapState("closed", _struct(id=S), _struct(state=S, at=L))
-        # Closed ids by the hour in which they may be forgotten.
-        self.hours = handle.getMapState("hours", _struct(hour=L), _struct(ids=T.ArrayType(S)))
-
-    def _due(self, minute: int) -> int:
-        """Milliseconds at which all reservations of a minute are stale."""
-        return (minute + 1) * MINUTE_MS + RESERVATION_SECONDS * 1000
-
-    def _remove(self, rid: str, minute: int) -> None:
-        ids, created = self.minutes.getValue((minute,))
-        left = [(i, c) for i, c in zip(ids, created) if i != rid]
-        self.opened.removeKey((rid,))
-        if left:
-            self.minutes.updateValue((minute,), ([i for i, _ in left], [c for _, c in left]))
-        else:
-            self.minutes.removeKey((minute,))
-            self.handle.deleteTimer(self._due(minute))
-
-    def _close(self, rid: str, state: str, now_us: int) -> None:
-        hour = (now_us // 1_000_000 + self.memory) // 3600 + 1
-        self.closed.updateValue((rid,), (state, now_us))
-        if self.hours.containsKey((hour,)):
-            ids = [*self.hours.getValue((hour,))[0], rid]
-        else:
-            ids = [rid]
-            self.handle.registerTimer(hour * 3_600_000)
-        self.hours.updateValue((hour,), (ids,))
-
-    def _expire(self, now_us: int, balance: int) -> tuple[int, list[tuple]]:
-        limit = now_us - RESERVATION_SECONDS * 1_000_000
-        last = limit // (MINUTE_MS * 1000)
-        stale = sorted((c, i, m[0]) for m, (ids, created) in list(self.minutes.iterator()) if m[0] <= last for i, c in zip(ids, created) if c < limit)
+    @staticmethod
+    def _minute_due(created: int) -> int:
+        """Milliseconds at which all reservations of the minute are stale."""
+        return (created // 1000 // MINUTE_MS + 1) * MINUTE_MS + RESERVATION_SECONDS * 1000
+
+    def _forget_at(self, closed: int) -> int:
+        """Milliseconds of the hour in which a closed id may be forgotten."""
+        return ((closed + self.memory * 1_000_000) // HOUR_US + 1) * (HOUR_US // 1000)
+
+    def due(self, state: list) -> int | None:
+        _, opened, closed, last = state
+        times = ([self._minute_due(opened[0][0])] if opened else []) + ([self._forget_at(last)] if closed else [])
+        return min(times, default=None)
+
+    def ended(self, state: list, limit: Callable[[int], bool]) -> tuple[list | None, list[tuple]]:
+        stale = 0
+        while stale < len(state[1]) and limit(self._minute_due(state[1][stale][0])):
+            stale += 1
+        out = self._expire(state, stale)
+        state[2] = {rid: at for rid, at in state[2].items() if not limit(self._forget_at(at))}
+        return state, out
+
+    @staticmethod
+    def _close(state: list, rid: str, at: int) -> None:
+        state[2][rid], state[3] = at, max(state[3], at)
+
+    def _expire(self, state: list, n: int) -> list[tuple]:
+        """The first n open reservations are stale."""
         out = []
-        for created, rid, minute in stale:
-            balance += 1
-            self._remove(rid, minute)
-            self._close(rid, "stale_refunded", created + RESERVATION_SECONDS * 1_000_000)
-            out.append((None, rid, "expire", "stale_refunded", balance))
-        return balance, out
-
-    def _known(self, rid: str, now_us: int) -> bool:
-        return self.closed.containsKey((rid,)) and now_us <= self.closed.getValue((rid,))[1] + self.memory * 1_000_000
-
-    def _apply(self, event, balance: int) -> tuple[int, str]:
-        rid, now = event.reservation_id, event.ts.value // 1000
-        is_open, known = self.opened.containsKey((rid,)), self._known(rid, now)
+        for created, rid in state[1][:n]:
+            state[0] += 1
+            self._close(state, rid, created + RESERVATION_SECONDS * 1_000_000)
+            out.append((None, rid, "expire", "stale_refunded", state[0]))
+        del state[1][:n]
+        return out
+
+    def _outcome(self, state: list, at_of: dict, event, now: int) -> str:
+        """at_of: when the open reservations were made."""
+        rid, (_, opened, closed, _) = event.reservation_id, state
+        is_open, known = rid in at_of, rid in closed and now <= closed[rid] + self.memory * 1_000_000
         if event.kind in ("grant", "reverse"):
             if is_open or known:
-                return balance, "idempotent"
-            self._close(rid, event.kind, now)
-            return balance + (int(event.credits) if event.kind == "grant" else -int(event.credits)), event.kind
+                return "idempotent"
+            self._close(state, rid, now)
+            state[0] += int(event.credits) if event.kind == "grant" else -int(event.credits)
+            return event.kind
         if event.kind == "reserve":
             if is_open or known:
-                return balance, "reserved" if is_open else "closed"
-            if balance < 1:
-                return balance, "insufficient_credits"
-            minute = now // 1000 // MINUTE_MS
-            if self.minutes.containsKey((minute,)):
-                ids, created = self.minutes.getValue((minute,))
-                ids, created = [*ids, rid], [*created, now]
-            else:
-                ids, created = [rid], [now]
-                self.handle.registerTimer(self._due(minute))
-            self.minutes.updateValue((minute,), (ids, created))
-            self.opened.updateValue((rid,), (minute,))
-            return balance - 1, "reserved"
+                return "reserved" if is_open else "closed"
+            if state[0] < 1:
+                return "insufficient_credits"
+            insort(opened, [now, rid])
+            at_of[rid] = now
+            state[0] -= 1
+            return "reserved"
         if not is_open:
-            return balance, "idempotent" if known else "unknown_reservation"
-        self._remove(rid, self.opened.getValue((rid,))[0])
-        self._close(rid, "committed" if event.kind == "commit" else "refunded", now)
-        return (balance, "committed") if event.kind == "commit" else (balance + 1, "refunded")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        balance = self.balance.get()[0] if self.balance.exists() else 0
-        out: list[tuple] = []
-        for event in _in_order(rows, ["ts", "seq"]).itertuples(index=False):
-            balance, expired = self._expire(event.ts.value // 1000, balance)
-            out += expired
-            balance, outcome = self._apply(event, balance)
-            out.append((int(event.seq), event.reservation_id, event.kind, outcome, balance))
-        self.balance.update((balance,))
-        yield self._frame(key, out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        balance = self.balance.get()[0] if self.balance.exists() else 0
-        balance, out = self._expire(at * 1000, balance)
-        self.balance.update((balance,))
-        hour = at // 3_600_000
-        if at % 3_600_000 == 0 and self.hours.containsKey((hour,)):
-            for rid in self.hours.getValue((hour,))[0]:
-                if self.closed.containsKey((rid,)) and self.closed.getValue((rid,))[1] + self.memory * 1_000_000 < at * 1000:
-                    self.closed.removeKey((rid,))
-            self.hours.removeKey((hour,))
-        if out:
-            yield self._frame(key, out)
-
-    def _frame(self, key, rows: list[tuple]) -> pd.DataFrame:
-        df = pd.DataFrame([(*key, *row) for row in rows], columns=self.columns)
-        return df.astype({"seq": "Int64"})
-
-    def close(self) -> None:
-        pass
+            return "idempotent" if known else "unknown_reservation"
+        del opened[bisect_left(opened, [at_of.pop(rid), rid])]
+        self._close(state, rid, now)
+        if event.kind != "commit":
+            state[0] += 1
+        return "committed" if event.kind == "commit" else "refunded"
+
+    def fold(self, states: dict, events: pd.DataFrame, watermark_ms: int) -> list[tuple]:
+        out, made = [], {}
+        for event in events.itertuples(index=False):
+            key, now = _key(event.account), event.ts.value // 1000
+            state = states.setdefault(key, [0, [], {}, 0])
+            if key not in made:
+                state[2] = {rid: at for rid, at in state[2].items() if self._forget_at(at) > watermark_ms}
+                made[key] = {rid: created for created, rid in state[1]}
+            gone = self._expire(state, bisect_left(state[1], [now - RESERVATION_SECONDS * 1_000_000]))
+            for row in gone:
+                del made[key][row[1]]
+                out.append((key, *row))
+            outcome = self._outcome(state, made[key], event, now)
+            out.append((key, int(event.seq), event.reservation_id, event.kind, outcome, state[0]))
+        return out
+
+    def _frame(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        for df in super()._frame(rows):
+            yield df.astype({"seq": "Int64"})
 
 
 def reservations(events: DataFrame, account_type: T.DataType = L, delay: str = "0 seconds", memory: int = CLOSED_SECONDS) -> DataFrame:
@@ -366,24 +409,23 @@ def reservations(events: DataFrame, account_type: T.DataType = L, delay: str = "
     Closed ids are known for `memory` seconds, so that the state of an account does not outgrow its recent reservations.
     """
     out = _struct(account=account_type, seq=L, reservation_id=S, kind=S, outcome=S, balance=L)
-    return events.withWatermark("ts", delay).groupBy("account").transformWithStateInPandas(Reservations(memory), out, "append", "EventTime")
+    return _apply(events, Reservations(memory), out, delay)
 
 
-class ReversalLog(StatefulProcessor):
+class ReversalLog(_Bucketed):
     """Ledger rows of a payment's reversals, booked and taken back as notices come in, in whatever order and however split.
 
     The ledger follows from a payment's notices in order of time. They are kept, as few as one payment has; after each
     micro-batch the ledger is worked out and what differs from the rows told before is emitted: `retract` for rows that no longer hold,
-    `book` for new ones. A payment is forgotten when the watermark passes its last notice.
+    `book` for new ones. A payment is forgotten when the watermark passes its last notice. A state is the notices, the last version and
+    the rows told.
     """
 
+    key, order = "payment_ref", ["ts", "event_id"]
     columns = ["payment_ref", "version", "op", "kind", "credits", "account"]
-    notice = _struct(at=L, event_id=L, kind=S, account=L, credits=L)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.notices = handle.getListState("notices", self.notice)
-        self.told = handle.getValueState("told", _struct(version=L, due=L, kinds=T.ArrayType(S), credits=T.ArrayType(L), accounts=T.ArrayType(L)))
+    def due(self, state: list) -> int | None:
+        return max(n[0] for n in state[0]) // 1000 + 1
 
     @staticmethod
     def ledger(notices: list[tuple]) -> list[tuple]:
@@ -415,34 +457,22 @@ class ReversalLog(StatefulProcessor):
                 rows.append((booked, change, account))
         return rows
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        whole = lambda v: None if v is None or pd.isna(v) else int(v)
-        fresh = [(e.ts.value // 1000, int(e.event_id), e.kind, whole(e.account), whole(e.credits)) for batch in rows for e in batch.itertuples(index=False)]
-        known = [tuple(n) for n in self.notices.get()] if self.notices.exists() else []
-        seen = {n[1] for n in known}
-        added = list({n[1]: n for n in fresh if n[1] not in seen}.values())
-        if not added:
-            return
-        self.notices.appendList(added)
-        version, due, kinds, credits, accounts = self.told.get() if self.told.exists() else (0, 0, [], [], [])
-        before, after = list(zip(kinds, credits, accounts)), self.ledger(known + added)
-        out = [("retract", *r) for r in before if r not in after] + [("book", *r) for r in after if r not in before]
-        latest = max(n[0] for n in known + added) // 1000 + 1
-        if latest != due:
-            if due:
-                self.handle.deleteTimer(due)
-            self.handle.registerTimer(latest)
-        self.told.update((version + len(out), latest, *([list(c) for c in zip(*after)] if after else [[], [], []])))
-        if out:
-            yield pd.DataFrame([(*key, version + i + 1, *r) for i, r in enumerate(out)], columns=self.columns)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.notices.clear()
-        self.told.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
+    def fold(self, states: dict, events: pd.DataFrame, watermark_ms: int) -> list[tuple]:
+        fresh: dict = {}
+        for e in events.itertuples(index=False):
+            fresh.setdefault(_key(e.payment_ref), []).append([e.ts.value // 1000, int(e.event_id), e.kind, _whole(e.account), _whole(e.credits)])
+        out = []
+        for key, notices in fresh.items():
+            known, version, told = states.get(key, ([], 0, []))
+            seen = {n[1] for n in known}
+            added = list({n[1]: n for n in notices if n[1] not in seen}.values())
+            if not added:
+                continue
+            before, after = [tuple(r) for r in told], self.ledger(known + added)
+            changes = [("retract", *r) for r in before if r not in after] + [("book", *r) for r in after if r not in before]
+            out += [(key, version + i + 1, *r) for i, r in enumerate(changes)]
+            states[key] = [known + added, version + len(changes), after]
+        return out
 
 
 def reversal_log(events: DataFrame, memory: int = PAYMENT_SECONDS) -> DataFrame:
@@ -451,4 +481,4 @@ def reversal_log(events: DataFrame, memory: int = PAYMENT_SECONDS) -> DataFrame:
     A notice may be late by up to `memory` seconds; for as long a payment is known. Repeats of an event_id change nothing.
     """
     out = _struct(payment_ref=S, version=L, op=S, kind=S, credits=L, account=L)
-    return events.withWatermark("ts", f"{memory} seconds").groupBy("payment_ref").transformWithStateInPandas(ReversalLog(), out, "append", "EventTime")
+    return _apply(events, ReversalLog(), out, f"{memory} seconds")

@@ -150,3 +150,74 @@ def test_ended_results_leave_the_state(spark, tmp_path):
     parts = [df.filter((F.col("seq") >= i) & (F.col("seq") < i + 3)) for i in (0, 3, 6)]
     out = E.run_available(spark, K.cached_requests(as_stream(spark, tmp_path, parts), "0 seconds"), "cache-test")
     assert {r.seq: r.outcome for r in out.collect()} == {0: "MISS", 1: "HIT", 2: "MISS", 3: "MISS", 4: "MISS", 5: "HIT", 6: "MISS", 7: "MISS", 8: "HIT"}
+
+
+class Kept:
+    """A value of state that counts how often it is asked."""
+
+    def __init__(self):
+        self.value, self.asked = None, 0
+
+    def exists(self):
+        self.asked += 1
+        return self.value is not None
+
+    def get(self):
+        self.asked += 1
+        return self.value
+
+    def update(self, value):
+        self.asked += 1
+        self.value = value
+
+    def clear(self):
+        self.asked += 1
+        self.value = None
+
+
+class Handle:
+    def __init__(self):
+        self.kept, self.timers, self.calls = Kept(), set(), 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self.kept
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+        self.calls += 1
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.remove(at)
+        self.calls += 1
+
+
+class Clock:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.at
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def test_a_bucket_of_keys_asks_for_state_once():
+    import pandas as pd
+
+    at = pd.Timestamp(T0)
+    rows = [(f"p{i % 50}", i, kind, at + pd.Timedelta(minutes=i), 7, 5) for i, kind in enumerate(["grant"] * 50 + ["refund"] * 50)]
+    notices = pd.DataFrame(rows, columns=["payment_ref", "event_id", "kind", "ts", "account", "credits"])
+    steps = pd.DataFrame([(i % 50, i, kind, at + pd.Timedelta(seconds=i), rid, 9) for i, (kind, rid) in enumerate([("grant", "g")] * 50 + [("reserve", "r")] * 50)],
+                         columns=["account", "seq", "kind", "ts", "reservation_id", "credits"])
+    for job, whole, made in ((K.Reversals(), notices, 50), (K.ReversalLog(), notices, 50), (K.Reservations(86_400), steps, 100)):
+        handle = Handle()
+        job.init(handle)
+        first = list(job.handleInputRows((0,), iter([whole[:50]]), Clock(0)))
+        out = pd.concat([*first, *job.handleInputRows((0,), iter([whole[50:]]), Clock(0))])
+        # A read and a write per micro-batch, whatever the number of keys.
+        assert handle.kept.asked <= 6 and handle.calls <= 3 and len(handle.timers) <= 1
+        assert len(out) == (100 if job.columns[1] == "version" and "op" not in job.columns else made)
+    # All reservations are stale at one call, and the timer then waits for the closed ids to be forgotten.
+    end = int(at.value // 10**6) + 3_600_000
+    late = pd.concat(job.handleExpiredTimer((0,), Clock(end), Clock(end)))
+    assert sorted(late.account) == list(range(50)) and set(late.balance) == {9} and set(late.outcome) == {"stale_refunded"}
