@@ -7,9 +7,8 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T_
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import udf
 
 from factloom.functions import let, rows_of
 from factloom.functions import numbers as N
@@ -378,8 +377,8 @@ def chart_events(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def find_by_key(key: str):
     """Function that lists the JSON objects stored under a key anywhere in a payload, in document order."""
-    @pandas_udf(T_.ArrayType(T_.StringType()))
-    def find(bodies: pd.Series) -> pd.Series:
+    @udf(T_.ArrayType(T_.StringType()), useArrow=False)
+    def find(body: str) -> list | None:
         def walk(value, out):
             if isinstance(value, dict):
                 if isinstance(value.get(key), dict):
@@ -390,13 +389,10 @@ def find_by_key(key: str):
                     walk(child, out)
             return out
 
-        def read(body):
-            try:
-                return walk(json.loads(body), [])
-            except (TypeError, ValueError, RecursionError):
-                return None
-
-        return bodies.map(read)
+        try:
+            return walk(json.loads(body), [])
+        except (TypeError, ValueError, RecursionError):
+            return None
 
     return find
 

@@ -129,3 +129,20 @@ def test_end_tags_match_at_any_depth():
         assert text.split() == ["in", "[link](https://a.example/l)", "**bold**", "after", "out"]
         assert _read_page(page, "https://a.example/", None)["primary_text"] == "in linkboldafter"
     assert "deep" in to_markdown(nodes := flatten("<blockquote><em>" * 3000 + "deep"), 0, len(nodes), "")
+
+
+def test_page_readers_take_small_lots_of_rows(spark):
+    from factloom.functions import dom, text
+    from factloom.sources.catalogs import find_by_key
+
+    html, none = F.concat(F.lit("<p>a &amp; <b>b</b></p>"), F.col("id").cast("string")), F.lit(None).cast("string")
+    blocks = F.array(F.lit('{"a": {"b": 1}}'))
+    df = spark.range(250).select("id", *[c.alias(f"c{i}") for i, c in enumerate((
+        dom.fragment_markdown(html, none), dom.dom_nodes(html), dom.read_page(html, none, none), dom.json_objects(blocks), dom.shallow_json_objects(blocks),
+        text.decode_entities(html), find_by_key("a")(blocks[0]), dom.fragment_markdown(none, none), dom.dom_nodes(none), dom.read_page(none, none, none)))])
+    # An Arrow batch of long texts is held whole, several times over, in every task.
+    assert "ArrowEvalPython" not in df._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r.id: r for r in df.collect()}
+    assert len(rows) == 250 and rows[7].c0 == "a & **b**\n\n7" and rows[7].c6 == ['{"b": 1}'] and rows[7].c3 == ['{"a": {"b": 1}}', '{"b": 1}'] == rows[7].c4
+    assert (rows[7].c1[0].tag, rows[7].c1[0].attrs, rows[7].c1[1].text) == ("p", {}, "a & ")
+    assert rows[7].c5 == "<p>a & <b>b</b></p>7" and rows[7].c2.links == 0 and rows[7].c7 is None and rows[7].c8 is None and rows[7].c9.links is None
