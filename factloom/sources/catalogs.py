@@ -14,7 +14,7 @@ from factloom.functions import let, rows_of
 from factloom.functions import numbers as N
 from factloom.functions import text as T
 from factloom.functions import urls as U
-from factloom.functions.dates import absolute_display_date, from_epoch_seconds, parse_date
+from factloom.functions.dates import LAST_SECOND, absolute_display_date, from_epoch_seconds, parse_date
 from factloom.functions.dom import fragment_markdown, json_objects
 from factloom.functions.html import ld_blocks
 from factloom.operators import places as P
@@ -350,15 +350,18 @@ def chart_points(payloads: DataFrame, limit: int = 512) -> DataFrame:
     quote = F.get(r["indicators"]["quote"], F.lit(0))
     series = {n: quote[n] for n in ("open", "high", "low", "close", "volume")} | {"adj_close": F.get(r["indicators"]["adjclose"], F.lit(0))["adjclose"]}
     rows = payloads.select("payload_id", F.from_json("body", _CHART).alias("data")).select("payload_id", F.get("data.chart.result", F.lit(0)).alias("r"))
-    at = lambda name, i: F.get(series[name], i)
-    points = F.transform(r["timestamp"], lambda t, i: F.struct(
-        from_epoch_seconds(t).alias("ts"), i.alias("position"), *[N.market_value(at(n, i)).alias(n) for n in ("open", "high", "low", "close", "adj_close")],
-        N.as_count(at("volume", i)).alias("volume")))
-    filled = F.filter(points, lambda p: p["ts"].isNotNull() & F.coalesce(p["open"], p["high"], p["low"], p["close"], p["adj_close"], p["volume"].cast("double")).isNotNull())
+    # Inside the arrays points are only told filled from empty; values are rounded once they are rows, in compiled code.
+    raw = F.transform(r["timestamp"], lambda t, i: F.struct(t.alias("second"), i.alias("position"), *[F.get(c, i).alias(n) for n, c in series.items()]))
+    priced = lambda v: (v >= 0) & (v < float("inf"))
+    counted = lambda v: v.between(0, N.MAX_SAFE_INTEGER) & (v == F.floor(v))
+    filled = F.filter(raw, lambda p: (F.abs(p["second"]) < LAST_SECOND) & (
+        priced(p["close"]) | priced(p["open"]) | priced(p["high"]) | priced(p["low"]) | priced(p["adj_close"]) | counted(p["volume"])))
     kept = let(filled, lambda f: F.slice(f, F.greatest(F.size(f) - limit + 1, F.lit(1)), limit))
     points = rows_of(rows, ["payload_id", r["meta"]["symbol"].alias("symbol"), r["meta"]["currency"].alias("currency")], kept, "p")
     return points.select(
-        "payload_id", "symbol", "currency", "p.ts", F.col("p.position").cast("long").alias("position"), "p.open", "p.high", "p.low", "p.close", "p.adj_close", "p.volume")
+        "payload_id", "symbol", "currency", F.timestamp_micros((F.col("p.second") * 1_000_000).cast("long")).alias("ts"), F.col("p.position").cast("long").alias("position"),
+        *[F.when(priced(F.col(f"p.{n}")), N.market_round(F.col(f"p.{n}"))).alias(n) for n in ("open", "high", "low", "close", "adj_close")],
+        F.when(counted(F.col("p.volume")), F.col("p.volume").cast("long")).alias("volume"))
 
 
 def chart_events(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:

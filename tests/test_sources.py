@@ -144,3 +144,19 @@ def test_contract_rules(spark):
 def test_contract_document():
     names = [f["name"] for f in json.loads(S.contract_json())["fields"]]
     assert names[:4] == ["type", "source", "id", "url"] and len(S.ATTRIBUTES_TYPE.names) > 100 and len(S.METHODS) == 48 and len(S.SOURCES) == 23
+
+
+def test_chart_values_are_rounded_as_rows(spark):
+    from factloom.sources.catalogs import chart_points
+
+    body = ('{"chart": {"result": [{"meta": {"symbol": "A", "currency": "EUR"}, "timestamp": [1, 2, null, 9e12, 5, 6], "indicators": {"quote": [{"open": [1.123456789, null, 3, 4, -1, "NaN"], '
+            '"close": [null, null, 3, 4, null, 1e400], "volume": [1.5, 2.5, 3, 4, 7, -2]}], "adjclose": [{"adjclose": [null, null, 1, 1]}]}}]}}')
+    payloads = spark.createDataFrame([("p", body), ("broken", "{"), ("none", None)], "payload_id string, body string")
+    out = chart_points(payloads)
+    # Values inside the arrays are interpreted one by one; rows are compiled.
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    generated = plan[plan.index("Generate posexplode"):]
+    assert "FLOOR" not in generated.split("+- Project")[0].replace("FLOOR(lambda", "")
+    rows = sorted((r.payload_id, r.position, r.ts.timestamp(), r.open, r.close, r.adj_close, r.volume) for r in out.collect())
+    assert rows == [("p", 0, 1.0, 1.12345679, None, None, None), ("p", 4, 5.0, None, None, None, 7)]
+    assert [r.position for r in chart_points(payloads, 1).collect()] == [4]
