@@ -277,6 +277,29 @@ def test_passages(spark, odd_docs, empty_docs):
     assert all(r.doc_id != r.other_id for r in passages.find(odd_docs[0]).collect()) and passages.find(empty_docs).count() == 0
 
 
+def test_passages_behind_partial_holders_and_in_chains_that_differ(spark):
+    shared = prose(71, 100).split()
+    one, two = prose(72, 60).split(), prose(73, 60).split()
+    texts = [shared[:40] + prose(74, 30).split(), prose(75, 10).split() + shared[30:70], shared[60:] + prose(76, 20).split(), prose(77, 25).split() + shared, shared + prose(78, 5).split(),
+             # Two passages with other words between: one chain leads through all of it.
+             one + prose(79, 90).split() + two, one + prose(80, 90).split() + two]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r.doc_id, r.other_id, r.first_word, r.end_word) for r in passages.find(docs).collect()}
+    assert {(3, 4, 25, 125), (4, 3, 0, 100)} <= got
+    spans = sorted((a, b) for d, s, a, b in got if (d, s) == (5, 6))
+    assert len(spans) == 2 and spans[0][0] == 0 and 60 <= spans[0][1] < 75 and 135 < spans[1][0] <= 150 and spans[1][1] == 210
+    assert {g[:2] for g in got} == {(3, 4), (4, 3), (5, 6), (6, 5)}
+
+
+def test_whole_sets_leave_piece_by_piece():
+    import pyarrow as pa
+
+    texts = [prose(i, 3000) for i in range(60)] + ["", None]
+    batch = pa.record_batch([pa.array(range(62)), pa.array(texts)], ["k", "t"])
+    out = list(ngram_join._whole(5)(iter([batch])))
+    assert len(out) > 1 and [k for o in out for k in o["k"].to_pylist()] == list(range(62)) and len(out[-1]["grams"].to_pylist()[-1]) == 0
+
+
 def test_every_long_repeat_of_the_sample_is_found(sample):
     first, repeated = {}, set()
     for r in sample.select("doc_id", "text").orderBy("doc_id").collect():
