@@ -86,20 +86,17 @@ def _deal(words: int):
 
 
 def _whole(words: int):
+    """Whole sets, a record batch for each piece, so that neither side holds those of a whole Arrow batch."""
     def run(batches):
         scanner = Scanner()
         for batch in batches:
-            rows, sets, ranges = [], [], []
-            for row, grams in _sets(scanner, batch["t"], words):
-                rows.append(row)
-                sets.append(grams.view(np.int64))
-                ranges.append(np.bincount((grams >> np.uint64(58)).astype(np.int64), minlength=RANGES))
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            yield pa.record_batch([
-                batch["k"].take(pa.array(rows, pa.int64())), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * RANGES),
-                                         pa.array(np.concatenate(ranges).astype(np.int32) if ranges else np.zeros(0, np.int32)))], ["k", "grams", "ranges"])
+            for piece in scanner.pieces(batch["t"]):
+                rows, sets = zip(*piece.sequences(words))
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                ranges = np.concatenate([np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=RANGES) for s in sets]).astype(np.int32)
+                yield pa.record_batch([
+                    batch["k"].take(pa.array(np.array(rows) + piece.first)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * RANGES), pa.array(ranges))], ["k", "grams", "ranges"])
 
     return run
 
