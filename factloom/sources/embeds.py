@@ -5,7 +5,9 @@ Input rows have payload_id, url and body.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F, types as ST
 
 from factloom.functions import let
 from factloom.functions import numbers as N
@@ -89,6 +91,37 @@ def embedded_json(html: Column, script_id: str) -> Column:
 
 def context_json(html: Column) -> Column:
     """The JSON object kept as an escaped string under `contextJSON`."""
-    quoted = F.regexp_extract(html, r'"contextJSON":("(?:[^"\\]|\\.)*+")', 1)
+    quoted = F.regexp_extract(html, r'"contextJSON":("(?:[^"\\]++|\\.)*+")', 1)
     inner = J(F.concat(F.lit('{"v":'), quoted, F.lit("}")), "$.v")
     return let(inner, lambda t: F.when(F.try_parse_json(t).isNotNull(), t))
+
+
+# What get_json_object takes, too.
+JSON_OPTIONS = {"allowUnquotedControlChars": "true", "allowNonNumericNumbers": "false"}
+
+
+def json_fields(df: DataFrame, text: Column, paths: list[str] | tuple[str, ...]) -> tuple[DataFrame, Callable[[str], Column]]:
+    """Rows with the texts of many paths of one JSON object, which is read once, and the column of each path (`a/b`).
+
+    A field asked for by its own path reads the whole object again, and a filter on it is moved below and makes the object once more; rows made by
+    an explode are neither.
+    """
+    tree: dict = {}
+    for path in paths:
+        *above, last = path.split("/")
+        place = tree
+        for name in above:
+            place = place.setdefault(name, {})
+        place[last] = None
+    shape = lambda names: ST.StructType([ST.StructField(n, ST.StringType() if inner is None else shape(inner)) for n, inner in names.items()])
+    # A list is no object.
+    read = let(text, lambda t: F.when(~t.rlike(r"^\s*\["), F.from_json(t, shape(tree), JSON_OPTIONS)))
+    out = df.select("*", F.explode_outer(F.array(read)).alias("_json"))
+
+    def field(path: str) -> Column:
+        found = F.col("_json")
+        for name in path.split("/"):
+            found = found[name]
+        return found
+
+    return out, field

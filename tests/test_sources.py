@@ -160,3 +160,17 @@ def test_chart_values_are_rounded_as_rows(spark):
     rows = sorted((r.payload_id, r.position, r.ts.timestamp(), r.open, r.close, r.adj_close, r.volume) for r in out.collect())
     assert rows == [("p", 0, 1.0, 1.12345679, None, None, None), ("p", 4, 5.0, None, None, None, 7)]
     assert [r.position for r in chart_points(payloads, 1).collect()] == [4]
+
+
+def test_posts_are_read_once_per_body(spark):
+    deep = {"user": {"screen_name": "a", "name": 'A "q"', "n": [1, {"b": "ü"}]}, "created_at": "", "text": None, "favorite_count": 3, "entities": "none"}
+    rows = payloads(spark, ("u", deep), ("u", [deep]), ("u", '{"user": {"screen_name": "a"'), ("u", ""), ("u", '{"user": "a"}'), ("u", "{'text': 'single'}"), ("u", '{"text": "a\tb"}'), ("u", "[] {}"), ("u", "nothing"))
+    paths = ["user/screen_name", "user/name", "user/n", "created_at", "text", "favorite_count", "entities/hashtags"]
+    read, field = embeds.json_fields(rows, F.col("body"), paths)
+    pairs = [(field(p), F.get_json_object("body", "$." + p.replace("/", "."))) for p in paths]
+    for row in read.select(F.array(*[a for a, _ in pairs]).alias("got"), F.array(*[b for _, b in pairs]).alias("want"), "body").collect():
+        assert row.got == row.want, row.body
+    for parse in (social.normalize_bluesky, social.normalize_mastodon, social.normalize_x, social.normalize_tiktok, social.normalize_instagram):
+        made = rows.withColumn("body", F.concat("body", F.lit(" ")))
+        plan = parse(made)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("concat(body") == 1 and "get_json_object(body" not in plan, parse.__name__
