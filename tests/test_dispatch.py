@@ -166,3 +166,25 @@ def test_no_requests(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     entities, items = api.extract_url(none, spark.createDataFrame([], "url string, body string"), F.lit("2026-01-01").cast("timestamp"))
     assert entities.count() == 0 and items.count() == 0
+
+
+def test_steps_run_in_small_tasks_and_without_sorts_of_bodies(spark):
+    from factloom.operators import dispatch as D
+
+    name, files = list(D.TASK_BYTES)
+    before = spark.conf.get(name), spark.conf.get(files)
+    try:
+        spark.conf.set(name, "64MB")
+        spark.conf.set(files, "1m")
+        with D._small_tasks(spark):
+            assert (spark.conf.get(name), spark.conf.get(files)) == ("8m", "1m")
+        assert (spark.conf.get(name), spark.conf.get(files)) == ("64MB", "1m")
+    finally:
+        spark.conf.set(name, before[0])
+        spark.conf.set(files, before[1])
+    asked = spark.createDataFrame([(1, "https://a.example.org/"), (2, "https://b.example.org/"), (3, None)], "page_id long, address string")
+    given = D._complete(spark.createDataFrame([("https://a.example.org/", "x")], "url string, body string"))
+    out = D._answers(asked, given)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted((r.page_id, r.body, r.failure) for r in out.collect()) == [(1, "x", None), (2, None, "upstream_error"), (3, None, "upstream_error")]
