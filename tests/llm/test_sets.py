@@ -291,6 +291,20 @@ def test_passages_behind_partial_holders_and_in_chains_that_differ(spark):
     assert {g[:2] for g in got} == {(3, 4), (4, 3), (5, 6), (6, 5)}
 
 
+def test_only_texts_that_take_part_travel(spark, monkeypatch):
+    shared, halves = prose(81, 60), prose(82, 100).split()
+    texts = {-3: shared, 7: shared + " end", 8: " ".join(halves[:45]) + " x", 2**40: "y " + " ".join(halves[15:60]), 2**41: " ".join(halves[:60]) + " z", 2**41 + 1: "v " + " ".join(halves[:60])}
+    docs = spark.createDataFrame([*texts.items(), *((i, prose(1000 + i, 40)) for i in range(100, 200))], "doc_id long, text string")
+    sent, found = [], passages._found
+    monkeypatch.setattr(passages, "_found", lambda chained, texts, *a: sent.append({r.d for r in texts.collect()}) or found(chained, texts, *a))
+    got = {(r.doc_id, r.other_id) for r in passages.find(docs).collect()}
+    assert got == {(-3, 7), (7, -3), (2**41, 2**41 + 1), (2**41 + 1, 2**41)}
+    assert sent == [set(texts), {2**41, 2**41 + 1}]
+    ids = spark.range(-20_000, 20_000, 3).withColumnRenamed("id", "s")
+    kept = {r.d for r in passages._taking_part(spark.range(-20_000, 20_000).withColumnRenamed("id", "d"), ids, "s").collect()}
+    assert kept >= set(range(-20_000, 20_000, 3)) and len(kept) < 14_000
+
+
 def test_whole_sets_leave_piece_by_piece():
     import pyarrow as pa
 
