@@ -57,6 +57,19 @@ def test_preview_media(spark):
     assert [(m.url, m.alt, m.width) for m in out[1].media] == [("https://cdn.e.com/a.jpg?w=640", "Alt", 640)]
 
 
+def test_page_markdown_shows_metadata_and_preview(spark, tmp_path):
+    from factloom.plans.page_queries import page_markdown
+
+    head = '<meta name="author" content="Ann"><meta name="description" content="Told"><meta property="article:published_time" content="2024-05-06T07:08:09Z"><meta property="article:modified_time" content="2024-06-01T00:00:00Z">'
+    full = f'<html><head><title>Big story</title>{head}</head><body><article><img src="/hero.jpg" alt="Big Story" width="800" height="600"><p>{PROSE}</p></article></body></html>'
+    rows = pages(spark, ("https://e.com/a/b", full), ("https://e.com/p", full.replace("/hero.jpg", "/logo.svg").replace(head, "")), ("https://e.com/n", None))
+    rows.write.parquet(str(tmp_path / "pages.parquet"))
+    a, b, c = page_markdown(spark, str(tmp_path)).orderBy("page_id").collect()
+    assert [tuple(m) for m in a.media] == [("image", "https://e.com/hero.jpg", "Big Story", 800, 600)]
+    assert (a.author, a.description, a.published_at.year, a.modified_at.month) == ("Ann", "Told", 2024, 6)
+    assert b.media == c.media == [] and (b.author, b.published_at, c.error_code) == (None, None, "extraction_failed")
+
+
 def test_content_choice_and_focus(spark):
     body = f'<html><head><title>Title</title><meta name="description" content="{PROSE[:120]}"></head><body><nav><a href="/a">menu</a></nav><article><h2>Intro</h2><p>{PROSE}</p><div class="cookie modal">Buy now</div></article><section id="pricing"><h2>Plans</h2><p>{PROSE.replace("subject", "price")}</p></section></body></html>'
     rows = pages(spark, ("https://e.com/1", body), ("https://e.com/2", "<html><head><title>T</title></head><body><p>tiny</p></body></html>"), ("https://e.com/3", body.split("<body>")[0] + "<body>tiny</body></html>"))
