@@ -291,6 +291,45 @@ def test_passages_behind_partial_holders_and_in_chains_that_differ(spark):
     assert {g[:2] for g in got} == {(3, 4), (4, 3), (5, 6), (6, 5)}
 
 
+def test_edited_passages_behind_partial_holders(spark, monkeypatch):
+    def edited(words, every, mark):
+        return [w if i % every != every // 2 else f"{mark}{i}" for i, w in enumerate(words)]
+
+    def lengthened(words, every, mark):
+        return [x for i, w in enumerate(words) for x in ([w] if i % every else [f"{mark}{i}", f"{mark}a{i}", w])]
+
+    texts, line = [], prose(99, 20)
+    for k, change in ((0, lengthened), (3, edited), (4, lengthened), (5, edited), (7, edited)):
+        shared = prose(700 + k, 100).split()
+        # Earlier texts hold all of it, but 40 words at most each.
+        texts += [" ".join(prose(10 * k + i, 30).split() + shared[20 * i: 20 * i + 40] + prose(10 * k + i + 5, 20).split()) for i in range(4)]
+        texts += [" ".join(prose(10 * k + 9, 9).split() + shared[:24]), " ".join(shared[76:] + prose(10 * k + 8, 9).split())]
+        texts += [" ".join(prose(400 + k, 25).split() + edited(shared, 19, "x")), " ".join(change(shared, 22 if change is lengthened else 27, "y") + prose(500 + k, 30).split())]
+    n = len(texts)
+    # A common line alone is no passage, however many texts hold it.
+    texts += [f"{prose(2000 + i, 30)} {line} {prose(3000 + i, 30)}" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {pair for i in range(0, n, 8) for pair in ((i + 6, i + 7), (i + 7, i + 6))}
+    tried, chained = [], passages._passages
+    monkeypatch.setattr(passages, "_passages", lambda chains, *a: tried.append(chains) or chained(chains, *a))
+    assert {(r.doc_id, r.other_id) for r in passages.find(docs).collect()} == want
+    assert all(r.d < n for r in tried[-2].unionByName(tried[-1]).collect())
+    monkeypatch.setattr(passages, "BLOCK", 2)
+    assert {(r.doc_id, r.other_id) for r in passages.find(docs).collect()} == want
+
+
+def test_words_around_open_seeds():
+    rng = np.random.default_rng(5)
+    a = rng.integers(1, 4, (40, 44)).astype(np.uint16)
+    b = np.where(rng.random((40, 44)) < rng.random((40, 1)) / 2, a[::-1] + 4, a[::-1]).astype(np.uint16)
+    want = np.array([[passages._extend(x, y)[0] for y in b] for x in a])
+    x, y = np.divmod(np.arange(1600), 40)
+    for got in (passages._reaches(a, b), passages._reaches(a, b, (x, y)).reshape(40, 40)):
+        assert ((got == want) | (got == passages.REACH)).all() and (got != passages.REACH).any()
+    for x, y, got in zip(a, b, passages._least_edits(a, b)):
+        assert [min(passages.edit_distance(x[:k], y[:j]) for j in range(45)) for k in (0, 7, 20, 44)] == [got[k] for k in (0, 7, 20, 44)]
+
+
 def test_only_texts_that_take_part_travel(spark, monkeypatch):
     shared, halves = prose(81, 60), prose(82, 100).split()
     texts = {-3: shared, 7: shared + " end", 8: " ".join(halves[:45]) + " x", 2**40: "y " + " ".join(halves[15:60]), 2**41: " ".join(halves[:60]) + " z", 2**41 + 1: "v " + " ".join(halves[:60])}
